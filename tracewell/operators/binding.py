@@ -5,8 +5,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewell.functions.hashing import evidence_fingerprint, make_id, text_hash
 from tracewell.functions.ranking import running_total
-from tracewell.functions.text import is_blank, let
+from tracewell.functions.text import SPACE, UNICODE, is_blank, let
 from tracewell.operators.contains import contains_pairs
+from tracewell.session import Staging
 
 RUN = ["deal_slug", "run_id"]
 CLAIM = RUN + ["claim_id"]
@@ -188,7 +189,10 @@ def stitched_units(refs: DataFrame, units: DataFrame, slack: int = STITCH_SLACK)
     exact = refs.join(anchors.withColumnRenamed("anchor", "citation_unit_id"), ["deal_slug", "citation_unit_id"])
     found = search(exact, key, F.col("citation_unit_id")).select(*key, "stitched")
     # A reference without any address may be stitched anywhere: every unit of its deal is an anchor.
-    loose = refs.filter("citation_unit_id is null").select("deal_slug", "quote_text").distinct().join(anchors, "deal_slug")
+    loose = refs.filter("citation_unit_id is null").select("deal_slug", "quote_text").distinct()
+    if loose.isEmpty():
+        return found
+    loose = loose.join(anchors, "deal_slug")
     any_run = search(loose, ["deal_slug", "quote_text", "anchor"], F.lit(None).cast("string"))
     any_run = any_run.groupBy("deal_slug", "quote_text").agg(F.min(F.struct("at", "stitched"))["stitched"].alias("stitched"))
     return found.unionByName(any_run.select("deal_slug", F.lit(None).cast("string").alias("citation_unit_id"), "quote_text", "stitched"))
@@ -221,13 +225,17 @@ def _stitch(rows: DataFrame, cited: Column, slack: int) -> DataFrame:
             return F.when(acc["hit"] | acc["stop"], acc).otherwise(grown)
 
         run = F.aggregate(F.slice(u, s + 2, F.size(u)), state, grow)
-        return F.struct(first["at"].alias("at"), run["ids"].alias("ids"), run["hit"].alias("hit"))
+        return let(run, lambda r: F.struct(first["at"].cast("bigint").alias("at"), r["ids"].alias("ids"), r["hit"].alias("hit")))
 
     def search(u: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.size(u) - 1), lambda s: from_start(u, s))
-        return F.get(F.filter(runs, lambda r: r["hit"]), 0)
-
-    out = rows.withColumn("_hit", let(F.col("u"), search))
+        none = F.struct(F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("array<string>").alias("ids"), F.lit(False).alias("hit"))
+        starts = F.sequence(F.lit(0), F.size(u) - 1)
+        return F.aggregate(starts, none, lambda acc, s: F.when(acc["hit"], acc).otherwise(from_start(u, s)))
+
+    # Whatever the separators, the quote without white space must occur in the texts without it.
+    bare = lambda text: F.regexp_replace(text, f"{UNICODE}{SPACE}+", "")
+    rows = rows.filter(bare(F.array_join(F.transform("u", lambda x: x["text"]), "")).contains(bare(quote)))
+    out = rows.withColumn("_hit", let(F.col("u"), search)).filter("_hit.hit")
     return out.withColumn("stitched", F.col("_hit.ids")).withColumn("at", F.col("_hit.at")).drop("u", "_hit")
 
 
@@ -247,8 +255,9 @@ def claim_summary_struct() -> Column:
     )
 
 
-def binding_flags(claims: DataFrame, bound: DataFrame, units: DataFrame) -> DataFrame:
+def binding_flags(claims: DataFrame, bound: DataFrame, units: DataFrame, staging: Staging | None = None) -> DataFrame:
     """One review flag per failed reference, with its diagnosis as metadata."""
+    keep = (staging or Staging()).keep
     failed = bound.filter("error is not null")
     quotes = failed.filter(F.col("quote_text") != "").select("deal_slug", "quote_text").distinct()
     candidates = candidate_units(quotes, units)
@@ -257,7 +266,7 @@ def binding_flags(claims: DataFrame, bound: DataFrame, units: DataFrame) -> Data
     rows = failed.join(listed, ["deal_slug", "quote_text"], "left")
     cited = F.col("citation_unit_id")
     elsewhere = F.coalesce(F.exists("candidate_units", lambda c: cited.isNull() | (c["citation_unit_id"] != cited)), F.lit(False))
-    rows = rows.withColumn("_elsewhere", elsewhere)
+    rows = keep("failed_refs", rows.withColumn("_elsewhere", elsewhere))
     stitched = stitched_units(rows.filter(~F.col("_elsewhere")), units)
     # Null-safe on the address: a reference may have none.
     rows = rows.withColumn("_cu", F.coalesce("citation_unit_id", F.lit("\0")))

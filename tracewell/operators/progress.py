@@ -1,7 +1,7 @@
 """Run state of deals: selection, skipping, upserts, verification."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewell.schemas import ALL_STATUSES, GRAPH_SCHEMA_VERSION, HISTORY_CAP, TRUSTED_STATUSES
 
@@ -56,11 +56,12 @@ def failure_status(failed: DataFrame, progress: DataFrame, outputs: DataFrame |
 def capped_history(history: DataFrame, cap: int = HISTORY_CAP) -> DataFrame:
     """The last `cap` entries per deal, as an ordered array; the cap is the feature.
 
-    history(deal_slug, ts, run_id, version). `max_by` keeps at most `cap` entries per task, so a
-    deal with a very long history is cut map-side.
+    history(deal_slug, ts, run_id, version). The row-number filter becomes a group limit before the
+    shuffle, so a deal with a very long history sends at most `cap` entries per task.
     """
-    newest = F.expr(f"max_by(struct(ts, run_id, version), struct(ts, run_id), {cap})")
-    return history.groupBy("deal_slug").agg(F.array_sort(newest).alias("rulebook_version_history"))
+    newest = Window.partitionBy("deal_slug").orderBy(F.col("ts").desc(), F.col("run_id").desc())
+    last = history.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= cap)
+    return last.groupBy("deal_slug").agg(F.array_sort(F.collect_list(F.struct("ts", "run_id", "version"))).alias("rulebook_version_history"))
 
 
 def upsert_progress(progress: DataFrame, batch: DataFrame, cap: int = HISTORY_CAP) -> DataFrame:

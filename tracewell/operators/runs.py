@@ -111,19 +111,15 @@ def latest_pointer(runs: DataFrame) -> DataFrame:
         F.when(F.col("r.has_validation"), path("validation.json")).alias("validation_path"))
 
 
-def latest_runs(runs: DataFrame, count: int, block: str | None = None) -> DataFrame:
+def latest_runs(runs: DataFrame, count: int) -> DataFrame:
     """The latest `count` runs per deal by (finished_at, run_id); deals with fewer have none.
 
-    `count` is the feature. Adds eligible_runs. A first cut per coarse time block (`block`, a
-    column that grows with finished_at) keeps a deal with very many runs out of one task.
+    `count` is the feature. Adds recency and eligible_runs. The row-number filter becomes a group
+    limit before the shuffle, so a deal with very many runs sends only `count` rows per task.
     """
     totals = runs.groupBy("deal_slug").agg(F.count(F.lit(1)).alias("eligible_runs"))
-    newest_first = [F.col("finished_at").desc(), F.col("run_id").desc()]
-    rows = runs
-    if block is not None:
-        local = Window.partitionBy("deal_slug", block).orderBy(*newest_first)
-        rows = rows.withColumn("_n", F.row_number().over(local)).filter(F.col("_n") <= count).drop("_n")
-    rows = rows.withColumn("recency", F.row_number().over(Window.partitionBy("deal_slug").orderBy(*newest_first))).filter(F.col("recency") <= count)
+    newest_first = Window.partitionBy("deal_slug").orderBy(F.col("finished_at").desc(), F.col("run_id").desc())
+    rows = runs.withColumn("recency", F.row_number().over(newest_first)).filter(F.col("recency") <= count)
     return rows.join(totals, "deal_slug").filter(F.col("eligible_runs") >= count)
 
 

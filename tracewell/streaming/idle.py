@@ -8,8 +8,8 @@ IDLE_SECONDS = 120
 TOTAL_SECONDS = 600
 
 
-def _seconds(ts: Column) -> Column:
-    return F.unix_micros(ts) / F.lit(1_000_000.0)
+def _seconds(earlier: Column, later: Column) -> Column:
+    return F.timestamp_diff("MICROSECOND", earlier, later) / F.lit(1_000_000.0)
 
 
 def idle_gaps(activity: DataFrame, key: list[str], ts: str = "ts", block: str = "1 day") -> DataFrame:
@@ -20,16 +20,16 @@ def idle_gaps(activity: DataFrame, key: list[str], ts: str = "ts", block: str =
     """
     rows = activity.select(*key, F.col(ts).alias("ts"), F.window(F.col(ts), block)["start"].alias("_b"))
     inside = Window.partitionBy(*key, "_b").orderBy("ts")
-    gaps = rows.withColumn("gap", _seconds(F.col("ts")) - _seconds(F.lag("ts").over(inside)))
+    gaps = rows.withColumn("gap", _seconds(F.lag("ts").over(inside), F.col("ts")))
     measures = lambda gap: [
         F.max(gap).alias("g_max"), F.count_if(gap >= WARNING_SECONDS).alias("g_warn"), F.count_if(gap >= IDLE_SECONDS).alias("g_idle")]
     blocks = gaps.groupBy(*key, "_b").agg(
         F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"), *measures(F.col("gap")))
     across = Window.partitionBy(*key).orderBy("_b")
-    seam = _seconds(F.col("first")) - _seconds(F.lag("last").over(across))
+    seam = _seconds(F.lag("last").over(across), F.col("first"))
     blocks = blocks.withColumn("seam", seam)
     flag = lambda limit: F.when(F.col("seam") >= limit, 1).otherwise(0)
-    total = F.max(_seconds(F.col("last"))) - F.min(_seconds(F.col("first")))
+    total = _seconds(F.min("first"), F.max("last"))
     return blocks.groupBy(*key).agg(
         F.sum("n").alias("activities"), F.greatest(F.max("g_max"), F.max("seam")).alias("max_idle_seconds"),
         F.sum(F.col("g_warn") + flag(WARNING_SECONDS)).alias("warnings"),
@@ -38,6 +38,7 @@ def idle_gaps(activity: DataFrame, key: list[str], ts: str = "ts", block: str =
 
 def idle_sessions(stream: DataFrame, key: list[str], ts: str = "ts", late: str = "10 minutes") -> DataFrame:
     """Stream form: a session ends after IDLE_SECONDS without activity; one row per closed session."""
+    stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))
     window = F.session_window(F.col(ts), f"{IDLE_SECONDS} seconds")
     return stream.withWatermark(ts, late).groupBy(*key, window.alias("s")).agg(F.count(F.lit(1)).alias("activities")).select(
         *key, F.col("s.start").alias("started"), (F.col("s.end") - F.expr(f"INTERVAL {IDLE_SECONDS} SECONDS")).alias("last_activity"), "activities")
