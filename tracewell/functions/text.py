@@ -61,10 +61,11 @@ def _nfkc(values: pd.Series) -> pd.Series:
 def normal_text(text: Column) -> Column:
     """F8: NFKC, collapsed, lower case; null -> ''.
 
-    Plain ASCII is its own NFKC form, so only other text makes the trip to Python.
+    Plain ASCII is its own NFKC form, so only other text is sent to Python (nulls go in its place).
     """
     text = F.coalesce(text.cast("string"), F.lit(""))
-    return F.lower(collapse(F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(_nfkc(text))))
+    other = _nfkc(F.when(~text.rlike(r"^\p{ASCII}*$"), text))
+    return F.lower(collapse(F.coalesce(other, text)))
 
 
 def ascii_normal_text(text: Column) -> Column:
@@ -72,28 +73,63 @@ def ascii_normal_text(text: Column) -> Column:
     return F.lower(collapse(F.coalesce(text.cast("string"), F.lit(""))))
 
 
+def _product(a: Column, b: Column) -> tuple[Column, Column]:
+    """a*b as an unevaluated exact sum of two doubles (Dekker's product)."""
+    def halves(x: Column) -> tuple[Column, Column]:
+        c = x * 134217729.0
+        high = c - (c - x)
+        return high, x - high
+
+    (ah, al), (bh, bl) = halves(a), halves(b)
+    high = a * b
+    return high, ((ah * bh - high) + ah * bl + al * bh) + al * bl
+
+
+def _six_digits(size: Column, exponent: Column) -> Column:
+    """The first six significant digits as a whole number, rounded half to even on the exact binary value."""
+    shift = F.lit(5) - exponent
+    power = F.pow(F.lit(10.0), F.abs(shift).cast("double"))
+    high, low = _product(size, power)
+    quotient = size / power
+    back_high, back_low = _product(quotient, power)
+    scaled = F.when(shift >= 0, F.struct(high.alias("h"), low.alias("l"))).otherwise(
+        F.struct(quotient.alias("h"), ((size - back_high) - back_low).alias("l")))
+
+    def round_even(x: Column) -> Column:
+        whole = F.floor(x["h"])
+        part = x["h"] - whole
+        up = (part > 0.5) | ((part == 0.5) & ((x["l"] > 0) | ((x["l"] == 0) & (whole % 2 == 1))))
+        return whole + F.when(up, 1).otherwise(0)
+
+    return let(scaled, round_even)
+
+
 def number_text(value: Column) -> Column:
     """a number as %g prints it (six significant digits, no trailing zeros)."""
     value = value.cast("double")
-    exponent = F.floor(F.log10(F.abs(F.nullif(value, F.lit(0.0)))))
-    sci = F.format_string("%.5e", value)
-    # rounding can lift the exponent (999999.5 -> 1e+06): read it back from the rounded form
-    exponent = F.coalesce(F.regexp_extract(sci, r"e([+-]\d+)$", 1).cast("int"), exponent.cast("int"))
-    digits = F.greatest(F.lit(0), F.lit(5) - exponent)
-    fixed = F.when(digits == 0, F.format_string("%.0f", value))
-    for d in range(1, 10):
-        fixed = fixed.when(digits == d, F.format_string(f"%.{d}f", value))
+    size = F.abs(value)
+    lead = F.regexp_extract(F.format_string("%.16e", size), r"e([+-]\d+)$", 1).cast("int")
 
     def strip(text: Column) -> Column:
-        return F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
-
-    mantissa = strip(F.regexp_extract(sci, r"^([^e]+)e", 1))
-    return (
-        F.when(value.isNull(), F.lit(""))
-        .when(value == 0, F.lit("0"))
-        .when((exponent < -4) | (exponent >= 6), F.concat(mantissa, F.regexp_extract(sci, r"(e[+-]\d+)$", 1)))
-        .otherwise(strip(fixed))
-    )
+        return F.when(text.contains("."), F.regexp_replace(text, r"\.?0*$", "")).otherwise(text)
+
+    def spell(d: Column) -> Column:
+        digits, e = d["n"], d["e"]
+        mantissa = strip(F.concat(F.left(digits, F.lit(1)), F.lit("."), F.substring(digits, 2, 5)))
+        power = F.concat(F.when(e < 0, "e-").otherwise("e+"), F.lpad(F.abs(e).cast("string"), 2, "0"))
+        small = strip(F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits))
+        plain = strip(F.concat(F.left(digits, e + 1), F.lit("."), F.substring(digits, e + 2, F.lit(6))))
+        return F.when((e < -4) | (e >= 6), F.concat(mantissa, power)).when(e < 0, small).otherwise(plain)
+
+    def settle(x: Column) -> Column:
+        # rounding can reach the next power of ten
+        over = x["n"] >= 1_000_000
+        return F.struct(
+            F.when(over, "100000").otherwise(x["n"].cast("string")).alias("n"), (x["e"] + F.when(over, 1).otherwise(0)).alias("e"))
+
+    digits = let(lead, lambda e: let(F.struct(_six_digits(size, e).alias("n"), e.alias("e")), lambda x: let(settle(x), spell)))
+    sign = F.when(value < 0, "-").otherwise("")
+    return F.when(value.isNull(), "").when(value == 0, "0").otherwise(F.concat(sign, digits))
 
 
 def contains_any(text: Column, tokens) -> Column:

@@ -353,7 +353,7 @@ TABLE_SQL: dict[str, str] = {
       SELECT deal_slug, 'r1' AS run_id, left(sha256(string_agg(b || '=' || d, chr(10) ORDER BY b || '=' || d)), 12) AS row_fingerprints FROM b GROUP BY 1""",
     "section_slice": """WITH d AS (SELECT doc_id, text, string_split_regex(text, '(?i)of the') AS parts FROM documents),
       s0 AS (SELECT doc_id, text, unnest(range(1, len(parts))) AS j, parts FROM d),
-      s1 AS (SELECT doc_id, text, CAST(list_sum(list_transform(parts[1:j], p -> length(p))) + 6 * (j - 1) AS BIGINT) AS s FROM s0),
+      s1 AS (SELECT doc_id, text, CAST(list_sum(list_transform(parts[1:j], lambda p: length(p))) + 6 * (j - 1) AS BIGINT) AS s FROM s0),
       s2 AS (SELECT *, 6 + CASE WHEN regexp_matches(substring(text, s + 7, 700), '(?i)with') THEN 3 ELSE 0 END - CASE WHEN regexp_matches(right(substring(text, greatest(s - 120, 0) + 1, s - greatest(s - 120, 0)), 100), '(?i)and') AND NOT m THEN 8 ELSE 0 END
           + CASE WHEN m THEN 3 ELSE 0 END - CASE WHEN NOT m AND length(ar) - length(replace(ar, '|', '')) >= 4 THEN 8 ELSE 0 END AS score
         FROM (SELECT *, contains(right(substring(text, greatest(s - 120, 0) + 1, s - greatest(s - 120, 0)), 24), '**') OR contains(substring(text, s + 7, 24), '**') AS m,
@@ -361,7 +361,7 @@ TABLE_SQL: dict[str, str] = {
       b AS (SELECT doc_id, arg_min(s, -score * 1000000 + s) AS s, max(score) AS score FROM s2 GROUP BY 1),
       e0 AS (SELECT b.*, text, string_split_regex(substring(text, s + 2), '(?i)by the') AS parts FROM b JOIN documents USING (doc_id) WHERE score >= 5),
       e1 AS (SELECT doc_id, s, text, unnest(range(1, len(parts))) AS j, parts FROM e0),
-      e2 AS (SELECT doc_id, s, text, CAST(s + 1 + list_sum(list_transform(parts[1:j], p -> length(p))) + 6 * (j - 1) AS BIGINT) AS f FROM e1),
+      e2 AS (SELECT doc_id, s, text, CAST(s + 1 + list_sum(list_transform(parts[1:j], lambda p: length(p))) + 6 * (j - 1) AS BIGINT) AS f FROM e1),
       e3 AS (SELECT doc_id, min(f) AS f FROM (SELECT *, substring(text, greatest(s + 1, f - 120) + 1, f - greatest(s + 1, f - 120)) AS bef, substring(text, greatest(s + 1, f - 200) + 1, f + 206 - greatest(s + 1, f - 200)) AS ar FROM e2)
         WHERE NOT regexp_matches(bef, '(?i)and') AND length(ar) - length(replace(ar, '|', '')) < 4 GROUP BY 1)
       SELECT 'doc_' || d.doc_id AS deal_slug, score, s AS start_index, f AS end_index, f - s AS chars,
@@ -498,3 +498,61 @@ TABLE_SQL: dict[str, str] = {
                       for k, n, x in (("manifest_path", "manifest.json", ""), ("raw_response_path", "raw_response.json", " AND c % 23 <> 0"), ("validation_path", "validation.json", ""))],
                     _R(f"have AND status IN {TRUSTED} AND c % 23 = 0", "audit_required_file_missing", "'finalized run latest must reference raw_response_path'"))]),
 }
+
+
+def hist(table: str, key: str, name: str, where: str = "true") -> str:
+    """One run's histogram as `key=n, key=n` text."""
+    return (f"{name} AS (SELECT deal_slug, string_agg(key || '=' || n, ', ' ORDER BY key) AS {name} FROM "
+            f"(SELECT deal_slug, {key} AS key, count(*) AS n FROM {table} WHERE {where} GROUP BY 1, 2) GROUP BY 1)")
+
+
+_TABLES = (("actor_relations", "relations"), ("actors", "actors"), ("claim_dispositions", "judged"), ("claims", "claims"),
+           ("coverage_results", "(SELECT DISTINCT deal_slug, obl FROM good)"), ("event_actor_links", "links"), ("events", "ev"), ("participation_counts", "cnt"))
+_ALIAS = "lower(f_actor_label)"
+_METRICS = chain("REVIEW", "").rstrip() + f""",
+rej AS (SELECT j.deal_slug, u0, q0 FROM judged j WHERE rejected),
+rv AS (SELECT deal_slug, status, f_subtype, f_actor_label, f_date, f_bv, f_bl, f_bu, f_unit, f_cons, bq, bp FROM review UNION ALL
+  SELECT deal_slug, 'rejected_claim', '', '', '', NULL, NULL, NULL, '', '', '', '' FROM rej),
+tot AS (SELECT deal_slug, count(*) AS row_count, count(*) FILTER (WHERE status <> 'clean') AS review_item_count,
+  count(*) FILTER (WHERE regexp_matches(replace({_ALIAS}, '  ', ' '), '^party [a-z0-9]+$|^bidder [a-z0-9]+$')) AS anonymous_placeholder_count,
+  count(*) FILTER (WHERE regexp_matches(replace({_ALIAS}, '  ', ' '), '\\b(?:party|bidder|sponsor|strategic party|financial sponsor)\\s+[a-z0-9]+\\b')) AS cohort_like_placeholder_count FROM rv GROUP BY 1),
+tc AS (SELECT deal_slug, string_agg(key || '=' || n, ', ' ORDER BY key) AS graph_table_counts FROM (
+  {" UNION ALL ".join(f"SELECT deal_slug, '{n}' AS key, count(*) AS n FROM {t} GROUP BY 1" for n, t in _TABLES)}) GROUP BY 1),
+{hist("rv", "CASE WHEN f_subtype = '' THEN 'null' ELSE f_subtype END", "event_subtype_counts")},
+{hist("claims", "kind", "claim_type_counts")},
+{hist("relations", "rtype", "relation_type_counts")},
+{hist("rv", "CASE WHEN f_date = '' THEN 'undated' ELSE 'dated' END", "date_diagnostics")},
+{hist("rv", "'review/' || CASE WHEN f_bv IS NULL THEN 'no_' ELSE '' END || 'value/' || CASE WHEN f_bl IS NULL THEN 'no_' ELSE '' END || 'lower/' || CASE WHEN f_bu IS NULL THEN 'no_' ELSE '' END || 'upper/unit:' || CASE WHEN f_unit = '' THEN 'null' ELSE f_unit END || '/consideration:' || CASE WHEN f_cons = '' THEN 'null' ELSE f_cons END", "bid_value_representation")},
+{hist("(SELECT deal_slug, unnest([CASE WHEN bq = '' THEN 'missing_quote' END, CASE WHEN length(bq) > 1500 THEN 'overlength_quote' END, CASE WHEN bp = '' THEN 'missing_page' END]) AS key FROM rv)", "key", "quote_diagnostics", "key IS NOT NULL")},
+{hist("flags", "CASE WHEN n_bound = 0 THEN 'blocking' ELSE 'soft' END || ':evidence_ref_binding_failed'", "flag_counts")}
+SELECT deal_slug, row_count, review_item_count, 'no_hard_flags' AS graph_status, anonymous_placeholder_count, cohort_like_placeholder_count,
+  {", ".join(f"coalesce({c}, '-') AS {c}" for c in ("graph_table_counts", "event_subtype_counts", "claim_type_counts", "relation_type_counts", "date_diagnostics", "bid_value_representation", "quote_diagnostics", "flag_counts"))}
+FROM tot LEFT JOIN tc USING (deal_slug) LEFT JOIN event_subtype_counts USING (deal_slug) LEFT JOIN claim_type_counts USING (deal_slug) LEFT JOIN relation_type_counts USING (deal_slug) LEFT JOIN date_diagnostics USING (deal_slug)
+LEFT JOIN bid_value_representation USING (deal_slug) LEFT JOIN quote_diagnostics USING (deal_slug) LEFT JOIN flag_counts USING (deal_slug)"""
+GRAPH_SQL["run_metrics"] = _METRICS
+
+_FAMILY = "CASE kind WHEN 'actor' THEN 'actor_claims' WHEN 'actor_relation' THEN 'actor_relation_claims' WHEN 'event' THEN 'event_claims' WHEN 'bid' THEN 'bid_claims' ELSE 'participation_count_claims' END"
+_BROKEN = {
+    "m = 1 AND confidence = 'high'": (("'.confidence'", "'value ''sure'' not in allowed enum'"),),
+    "m = 2": (("'.confidence'", "'missing required field'"), ("'.konfidence'", "'unexpected field konfidence'")),
+    "m = 3": (("'.coverage_obligation_id'", "'expected string; got int'"), ("'.x'", "'unexpected field x'")),
+    "m = 4": (("'.evidence_refs'", "'array length 0 below minItems 1'"),),
+    "m = 5": (("'.evidence_refs[0].quote_text'", "'missing required field'"), ("'.evidence_refs[0].text'", "'unexpected field text'")),
+    "m = 5 AND u1 IS NOT NULL": (("'.evidence_refs[1].quote_text'", "'missing required field'"), ("'.evidence_refs[1].text'", "'unexpected field text'")),
+    "m = 6": (("''", "'includes engine-owned fields: event_id'"), ("'.event_id'", "'unexpected field event_id'")),
+    "m NOT IN (7, 8) AND kind = 'event' AND subtype = 'board_meeting'": (("'.event_subtype'", "'value ''board_meeting'' not in allowed enum'"),),
+}
+GRAPH_SQL["payload_violations"] = chain("FEED", "").rstrip() + f""", c AS (SELECT deal_slug, CAST(seq AS VARCHAR) AS run_id, '$.' || {_FAMILY} || '[0]' AS spot, event_id % 12 AS m, kind, confidence, u1, subtype FROM claims)
+""" + " UNION ALL ".join(
+    [f"SELECT deal_slug, run_id, spot || {path} AS path, {message} AS message FROM c WHERE {cond}" for cond, rows in _BROKEN.items() for path, message in rows]
+    + ["SELECT deal_slug, run_id, '$', 'expected JSON object' FROM c WHERE m = 7", "SELECT deal_slug, run_id, '$', 'malformed JSON' FROM c WHERE m = 8",
+       "SELECT deal_slug, run_id, '$', 'includes engine-owned fields: T' FROM c WHERE m = 9", "SELECT deal_slug, run_id, '$.T', 'unexpected field T' FROM c WHERE m = 9"])
+
+TABLE_SQL["member_propagation"] = """WITH s AS (SELECT s_suppkey AS k, s_nationkey AS n, s_suppkey * 2 AS t, CASE s_suppkey % 5 WHEN 0 THEN 'strategic' WHEN 1 THEN 'financial' ELSE 'unknown' END AS c FROM supplier),
+i AS (SELECT n, min(t) FILTER (WHERE c = 'strategic') AS si, min(t) FILTER (WHERE c = 'financial') AS fi FROM s GROUP BY 1),
+n AS (SELECT n_nationkey AS k, n_regionkey AS r, n_nationkey * 6 + 1 AS t, n_nationkey % 9 = 8 AS locked, si, fi FROM nation LEFT JOIN i ON i.n = n_nationkey),
+m AS (SELECT *, CASE WHEN locked THEN 1e18 ELSE coalesce(si, 1e18) END AS sa, CASE WHEN NOT locked AND coalesce(fi, 1e18) < coalesce(si, 1e18) THEN coalesce(fi, 1e18) ELSE 1e18 END AS fa FROM n),
+g AS (SELECT r, bool_or(sa < t) AS ss, bool_or(fa < t AND t <= sa) AS ff FROM m GROUP BY 1)
+SELECT 's' || k AS actor_id, c AS bidder_class, false AS has_strategic_member, false AS has_financial_member FROM s UNION ALL
+SELECT 'n' || k, CASE WHEN locked THEN 'mixed' WHEN si IS NOT NULL THEN 'strategic' WHEN fi IS NOT NULL THEN 'financial' ELSE 'unknown' END, si IS NOT NULL, fi IS NOT NULL FROM n UNION ALL
+SELECT 'r' || r, CASE WHEN ss THEN 'strategic' WHEN ff THEN 'financial' ELSE 'unknown' END, ss, ff FROM g"""
