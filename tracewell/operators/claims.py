@@ -1,8 +1,6 @@
 """Claim payloads: shape checks and one row per claim."""
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracewell.functions.hashing import make_id, stable_id, stable_json
@@ -39,100 +37,115 @@ def _rules(spark) -> DataFrame:
     return spark.createDataFrame(rows, "family string, field string, kinds array<string>, allowed array<string>")
 
 
-def _step(df: DataFrame, value: str, keep: list[str], key: str, pos: str, out: str) -> DataFrame:
-    """One level down: the members of an object or array variant as rows."""
-    spark = df.sparkSession
-    inner = df.lateralJoin(spark.tvf.variant_explode(F.col(value).outer()).toDF(pos, key, out))
-    return inner.select(*keep, pos, key, out)
+_NONE = "cast(array() as array<struct<path:string,message:string>>)"
 
 
-def _message(condition: str, path: str, message: str) -> str:
+def _check(condition: str, path: str, message: str) -> str:
     return f"CASE WHEN {condition} THEN struct({path} AS path, {message} AS message) END"
 
 
-def _problems(df: DataFrame, *checks: str) -> DataFrame:
-    found = df.select("deal_slug", "run_id", F.explode(F.expr("array_compact(array(" + ", ".join(checks) + "))")).alias("_p"))
-    return found.select("deal_slug", "run_id", "_p.path", "_p.message")
+def _found(*checks: str) -> str:
+    return "array_compact(array(" + ", ".join(checks) + "))"
+
+
+def _each(items: str, at: str, message: str) -> str:
+    """One problem per element x of an array of field names."""
+    return f"coalesce(transform({items}, x -> struct(concat({at}, '.', x) AS path, {message} AS message)), {_NONE})"
+
+
+def _descend(df: DataFrame, value: str, keep: list[str], key: str, out: str) -> DataFrame:
+    """One level down: a row per member of an object or array variant, or one row without any.
+
+    `problems` of the upper level stay with the first member only, so each is reported once.
+    """
+    members = df.sparkSession.tvf.variant_explode_outer(F.col(value).outer()).toDF("pos", key, out)
+    rows = df.lateralJoin(members)
+    return rows.select(*keep, "pos", key, out, F.expr(f"CASE WHEN pos IS NULL OR pos = 0 THEN problems ELSE {_NONE} END").alias("problems"))
 
 
 def payload_violations(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """Every shape violation of every payload, with its path. No row = valid payload.
 
     payloads(deal_slug, run_id, payload). The document is taken apart level by level (families,
-    claims, fields, references), and each level is checked against the rule table: the work
-    spreads over fields, however large one payload is.
+    claims, fields, references, their fields) in one pass without any shuffle; each level is
+    checked against the rule table, so the work spreads over fields, however large one payload is.
     """
     keys = ["deal_slug", "run_id"]
     families, forbidden = _strings(FAMILIES), _strings(FORBIDDEN_FIELDS)
-    root = payloads.select(*keys, F.col(payload).alias("text"), F.try_parse_json(payload).alias("v")).withColumn("k", F.expr(_kind("v")))
     names = "coalesce(json_object_keys(text), array())"
     taken = f"array_sort(array_intersect({names}, {forbidden}))"
-    out = [_problems(
-        root,
-        _message("v IS NULL", "'$'", "'malformed JSON'"),
-        _message("v IS NOT NULL AND k <> 'object'", "'$'", "'expected JSON object'"),
-        _message(f"k = 'object' AND size(array_except({families}, {names})) > 0", "'$'",
-                 f"concat('expected claim object; missing ', array_join(array_except({families}, {names}), ', '))"),
-        _message(f"size({taken}) > 0", "'$'", f"concat('includes engine-owned fields: ', array_join({taken}, ', '))"),
-        _message(f"get_json_object(text, '$.schema_version') <> '{CLAIM_SCHEMA_VERSION}'", "'$'",
-                 "'claim payload must not be a canonical output snapshot'"),
-    )]
-    top = _step(root.filter("k = 'object'"), "v", keys, "family", "_p0", "fv").withColumn("k", F.expr(_kind("fv")))
+    root = payloads.select(*keys, F.col(payload).alias("text"), F.try_parse_json(payload).alias("v"))
+    root = root.withColumn("k", F.expr(_kind("v"))).select(*keys, "v", "k", F.expr(_found(
+        _check("v IS NULL", "'$'", "'malformed JSON'"),
+        _check("v IS NOT NULL AND k <> 'object'", "'$'", "'expected JSON object'"),
+        _check(f"k = 'object' AND size(array_except({families}, {names})) > 0", "'$'",
+               f"concat('expected claim object; missing ', array_join(array_except({families}, {names}), ', '))"),
+        _check(f"size({taken}) > 0", "'$'", f"concat('includes engine-owned fields: ', array_join({taken}, ', '))"),
+        _check(f"get_json_object(text, '$.schema_version') <> '{CLAIM_SCHEMA_VERSION}'", "'$'",
+               "'claim payload must not be a canonical output snapshot'"))).alias("problems"))
+    root = root.withColumn("v", F.when(F.col("k") == "object", F.col("v")))
+
+    top = _descend(root, "v", keys, "family", "fv").withColumn("k", F.expr(_kind("fv")))
     known = f"array_contains({families}, family)"
-    out.append(_problems(
-        top, _message(f"NOT {known}", "concat('$.', family)", "concat('unexpected field ', family)"),
-        _message(f"{known} AND k <> 'array'", "concat('$.', family)", "concat('expected array; got ', " + _SHOWN.format("k") + ")")))
+    own = _found(
+        _check(f"pos IS NOT NULL AND NOT {known}", "concat('$.', family)", "concat('unexpected field ', family)"),
+        _check(f"pos IS NOT NULL AND {known} AND k <> 'array'", "concat('$.', family)", "concat('expected array; got ', " + _SHOWN.format("k") + ")"))
+    top = top.select(*keys, "family", F.expr(f"CASE WHEN {known} AND k = 'array' THEN fv END").alias("fv"), F.expr(f"concat(problems, {own})").alias("problems"))
 
-    claims = _step(top.filter(f"{known} AND k = 'array'"), "fv", keys + ["family"], "_k1", "i", "cv")
+    claims = _descend(top, "fv", keys + ["family"], "_key", "cv").withColumn("k", F.expr(_kind("cv")))
     claims = claims.select(
-        *keys, "family", "cv", F.expr(_kind("cv")).alias("k"), F.expr("concat('$.', family, '[', i, ']')").alias("at"),
-        F.expr("CASE WHEN schema_of_variant(cv) LIKE 'OBJECT%' THEN json_object_keys(to_json(cv)) END").alias("fields"))
+        *keys, "family", "pos", "cv", "k", "problems", F.expr("concat('$.', family, '[', pos, ']')").alias("at"),
+        F.expr("CASE WHEN k = 'object' THEN json_object_keys(to_json(cv)) END").alias("names"))
     required = "CASE family " + " ".join(f"WHEN '{f}' THEN {_strings(spec['fields'])}" for f, spec in CLAIM_FAMILIES.items()) + " END"
     number = lambda n: f"try_variant_get(cv, '$.{n}', 'double')"
-    own = f"array_sort(array_intersect(fields, {forbidden}))"
-    out.append(_problems(
-        claims, _message("k <> 'object'", "at", "concat('expected object; got ', " + _SHOWN.format("k") + ")"),
-        _message(f"size({own}) > 0", "at", f"concat('includes engine-owned fields: ', array_join({own}, ', '))"),
-        _message(f"family = 'bid_claims' AND {number('bid_value_lower')} > {number('bid_value_upper')}", "at",
-                 "'bid_value_lower cannot exceed bid_value_upper'"),
-        _message(f"family = 'participation_count_claims' AND {number('count_min')} > {number('count_max')}", "at",
-                 "'count_min cannot exceed count_max'")))
-    missing = claims.filter("k = 'object'").select(*keys, "at", F.explode(F.expr(f"array_except({required}, fields)")).alias("field"))
-    out.append(missing.select(*keys, F.concat("at", F.lit("."), "field").alias("path"), F.lit("missing required field").alias("message")))
-
-    fields = _step(claims.filter("k = 'object'"), "cv", keys + ["family", "at"], "field", "_p2", "v")
+    owned = f"array_sort(array_intersect(names, {forbidden}))"
+    own = _found(
+        _check("pos IS NOT NULL AND k <> 'object'", "at", "concat('expected object; got ', " + _SHOWN.format("k") + ")"),
+        _check(f"size({owned}) > 0", "at", f"concat('includes engine-owned fields: ', array_join({owned}, ', '))"),
+        _check(f"family = 'bid_claims' AND k = 'object' AND {number('bid_value_lower')} > {number('bid_value_upper')}", "at",
+               "'bid_value_lower cannot exceed bid_value_upper'"),
+        _check(f"family = 'participation_count_claims' AND k = 'object' AND {number('count_min')} > {number('count_max')}", "at",
+               "'count_min cannot exceed count_max'"))
+    missing = _each(f"array_except({required}, names)", "at", "'missing required field'")
+    claims = claims.select(
+        *keys, "family", "at", F.when(F.col("k") == "object", F.col("cv")).alias("cv"), F.expr(f"concat(problems, {own}, {missing})").alias("problems"))
+
+    fields = _descend(claims, "cv", keys + ["family", "at"], "field", "v")
     fields = fields.join(F.broadcast(_rules(payloads.sparkSession)), ["family", "field"], "left")  # fixed size
     fields = fields.select(
-        *keys, "field", "kinds", "allowed", "v", F.expr("concat(at, '.', field)").alias("at"), F.expr(_kind("v")).alias("k"),
+        *keys, "pos", "field", "kinds", "allowed", "v", "problems", F.expr("concat(at, '.', field)").alias("at"), F.expr(_kind("v")).alias("k"),
         F.expr("try_variant_get(v, '$', 'string')").alias("value"))
     fits = "(array_contains(kinds, k) OR (k = 'integer' AND array_contains(kinds, 'number')))"
-    out.append(_problems(
-        fields, _message("kinds IS NULL", "at", "concat('unexpected field ', field)"),
-        _message(f"NOT {fits}", "at", "concat('expected ', array_join(kinds, '|'), '; got ', " + _SHOWN.format("k") + ")"),
-        _message(f"{fits} AND k <> 'null' AND NOT array_contains(allowed, value)", "at", "concat('value \\'', value, '\\' not in allowed enum')"),
-        _message(f"{fits} AND allowed IS NULL AND kinds = array('string') AND value = ''", "at", "'must not be empty'"),
-        _message(f"{fits} AND field IN ('count_min', 'count_max') AND cast(value AS double) < 0", "at", "'must not be negative'"),
-        _message("field = 'evidence_refs' AND k = 'array' AND to_json(v) = '[]'", "at", "'array length 0 below minItems 1'")))
-
-    refs = _step(fields.filter("field = 'evidence_refs' AND k = 'array'"), "v", keys + ["at"], "_k3", "i", "rv").filter("rv IS NOT NULL")
-    refs = refs.select(
-        *keys, "rv", F.expr("concat(at, '[', i, ']')").alias("at"), F.expr(_kind("rv")).alias("k"),
-        F.expr("CASE WHEN schema_of_variant(rv) LIKE 'OBJECT%' THEN json_object_keys(to_json(rv)) END").alias("fields"))
-    out.append(_problems(refs, _message("k <> 'object'", "at", "concat('expected object; got ', " + _SHOWN.format("k") + ")")))
+    own = _found(
+        _check("pos IS NOT NULL AND kinds IS NULL", "at", "concat('unexpected field ', field)"),
+        _check(f"pos IS NOT NULL AND NOT {fits}", "at", "concat('expected ', array_join(kinds, '|'), '; got ', " + _SHOWN.format("k") + ")"),
+        _check(f"{fits} AND k <> 'null' AND NOT array_contains(allowed, value)", "at", "concat('value \\'', value, '\\' not in allowed enum')"),
+        _check(f"{fits} AND allowed IS NULL AND kinds = array('string') AND value = ''", "at", "'must not be empty'"),
+        _check(f"{fits} AND field IN ('count_min', 'count_max') AND cast(value AS double) < 0", "at", "'must not be negative'"),
+        _check("field = 'evidence_refs' AND k = 'array' AND to_json(v) = '[]'", "at", "'array length 0 below minItems 1'"))
+    fields = fields.select(
+        *keys, "at", F.expr("CASE WHEN field = 'evidence_refs' AND k = 'array' THEN v END").alias("v"), F.expr(f"concat(problems, {own})").alias("problems"))
+
+    refs = _descend(fields, "v", keys + ["at"], "_key", "rv").withColumn("k", F.expr(_kind("rv")))
+    refs = refs.select(*keys, "pos", "rv", "k", "problems", F.expr("concat(at, '[', pos, ']')").alias("at"))
     parts = _strings(("citation_unit_id", "quote_text"))
-    lacking = refs.filter("k = 'object'").select(*keys, "at", F.explode(F.expr(f"array_except({parts}, fields)")).alias("field"))
-    out.append(lacking.select(*keys, F.concat("at", F.lit("."), "field").alias("path"), F.lit("missing required field").alias("message")))
-    cells = _step(refs.filter("k = 'object'"), "rv", keys + ["at"], "field", "_p4", "v").select(
-        *keys, "field", F.expr("concat(at, '.', field)").alias("at"), F.expr(_kind("v")).alias("k"), F.expr("try_variant_get(v, '$', 'string')").alias("value"))
-    text = f"array_contains({parts}, field) AND k = 'string'"
-    out.append(_problems(
-        cells, _message(f"NOT array_contains({parts}, field)", "at", "concat('unexpected field ', field)"),
-        _message(f"array_contains({parts}, field) AND k <> 'string'", "at", "concat('expected string; got ', " + _SHOWN.format("k") + ")"),
-        _message(f"{text} AND value = ''", "at", "'must not be empty'"),
-        _message(f"{text} AND field = 'quote_text' AND length(value) > {MAX_QUOTE_CHARS}", "at",
-                 f"concat('string length ', length(value), ' exceeds maxLength {MAX_QUOTE_CHARS}')"),
-        _message(f"{text} AND field = 'quote_text' AND value <> '' AND NOT rlike(value, '(?U)[^\\\\s\\\\x1c-\\\\x1f]')", "at", "'must not be blank'")))
-    return reduce(DataFrame.unionByName, out)
+    own = _found(_check("pos IS NOT NULL AND k <> 'object'", "at", "concat('expected object; got ', " + _SHOWN.format("k") + ")"))
+    missing = _each(f"CASE WHEN k = 'object' THEN array_except({parts}, json_object_keys(to_json(rv))) END", "at", "'missing required field'")
+    refs = refs.select(*keys, "at", F.when(F.col("k") == "object", F.col("rv")).alias("rv"), F.expr(f"concat(problems, {own}, {missing})").alias("problems"))
+
+    cells = _descend(refs, "rv", keys + ["at"], "field", "v").select(
+        *keys, "pos", "field", "problems", F.expr("concat(at, '.', field)").alias("at"), F.expr(_kind("v")).alias("k"), F.expr("try_variant_get(v, '$', 'string')").alias("value"))
+    named = f"array_contains({parts}, field)"
+    text = f"{named} AND k = 'string'"
+    own = _found(
+        _check(f"pos IS NOT NULL AND NOT {named}", "at", "concat('unexpected field ', field)"),
+        _check(f"{named} AND k <> 'string'", "at", "concat('expected string; got ', " + _SHOWN.format("k") + ")"),
+        _check(f"{text} AND value = ''", "at", "'must not be empty'"),
+        _check(f"{text} AND field = 'quote_text' AND length(value) > {MAX_QUOTE_CHARS}", "at",
+               f"concat('string length ', length(value), ' exceeds maxLength {MAX_QUOTE_CHARS}')"),
+        _check(f"{text} AND field = 'quote_text' AND value <> '' AND NOT rlike(value, '(?U)[^\\\\s\\\\x1c-\\\\x1f]')", "at", "'must not be blank'"))
+    found = cells.select(*keys, F.explode(F.expr(f"concat(problems, {own})")).alias("_p"))
+    return found.select(*keys, "_p.path", "_p.message")
 
 
 def is_claim_payload(payload: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracewell.functions.text import SPACE, UNICODE, is_blank, let
+from tracewell.session import cut_lineage
 
 _MIN_TOKENS = 5
 
@@ -52,7 +53,8 @@ def _meet(quotes: DataFrame, texts: DataFrame, scope: list[str], quote_keys: Col
     """Candidate (scope, quote_hash, text_hash) under the rarest key of each quote."""
     keys = quotes.select(*scope, "quote_hash", F.explode(quote_keys).alias("key"))
     wanted = keys.select(*scope, "key").distinct()
-    hits = texts.select(*scope, "text_hash", F.explode(text_keys).alias("key")).join(wanted, scope + ["key"], "left_semi")
+    # Kept: the texts are taken apart once, and only the keys some quote asks for remain.
+    hits = cut_lineage(texts.select(*scope, "text_hash", F.explode(text_keys).alias("key")).join(wanted, scope + ["key"], "left_semi"))
     frequency = hits.groupBy(*scope, "key").agg(F.count(F.lit(1)).alias("texts"))
     # A key no text has rules the quote out: it sorts first and then meets nothing.
     ranked = keys.join(frequency, scope + ["key"], "left")

@@ -16,7 +16,7 @@ from tracewell.operators import reconcile as rec, review as review_ops, runs as
 from tracewell.operators.integrity import integrity_flags
 from tracewell.operators.units import LINE, citation_units
 from tracewell.plans import feeds
-from tracewell.session import Staging
+from tracewell.session import Staging, spread
 from tracewell.streaming.idle import idle_gaps
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,7 +81,7 @@ def stable_ids(spark, folder):
 
 
 def _order_rows(spark, folder):
-    return feeds.table(spark, folder, "orders").select(
+    return spread(feeds.table(spark, folder, "orders")).select(
         F.concat(F.lit("deal_"), "o_custkey").alias("deal_slug"), F.lit("r1").alias("run_id"), "o_orderkey", F.col("o_orderpriority").alias("event_type"),
         F.col("o_orderstatus").alias("event_subtype"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("event_date"),
         F.concat(F.lit("Party  "), F.col("o_orderstatus")).alias("actor_label"), F.lit("organization").alias("actor_kind"), F.lit("").alias("actor_role"),
@@ -138,7 +138,8 @@ def pick_document(spark, folder):
 # ---- binding -------------------------------------------------------------------------
 def _documents(spark, folder, delimiter=None):
     pages = feeds.document_pages(spark, folder).drop("source", "doc_id")
-    return citation_units(pages, multi_page=False) if delimiter is None else citation_units(pages, delimiter, multi_page=False)
+    units = citation_units(pages, multi_page=False) if delimiter is None else citation_units(pages, delimiter, multi_page=False)
+    return Staging().keep("units", units)
 
 
 def bind_quotes(spark, folder):
@@ -167,7 +168,7 @@ def quote_candidates(spark, folder):
     docs = feeds.document_pages(spark, folder)
     pages = docs.select(F.col("source").alias("deal_slug"), F.col("doc_id").alias("page_pos"), F.col("doc_id").cast("int").alias("number"), "content")
     quotes = _first_lines(spark, folder).select(F.col("source").alias("deal_slug"), "quote_text")
-    return binding.candidate_units(quotes, citation_units(pages, LINE)).select(
+    return binding.candidate_units(quotes, Staging().keep("units", citation_units(pages, LINE))).select(
         "deal_slug", text_hash(F.col("quote_text")).alias("quote_hash"), "rank", "citation_unit_id", "page_number", "paragraph_index", "match_count")
 
 

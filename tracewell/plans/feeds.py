@@ -11,6 +11,7 @@ from tracewell.functions.hashing import stable_json
 from tracewell.operators.claims import identify_claims
 from tracewell.schemas import (
     ACTOR_CLASS, CLAIM_FAMILIES, CLAIM_FIELDS, COUNT_QUALIFIER, EVENT_SUBTYPE, FAMILY_BY_TYPE, PROCESS_STAGE, RELATION_TYPE)
+from tracewell.session import spread
 
 SUBJECTS = ("Party A", "party  a", "Apex Capital", "Strategic Foods", "Remaining Bidders", "Kite Advisors")
 GROUPS = ("Sponsor Group", "Delta/Echo")
@@ -27,6 +28,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, folder: str, *columns: str, name: str) -> DataFrame:
+    """Like `table`, for text that is expensive to take apart."""
+    return spread(table(spark, folder, name).select(*columns))
+
+
 def one_of(values, index: str) -> str:
     """SQL: the index-th of a list of literals (0-based); a Python None is NULL."""
     items = ",".join("NULL" if v is None else f"'{v}'" for v in values)
@@ -35,7 +41,7 @@ def one_of(values, index: str) -> str:
 
 def event_feed(spark: SparkSession, folder: str) -> DataFrame:
     """events with k, deal, day and the label and text pieces every adapter shares."""
-    e = table(spark, folder, "events").selectExpr(
+    e = text_table(spark, folder, "event_id", "ts", "user_id", "event_type", "value", "props", name="events").selectExpr(
         "event_id", "ts", "user_id", "event_type", "value", "cast(regexp_extract(props, '([0-9]+)', 1) as int) as k")
     return e.selectExpr(
         "*", "concat('deal_', user_id) as deal_slug", "'r1' as run_id", "date_format(ts, 'yyyy-MM-dd') as day",
@@ -106,7 +112,7 @@ def event_claims(feed: DataFrame) -> DataFrame:
 
 def document_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Every document is a one-page filing."""
-    return table(spark, folder, "documents").selectExpr(
+    return text_table(spark, folder, "doc_id", "source", "text", name="documents").selectExpr(
         "concat('doc_', doc_id) as deal_slug", "doc_id", "source", "0 as page_pos", "1 as number", "text as content")
 
 
