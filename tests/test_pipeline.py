@@ -39,7 +39,7 @@ def one_event(evidence):
 
 
 STITCHED = "On January 3, Party A signed\n\na confidentiality agreement with the Company."
-TOGETHER = "CSC and Pamplona, who together we refer to as CSC/Pamplona"
+TOGETHER = "North and South, who together we call North/South"
 
 
 def relation(s, o, t, role=None):
@@ -56,18 +56,18 @@ DEALS = {
     "unknown": dict(payload=one_event(refs("started", unit="page_9_paragraph_1")), pages=["The process started in January."]),
     "partial": dict(
         payload=payload_of(actor_relation_claims=[claim(
-            "actor_relation", subject_label="Longview", object_label="Buyer Group", relation_type="supports",
-            evidence=refs("Longview met with the Buyer Group.") + refs("Longview signed a cleaned-up receipt.", unit="page_1_paragraph_2"))]),
-        pages=["Longview met with the Buyer Group.\n\nLongview signed a voting agreement."]),
+            "actor_relation", subject_label="Holder One", object_label="Buyer Group", relation_type="supports",
+            evidence=refs("Holder One met with the Buyer Group.") + refs("Holder One signed a cleaned-up receipt.", unit="page_1_paragraph_2"))]),
+        pages=["Holder One met with the Buyer Group.\n\nHolder One signed a voting agreement."]),
     "group": dict(
         payload=payload_of(
-            actor_claims=[claim("actor", TOGETHER, actor_label="CSC/Pamplona", actor_kind="group")],
+            actor_claims=[claim("actor", TOGETHER, actor_label="North/South", actor_kind="group")],
             actor_relation_claims=[
-                relation("CSC", "CSC/Pamplona", "member_of"), relation("Pamplona", "CSC/Pamplona", "member_of"),
-                relation("CSC", "Pamplona", "affiliate_of", "portfolio company"),
-                relation("Pamplona", "CSC/Pamplona", "finances", "committed financing capital")],
-            bid_claims=[claim("bid", TOGETHER, bidder_label="CSC/Pamplona", bid_stage="final", bid_value=21.0)]),
-        pages=[TOGETHER], target="MAC GRAY CORP"),
+                relation("North", "North/South", "member_of"), relation("South", "North/South", "member_of"),
+                relation("North", "South", "affiliate_of", "portfolio company"),
+                relation("South", "North/South", "finances", "committed financing capital")],
+            bid_claims=[claim("bid", TOGETHER, bidder_label="North/South", bid_stage="final", bid_value=21.0)]),
+        pages=[TOGETHER], target="TARGET CORP"),
     "locked": dict(
         payload=payload_of(
             actor_claims=[claim("actor", TOGETHER, actor_label="Party A", actor_class="strategic"),
@@ -165,22 +165,22 @@ def test_one_good_reference_supports_the_claim(out):
     assert len(flag.metadata.supplied_evidence_refs) == 2
     rows = [r for r in of(out, "review_rows", "partial") if r.relation_id]
     assert len(rows) == 1 and rows[0].review_status == "needs_review" and rows[0].evidence_ref_index == "1"
-    assert rows[0].bound_source_quote == "Longview met with the Buyer Group."
+    assert rows[0].bound_source_quote == "Holder One met with the Buyer Group."
     assert len(of(out, "evidence", "partial")) == 1
 
 
 def test_group_relations_and_shared_quotes(out):
     actors = {r.actor_label: r for r in of(out, "actors", "group")}
-    assert actors["CSC"].bidder_class == "strategic"
-    assert actors["CSC/Pamplona"].actor_kind == "group" and actors["CSC/Pamplona"].bidder_class == "strategic"
-    assert actors["CSC/Pamplona"].has_strategic_member and actors["CSC/Pamplona"].has_financial_member
+    assert actors["North"].bidder_class == "strategic"
+    assert actors["North/South"].actor_kind == "group" and actors["North/South"].bidder_class == "strategic"
+    assert actors["North/South"].has_strategic_member and actors["North/South"].has_financial_member
     assert of(out, "deals", "group")[0].target_actor_id.startswith("actor_")
     review = of(out, "review_rows", "group")
     assert len({r.claim_id for r in review}) == 1  # one shared span: every row cites the first claim
-    group = next(r for r in review if r.actor_label == "CSC/Pamplona" and not r.relation_id and not r.event_id)
+    group = next(r for r in review if r.actor_label == "North/South" and not r.relation_id and not r.event_id)
     assert group.bound_source_page == " | ".join(["1"] * 5)
     bid = next(r for r in of(out, "ledger", "group") if r.event_code == "bid_submitted")
-    assert (bid.formality, bid.stage, bid.review_label) == ("formal", "final_round", "CSC/Pamplona submitted final bid (21.0)")
+    assert (bid.formality, bid.stage, bid.review_label) == ("formal", "final_round", "North/South submitted final bid (21.0)")
 
 
 def test_stated_class_is_locked_and_role_detail_splits_relations(out):

@@ -1,9 +1,10 @@
 """Exact substring search between two tables without comparing every pair (J3, J4 blocking).
 
 Every whole token inside a quote (not its first or last) is a whole token of any text that
-holds the quote. So quotes and texts meet on three-token shingles; each quote is looked up
-under its rarest shingle only, and every meeting is verified on the text itself. Quotes too
-short for a shingle meet on character grams in the same way. Nothing is capped.
+holds the quote. So quotes and texts meet on three-token shingles, shorter quotes on one inner
+token; each quote is looked up under its rarest key only, and every meeting is verified on the
+text itself. A quote of one or two tokens has no inner token: its longest part lies inside some
+token, so it is searched in the distinct tokens first. Nothing is capped.
 """
 from __future__ import annotations
 
@@ -64,6 +65,21 @@ def _meet(quotes: DataFrame, texts: DataFrame, scope: list[str], quote_keys: Col
     return hits.join(rarest, scope + ["key"]).select(*scope, "quote_hash", "text_hash")
 
 
+def _meet_in_tokens(quotes: DataFrame, texts: DataFrame, scope: list[str]) -> DataFrame:
+    """Candidates of quotes without an inner token: texts with a token that holds the quote's longest part."""
+    longest = F.array_max(F.transform(_tokens(F.col("quote_text")), lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    quotes = quotes.withColumn("part", longest)
+    parts = quotes.select(*scope, "part", F.sha2("part", 256).alias("quote_hash"), _characters(F.col("part")).alias("c")).distinct()
+    index = texts.select(*scope, F.col("text_hash").alias("holder"), F.explode(F.array_distinct(_tokens(F.col("text")))).alias("token"))
+    words = index.select(*scope, "token").distinct().select(*scope, "token", F.sha2("token", 256).alias("text_hash"), _characters(F.col("token")).alias("c"))
+    size, chars = F.size("c"), F.col("c")
+    grams = F.when(size >= 3, _grams(chars, 3)).when(size == 2, _grams(chars, 2)).otherwise(_grams(chars, 1))
+    met = _meet(parts, words, scope, grams, F.concat(*[_grams(chars, n) for n in (1, 2, 3)]))
+    found = met.join(parts.drop("c"), scope + ["quote_hash"]).join(words.drop("c"), scope + ["text_hash"]).filter(F.col("token").contains(F.col("part")))
+    holders = index.join(found.select(*scope, "part", "token"), scope + ["token"]).select(*scope, "part", F.col("holder").alias("text_hash")).distinct()
+    return holders.join(quotes.select(*scope, "part", "quote_hash"), scope + ["part"]).select(*scope, "quote_hash", "text_hash")
+
+
 def contains_pairs(quotes: DataFrame, texts: DataFrame, scope: list[str], short_quotes: bool | None = None) -> DataFrame:
     """(scope, quote_text, text_hash, overlapping, plain) for every distinct text that holds the quote.
 
@@ -73,19 +89,20 @@ def contains_pairs(quotes: DataFrame, texts: DataFrame, scope: list[str], short_
     quotes = quotes.filter(~is_blank(F.col("quote_text"))).select(*scope, "quote_text").distinct()
     quotes = quotes.withColumn("quote_hash", F.sha2("quote_text", 256))
     texts = texts.select(*scope, "text_hash", "text").dropDuplicates(scope + ["text_hash"])
-    long_quote = F.size(_tokens(F.col("quote_text"))) >= _MIN_TOKENS
-    candidates = _meet(
-        quotes.filter(long_quote), texts, scope, _grams(_inner_tokens(F.col("quote_text")), 3), _grams(_tokens(F.col("text")), 3))
+    tokens = F.size(_tokens(F.col("quote_text")))
+    text_tokens = _tokens(F.col("text"))
+    inner = _inner_tokens(F.col("quote_text"))
+    candidates = _meet(quotes.filter(tokens >= _MIN_TOKENS), texts, scope, _grams(inner, 3), _grams(text_tokens, 3))
     if short_quotes is None:
-        short_quotes = not quotes.filter(~long_quote).isEmpty()
-    if short_quotes:
-        size = F.length("quote_text")
-        chars = F.col("_chars")
-        short = quotes.filter(~long_quote).withColumn("_chars", _characters(F.col("quote_text")))
-        grams = F.when(size >= 3, _grams(chars, 3)).when(size == 2, _grams(chars, 2)).otherwise(_grams(chars, 1))
-        text_grams = F.concat(*[_grams(chars, n) for n in (1, 2, 3)])
-        spelled = texts.withColumn("_chars", _characters(F.col("text")))
-        candidates = candidates.unionByName(_meet(short, spelled, scope, grams, text_grams))
+        seen = quotes.agg(F.bool_or(tokens.between(3, _MIN_TOKENS - 1)).alias("few"), F.bool_or(tokens < 3).alias("bare")).first()
+        few, bare = bool(seen.few), bool(seen.bare)
+    else:
+        few = bare = short_quotes
+    if few:
+        candidates = candidates.unionByName(_meet(
+            quotes.filter(tokens.between(3, _MIN_TOKENS - 1)), texts, scope, _grams(inner, 1), _grams(text_tokens, 1)))
+    if bare:
+        candidates = candidates.unionByName(_meet_in_tokens(quotes.filter(tokens < 3), texts, scope))
     pairs = candidates.join(quotes, scope + ["quote_hash"]).join(texts, scope + ["text_hash"])
     return pairs.filter(F.col("text").contains(F.col("quote_text"))).select(
         *scope, "quote_text", "text_hash",
