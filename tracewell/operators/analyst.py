@@ -27,9 +27,9 @@ def column_profile(rows: DataFrame, column: str, top: int = TOP) -> DataFrame:
     """The most frequent values of a column with their share. Ties by value."""
     value = F.coalesce(F.nullif(F.col(column).cast("string"), F.lit("")), F.lit(EMPTY))
     counts = rows.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
-    return counts.orderBy(F.col("n").desc(), "value").limit(top).join(total).select(
-        F.lit(column).alias("column_name"), "value", "n", (F.col("n") / F.col("total")).alias("share"))
+    total = rows.agg(F.count(F.lit(1)).alias("total")).scalar()
+    return counts.orderBy(F.col("n").desc(), "value").limit(top).select(
+        F.lit(column).alias("column_name"), "value", "n", (F.col("n") / total).alias("share"))
 
 
 def number_profile(rows: DataFrame, column: str) -> DataFrame:
@@ -38,9 +38,9 @@ def number_profile(rows: DataFrame, column: str) -> DataFrame:
     The median is exact: values are counted first, so the running count goes over distinct values.
     """
     values = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    totals = values.agg(F.sum("n").alias("count"), F.min("v").alias("min"), F.max("v").alias("max"))
+    totals = values.agg(F.struct(F.sum("n").alias("count"), F.min("v").alias("min"), F.max("v").alias("max")).alias("t")).scalar()
     # Coarse blocks of the value range keep the running count out of one task.
-    with_range = values.join(totals)
+    with_range = values.select("v", "n", totals.alias("t")).select("v", "n", "t.*")
     width = F.greatest((F.col("max") - F.col("min")) / 1024, F.lit(1e-12))
     blocked = with_range.withColumn("b", F.floor((F.col("v") - F.col("min")) / width))
     blocks = blocked.groupBy("b").agg(F.sum("n").alias("bn"))

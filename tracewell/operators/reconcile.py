@@ -222,8 +222,8 @@ def flag_log_issues(output_flags: DataFrame, log: DataFrame, progress: DataFrame
 def summary(all_issues: DataFrame, checked: DataFrame) -> DataFrame:
     """One row: ok, errors, warnings, deals checked."""
     counts = all_issues.agg(F.count_if(F.col("severity") == "error").alias("error_count"), F.count_if(F.col("severity") == "warning").alias("warning_count"))
-    return counts.join(checked.agg(F.count_distinct("deal_slug").alias("checked_slugs"))).select(
-        (F.col("error_count") == 0).alias("ok"), "error_count", "warning_count", "checked_slugs")
+    deals = checked.agg(F.count_distinct("deal_slug").alias("n")).scalar()
+    return counts.select((F.col("error_count") == 0).alias("ok"), "error_count", "warning_count", deals.alias("checked_slugs"))
 
 
 def reconcile(parts: list[DataFrame]) -> DataFrame:

@@ -249,7 +249,7 @@ def release_gate(references: DataFrame, proof: DataFrame, header: DataFrame, rel
     ok = (
         F.coalesce("is_reference", F.lit(False)) & F.coalesce("verified", F.lit(False))
         & F.col("verification_report").isNotNull() & F.col("last_verified_run_id").isNotNull())
-    refs = references.agg(F.count(F.lit(1)).alias("references"), F.count_if(ok).alias("verified"))
+    refs = references.agg(F.struct(F.count(F.lit(1)).alias("references"), F.count_if(ok).alias("verified")).alias("r")).scalar()
     p = proof.select("*", F.lit(True).alias("_p")).withColumnRenamed("slug", "deal_slug")
     checked = references.select("deal_slug").join(p, "deal_slug", "full")
     # full join: a proof row without a reference is as wrong as a reference without a proof row
@@ -271,8 +271,8 @@ def release_gate(references: DataFrame, proof: DataFrame, header: DataFrame, rel
     if run_dirs is not None:
         lost = proof.select(F.col("slug").alias("deal_slug"), F.explode("selected_run_dirs").alias("path")).join(run_dirs, "path", "left_anti")
         bad = bad.unionByName(lost.select("deal_slug", F.concat(F.lit("selected run directory is missing: "), F.col("path")).alias("reason")))
-    first_bad = bad.agg(F.min(F.struct("deal_slug", "reason"))["reason"].alias("proof_reason"))
-    row = header.join(refs).join(first_bad)  # three one-row tables
+    first_bad = bad.agg(F.min(F.struct("deal_slug", "reason"))["reason"].alias("proof_reason")).scalar()
+    row = header.select("*", refs.alias("_r"), first_bad.alias("proof_reason")).select("*", "_r.*").drop("_r")
     head_reason = (
         F.when(F.col("schema_version") != PROOF_SCHEMA_VERSION, f"stability proof schema_version is not {PROOF_SCHEMA_VERSION}")
         .when(F.col("classification") != STABLE, F.concat(F.lit("stability proof classification="), F.col("classification")))

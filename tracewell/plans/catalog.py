@@ -16,8 +16,8 @@ from tracewell.operators import reconcile as rec, review as review_ops, runs as
 from tracewell.operators.integrity import integrity_flags
 from tracewell.operators.units import LINE, citation_units
 from tracewell.plans import feeds
-from tracewell.session import Staging, spread
-from tracewell.streaming.idle import idle_gaps
+from tracewell.session import Staging, shared_folder, spread
+from tracewell.streaming.idle import idle_gaps, idle_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 _STAGED: dict[tuple[str, str, str], DataFrame] = {}
@@ -550,10 +550,7 @@ def idle_gaps_q(spark, folder):
 
 def stream_sessions(spark, folder):
     """Z2 as a stream over the events table, run to its end."""
-    import tempfile
-
-    from tracewell.streaming.idle import idle_sessions
-    base = tempfile.mkdtemp(prefix="spark-stream-", dir=spark.conf.get("spark.checkpoint.dir", None) or "/tmp")
+    base = shared_folder(spark, "sessions")
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
     source = spark.readStream.schema(schema).parquet(f"{folder}/events.parque[t]")
     closed = idle_sessions(source, ["user_id"])

@@ -381,14 +381,14 @@ TABLE_SQL: dict[str, str] = {
       SELECT i.page_id, issue, CASE WHEN issue IS NULL AND pf = 'SC TO-T' AND po IS NULL THEN 'cover form used; no offer exhibit found' END AS warning, d.name, d.form AS form_type, d.size_bytes, d.url
       FROM i LEFT JOIN d ON issue IS NULL AND d.page_id = i.page_id AND d.pos = CASE WHEN pf = 'SC TO-T' AND po IS NOT NULL THEN po ELSE pp END""",
     "bind_quotes": f"""WITH q AS (SELECT item_id, text AS quote FROM benchmark), hit AS (SELECT q.item_id, d.doc_id, d.text, {COUNT_IN} AS n FROM q JOIN documents d ON contains(d.text, q.quote)),
-      s AS (SELECT item_id, sum(n) AS n, min(doc_id) AS doc_id FROM hit GROUP BY 1),
+      s AS (SELECT item_id, CAST(sum(n) AS BIGINT) AS n, min(doc_id) AS doc_id FROM hit GROUP BY 1),
       j AS (SELECT q.*, coalesce(n, 0) AS n, CASE WHEN n = 1 THEN s.doc_id END AS doc_id FROM q LEFT JOIN s USING (item_id)), l AS (SELECT j.*, strpos(d.text, quote) - 1 AS a, {made("filing", "'doc_' || j.doc_id")} AS fid FROM j LEFT JOIN documents d ON d.doc_id = j.doc_id)
       SELECT item_id, CASE WHEN n = 0 THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'bound' END AS status, n AS occurrences, 'doc_' || doc_id AS deal_slug, CASE WHEN doc_id IS NOT NULL THEN 'page_1_paragraph_1' END AS unit_id, a AS span_start, a + length(quote) AS span_end,
         CASE WHEN doc_id IS NOT NULL THEN sha256(quote) END AS quote_text_hash, CASE WHEN doc_id IS NOT NULL THEN {made("ev", "fid", "a", "a + length(quote)", "sha256(quote)")} END AS evidence_id,
         CASE WHEN doc_id IS NOT NULL THEN sha256(fid || {U} || a || {U} || (a + length(quote)) || {U} || sha256(quote)) END AS evidence_fingerprint FROM l""",
-    "unbound_quotes": f"""WITH q AS (SELECT conv_id, turn, text AS quote FROM conversations), s AS (SELECT conv_id, turn, sum({COUNT_IN}) AS n FROM q JOIN documents d ON contains(d.text, q.quote) GROUP BY 1, 2)
+    "unbound_quotes": f"""WITH q AS (SELECT conv_id, turn, text AS quote FROM conversations), s AS (SELECT conv_id, turn, CAST(sum({COUNT_IN}) AS BIGINT) AS n FROM q JOIN documents d ON contains(d.text, q.quote) GROUP BY 1, 2)
       SELECT q.conv_id, q.turn, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'bound' END AS status, coalesce(n, 0) AS occurrences FROM q LEFT JOIN s USING (conv_id, turn)""",
-    "ambiguous_quotes": f"""WITH q AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS quote FROM documents), s AS (SELECT q.id, sum({COUNT_IN}) AS n FROM q JOIN documents d ON contains(d.text, q.quote) GROUP BY 1)
+    "ambiguous_quotes": f"""WITH q AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS quote FROM documents), s AS (SELECT q.id, CAST(sum({COUNT_IN}) AS BIGINT) AS n FROM q JOIN documents d ON contains(d.text, q.quote) GROUP BY 1)
       SELECT id AS doc_id, n AS occurrences FROM s WHERE n > 1""",
     "quote_candidates": "WITH " + LINES + """, q AS (SELECT DISTINCT source, split_part(text, chr(10), 1) AS quote FROM documents), u AS (SELECT un.*, source FROM un JOIN documents USING (doc_id)),
       h AS (SELECT q.source, quote, doc_id, pi, CAST((length(t) - length(replace(t, quote, ''))) / length(quote) AS INTEGER) AS n, row_number() OVER (PARTITION BY q.source, quote ORDER BY doc_id, pi) AS r FROM q JOIN u ON u.source = q.source AND contains(t, quote))
@@ -444,8 +444,8 @@ TABLE_SQL: dict[str, str] = {
       b AS (SELECT 'stability proof slug ' || deal_slug || ' classification=' || classification AS m FROM res WHERE c % 5 = 0 AND classification NOT LIKE 'STABLE%' ORDER BY deal_slug LIMIT 1),
       g AS (SELECT n, v, CASE WHEN w.c NOT LIKE 'STABLE%' THEN 'stability proof classification=' || w.c ELSE (SELECT m FROM b) END AS p FROM r, w)
       SELECT n AS references, v AS verified, coalesce(p, 'stability proof accepted') AS proof_reason, false AS is_open, concat_ws('; ', CASE WHEN n > v THEN (n - v) || ' reference deals lack verified=true metadata' END, p, 'operator must pass --release-targets') AS blockers FROM g""",
-    "call_summary": "WITH " + EV + """ SELECT deal_slug, 'r1' AS run_id, coalesce(sum(CASE WHEN k % 10 <> 0 THEN k % 4 END), 0) AS total_attempts, sum(k % 3) AS watchdog_warnings, arg_min('hash_' || k, event_id) FILTER (WHERE event_type = 'view' AND k % 9 <> 0) AS prompt_hash,
-      sum(k * 10) AS total_input_tokens, sum(k) AS total_output_tokens, 0 AS total_reasoning_tokens FROM ek GROUP BY 1""",
+    "call_summary": "WITH " + EV + """ SELECT deal_slug, 'r1' AS run_id, CAST(coalesce(sum(CASE WHEN k % 10 <> 0 THEN k % 4 END), 0) AS BIGINT) AS total_attempts, CAST(sum(k % 3) AS BIGINT) AS watchdog_warnings, arg_min('hash_' || k, event_id) FILTER (WHERE event_type = 'view' AND k % 9 <> 0) AS prompt_hash,
+      CAST(sum(k * 10) AS BIGINT) AS total_input_tokens, CAST(sum(k) AS BIGINT) AS total_output_tokens, 0 AS total_reasoning_tokens FROM ek GROUP BY 1""",
     "pool_summary": "WITH " + STATE + f""" SELECT c % 10 AS pool, count(*) AS selected, count(*) FILTER (WHERE status IN {TRUSTED}) AS succeeded, count(*) FILTER (WHERE status IS NULL) AS skipped, count(*) FILTER (WHERE status IN ('failed_system', 'stale_after_failure')) AS failed,
       {', '.join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in STATE_VALUES[:5])} FROM st GROUP BY 1""",
     "skip_plan": "WITH " + STATE + f""" SELECT deal_slug, CASE WHEN status = 'verified_old' THEN 'blocked' WHEN status IN {TRUSTED} AND rules = 'rules_1' THEN 'skip' ELSE 'run' END AS action,
