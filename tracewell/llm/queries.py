@@ -5,10 +5,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import mixing, quality, simhash
+from tracewell.llm import bpe, mixing, packing, quality, simhash
 from tracewell.llm.common import table
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_digest(spark, table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_digest(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
@@ -17,13 +21,19 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_digest(spark, table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe": op2_bpe,
     "op4_mixing": op4_mixing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_packing": op6_packing,
     "op8_simhash": op8_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}
