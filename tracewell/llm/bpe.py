@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from tracewell.llm.common import map_pandas, ship
 from tracewell.llm.pieces import PieceMemo
 
 #: Nodes of a worker's trie; beyond them it starts anew, with the same results.
@@ -220,6 +221,7 @@ def encoded(docs: DataFrame, raw: str | None = None, text: str = "text", out: st
     import pyspark.sql.functions as F
     from pyspark.sql.types import ArrayType, IntegerType
 
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(raw or tokenizer_text())
 
     @F.pandas_udf(ArrayType(IntegerType()))
@@ -235,6 +237,7 @@ def decoded(docs: DataFrame, raw: str | None = None, ids: str = "ids", out: str
     import pyspark.sql.functions as F
     from pyspark.sql.types import StringType
 
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(raw or tokenizer_text())
 
     @F.pandas_udf(StringType())
@@ -260,4 +263,4 @@ def bpe_digest(spark: SparkSession, docs: DataFrame, raw: str | None = None) ->
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"], "n_tokens": [r[0] for r in rows], "ids_sha256": [r[1] for r in rows], "decoded_sha256": [r[2] for r in rows]})
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(digests, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_pandas(docs.select("doc_id", "text"), digests, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")

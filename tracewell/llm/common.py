@@ -1,10 +1,16 @@
 """Small pieces that the training-data operators share."""
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tracewell.session import shared_folder
+
 #: White space of all word rules here: blank, tab, line feed, vertical tab, form feed, return.
 SPACE_CHARS = " \t\n\u000b\f\r"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -25,13 +31,35 @@ def words_of(text: Column) -> Column:
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder of the cluster, read back: cuts lineage, keeps column pruning."""
-    from tracewell.session import shared_folder
-
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def scratch_name(name: str) -> str:
-    """A column name that clashes with no column of the caller."""
-    return f"_{name}_{uuid.uuid4().hex[:8]}"
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the Python workers, once per application, as spark-submit --py-files would.
+
+    The archive is the driver's own file; Spark's file server takes it to the executors.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="py-files-"), "tracewell_llm_files.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
+def map_pandas(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """mapInPandas for functions of this package."""
+    ship(df.sparkSession)
+    return df.mapInPandas(function, schema)

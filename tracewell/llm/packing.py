@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tracewell.llm.common import stage_table
+from tracewell.llm.common import map_pandas, stage_table
 from tracewell.llm.pieces import PieceMemo
 from tracewell.session import shared_folder
 
@@ -192,7 +192,7 @@ def write_shards(docs: DataFrame, folder: str, raw: str, end_id: int = 2, bits:
     ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     manifest = stage_table(
-        ordered.mapInPandas(write, "part long, path string, doc_ids array<long>, n_docs long, n_ids long"), "manifest")
+        map_pandas(ordered, write, "part long, path string, doc_ids array<long>, n_docs long, n_ids long"), "manifest")
     return manifest
 
 
@@ -214,8 +214,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     yield pd.DataFrame({
                         "part": part, "doc_id": pd.array(list(ids[at:at + len(starts) - 1]), dtype="Int64"), "local": starts[:-1].astype(np.int64),
                         "n_tokens": np.diff(local), "ids_crc32": [zlib.crc32(tokens[a:b].tobytes()) for a, b in zip(local[:-1], local[1:])]})
-    rows = manifest.select("part", "path", "doc_ids").repartition("part").mapInPandas(
-        read, "part long, doc_id long, local long, n_tokens long, ids_crc32 long")
+    rows = map_pandas(
+        manifest.select("part", "path", "doc_ids").repartition("part"), read, "part long, doc_id long, local long, n_tokens long, ids_crc32 long")
     return rows.join(placed, "part").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType
 
-from tracewell.llm.common import stage_table
+from tracewell.llm.common import map_pandas, ship, stage_table
 from tracewell.session import cut_lineage
 
 SHINGLE = 4
@@ -77,6 +77,7 @@ def _fingerprints(texts: pd.Series) -> pd.Series:
 
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """docs plus the fingerprint as a signed long with the same bits."""
+    ship(docs.sparkSession)
     return docs.withColumn(out, _fingerprints(F.col(text)))
 
 
@@ -219,8 +220,8 @@ def _link_keys(batches):
 
 def links(fingerprints: DataFrame) -> DataFrame:
     """(a, b): edges that connect exactly the components of the distinct fingerprints in column `fp`."""
-    keys = fingerprints.mapInPandas(_emit_keys, "key long, fp long")
-    return keys.repartition("key").sortWithinPartitions("key").mapInPandas(_link_keys, "a long, b long").distinct()
+    keys = map_pandas(fingerprints, _emit_keys, "key long, fp long")
+    return map_pandas(keys.repartition("key").sortWithinPartitions("key"), _link_keys, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
