@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import bpe, mixing, packing, quality, simhash
+from tracewell.llm import bpe, mixing, packing, quality, simhash, substring
 from tracewell.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_digest(spark, table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_digest(spark, table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -34,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_quality_rules": op5_quality_rules,
     "op6_packing": op6_packing,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_simhash": op8_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}
