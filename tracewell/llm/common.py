@@ -32,7 +32,7 @@ def words_of(text: Column) -> Column:
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder of the cluster, read back: cuts lineage, keeps column pruning."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

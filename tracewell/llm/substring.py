@@ -3,8 +3,8 @@
 Words are what ASCII white space parts. A passage is repeated if 20 consecutive words of it stand
 earlier, in a smaller doc_id or earlier in the same document.
 
-Seeds: every window of 20 words picks the least hash among its 5-word shingles (winnowing), so equal
-windows pick equal anchors at equal places. Anchors, about one in eight words, are the only thing
+Seeds: every window of 20 words picks the least hash among its 8-word shingles (winnowing), so equal
+windows pick equal anchors at equal places. Anchors, about one in seven words, are the only thing
 that is counted for all texts; anchors that occur once end there.
 
 Extension: an anchor is extended both ways over the words of all windows that picked it; this span,
@@ -24,12 +24,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewell.llm.common import map_pandas
+from tracewell.llm.common import map_pandas, stage_table
 
 WINDOW = 20
-SHINGLE = 5
-#: Shingles of a window; a power of two, for the minimum by doubling.
+SHINGLE = 8
+#: Shingles of a window.
 PICK = WINDOW - SHINGLE + 1
+#: Bits of an anchor: it only nominates, and 48 bits make the largest exchange smaller.
+ANCHOR_BITS = 48
 #: Bytes of text hashed at once.
 CHUNK_BYTES = 1 << 21
 #: A place packs 20 bits of the text's hash, the first of its windows and their number.
@@ -130,9 +132,11 @@ class Words:
         place = np.arange(len(self.shingle))
         step = 1
         while step < PICK:
-            left, right = place[:-step], place[step:]
+            # The last step overlaps where PICK is no power of two.
+            by = min(step, PICK - step)
+            left, right = place[:-by], place[by:]
             place = np.where(self.shingle[right] <= self.shingle[left], right, left)
-            step *= 2
+            step += by
         return place
 
     def seeds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -148,20 +152,36 @@ class Words:
         new = np.flatnonzero(np.concatenate(([True], (picked[1:] != picked[:-1]) | (owner[1:] != owner[:-1]))))
         number = np.diff(np.append(new, len(valid)))
         first, last = valid[new], valid[new + number - 1]
-        # The first and the last window overlap or touch (at most 16 apart), so both together are the span.
+        # The first and the last window overlap (they are less than 20 apart), so both together are the span.
         span = _mixed(self.windows[1][first] * WORD_BASES[0] + self.windows[1][last] + number.astype(np.uint64))
-        return self.shingle[picked[new]], span, first, number
+        return self.shingle[picked[new]] >> np.uint64(64 - ANCHOR_BITS), span, first, number
 
 
 def _salt(text: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=4).digest(), "little") & ((1 << 20) - 1)
 
 
-def _chunks(batch: pd.DataFrame):
+def _emit_packed(batches):
+    """Texts as compressed UTF-8, to cross the network; every empty or null one is empty."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=6).compress
+    for batch in batches:
+        yield pd.DataFrame({
+            "doc": batch["doc"], "doc_id": batch["doc_id"], "packed": [squeeze(t.encode("utf-8", "replace")) if t else b"" for t in batch["text"]]})
+
+
+def _opened(column: pd.Series):
+    import zstandard
+
+    expand = zstandard.ZstdDecompressor().decompress
+    return (expand(p) if p else b"" for p in column)
+
+
+def _chunks(raws):
     """Row numbers and encoded texts of a batch, some megabytes at a time; one text is never cut."""
     rows, texts, held = [], [], 0
-    for row, text in enumerate(batch["text"]):
-        raw = (text or "").encode("utf-8", "replace")
+    for row, raw in enumerate(raws):
         rows.append(row)
         texts.append(raw)
         held += len(raw)
@@ -180,7 +200,7 @@ def _places(texts: list[bytes], owner: np.ndarray, first: np.ndarray, number: np
 def _emit_seeds(batches):
     for batch in batches:
         keys = batch["doc"].to_numpy(np.int64)
-        for rows, texts in _chunks(batch):
+        for rows, texts in _chunks((t or "").encode("utf-8", "replace") for t in batch["text"]):
             words = Words(texts)
             anchor, span, first, number = words.seeds()
             owner = words.owner[first]
@@ -201,7 +221,7 @@ def _emit_windows(batches):
     """Windows to be extended one by one: (key1, key2, doc, place)."""
     for batch in batches:
         keys, places = batch["doc"].to_numpy(np.int64), batch["places"].tolist()
-        for rows, texts in _chunks(batch):
+        for rows, texts in _chunks(_opened(batch["packed"])):
             words = Words(texts)
             starts = [_unpacked(places[r], t) for r, t in zip(rows, texts)]
             owner = np.repeat(np.arange(len(rows)), [len(s) for s in starts])
@@ -215,8 +235,7 @@ def _emit_windows(batches):
 def _emit_kept(batches):
     for batch in batches:
         out = {"n_words": [], "n_removed": [], "kept": []}
-        for text, places in zip(batch["text"], batch["places"].tolist()):
-            raw = (text or "").encode("utf-8", "replace")
+        for raw, places in zip(_opened(batch["packed"]), batch["places"].tolist()):
             words = raw.split()
             starts = _unpacked(places, raw) if places is not None else ()
             out["n_words"].append(len(words))
@@ -243,24 +262,23 @@ def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     document in this sense. Any other columns are ignored.
     """
     own = docs.select("doc_id", F.col(text).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"))
-    texts = own.select("doc", "doc_id", "text")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    # The packed texts are dealt out by document once: the joins below take the same columns, so they share that exchange.
+    texts = map_pandas(own, _emit_packed, f"doc long, doc_id {id_type}, packed binary")
     seeds = map_pandas(own.select("doc", "text"), _emit_seeds, "anchor long, span long, doc long, place long")
-    repeated = seeds.groupBy("anchor").agg(
-        F.count(F.lit(1)).alias("n"), (F.min("span") != F.max("span")).alias("several")).where("n > 1").select("anchor", "several")
-    # The second key keeps both hashes but not the partitioning of the join, so a hot anchor may be split there.
-    hits = seeds.join(repeated, "anchor").select(
-        "span", F.col("anchor").bitwiseXOR(F.col("span")).alias("other"), "several", "doc", "place")
-    firsts = hits.groupBy("span", "other").agg(F.min(F.struct("doc", "place")).alias("first"), F.max("several").alias("several"))
-    copies = hits.join(firsts.select("span", "other", "first"), ["span", "other"]).where(F.struct("doc", "place") > F.col("first")).select("doc", "place")
-    extend = _by_document(firsts.where("several").select("first.doc", "first.place"))
+    repeated = seeds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    hits = stage_table(seeds.join(repeated, "anchor"), "seeds")
+    firsts = stage_table(hits.groupBy("span", "anchor").agg(F.min(F.struct("doc", "place")).alias("first")), "spans")
+    copies = hits.join(firsts, ["span", "anchor"]).where(F.struct("doc", "place") > F.col("first")).select("doc", "place")
+    several = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    extend = _by_document(firsts.join(several, "anchor").select("first.doc", "first.place"))
     windows = map_pandas(
-        texts.join(extend, "doc").select("doc", "text", "places"), _emit_windows, "key1 long, key2 long, doc long, place long")
+        texts.join(extend, "doc").select("doc", "doc_id", "packed", "places"), _emit_windows, "key1 long, key2 long, doc long, place long")
     earliest = windows.groupBy("key1", "key2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "place")).alias("first")).where("n > 1")
     later = windows.join(earliest, ["key1", "key2"]).where(F.struct("doc", "place") > F.col("first")).select("doc", "place")
     flagged = _by_document(copies.union(later))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
     return map_pandas(
-        texts.join(flagged, "doc", "left").select("doc_id", "text", "places"), _emit_kept,
+        texts.join(flagged, "doc", "left").select("doc_id", "packed", "places"), _emit_kept,
         f"doc_id {id_type}, n_words long, n_removed long, kept string")
 
 
