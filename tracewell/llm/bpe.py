@@ -26,6 +26,10 @@ from tracewell.llm.pieces import PieceMemo
 
 #: Nodes of a worker's trie; beyond them it starts anew, with the same results.
 MAX_NODES = 600_000
+#: Pieces of text a worker remembers.
+MAX_PIECES = 300_000
+#: A blank and Latin letters: one pre-token.
+PLAIN_WORD = re.compile(r" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 #: Bits that hold any token id, to pack a pair of ids into one key.
 PAIR_SHIFT = 24
 
@@ -163,11 +167,11 @@ class Codec:
     def __init__(self, raw: str):
         self.vocabulary = Vocabulary(raw)
         self.trie = Trie(self.vocabulary)
-        self.memo = PieceMemo(lambda texts: [self.spelled(t) for t in texts])
+        self.memo = PieceMemo(lambda texts: [self.spelled(t) for t in texts], lambda a, b: (f"{a[0]},{b[0]}", a[1] + b[1]), MAX_PIECES)
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text; special tokens spelled in it become their ids."""
-        if text[1:].isalpha() and text[0] == " ":
+        if PLAIN_WORD.fullmatch(text):
             return self.trie.encode(text.encode("utf-8"))
         out: list[int] = []
         vocabulary = self.vocabulary

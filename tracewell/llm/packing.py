@@ -32,6 +32,8 @@ MAGIC = b"IDPACK01"
 FOOTER = struct.Struct("<8sIIQQ")
 #: Ids unpacked at once when documents are read back.
 READ_IDS = 1 << 20
+#: Pieces of text a worker remembers.
+MAX_PIECES = 800_000
 
 
 def bits_for(vocabulary_size: int) -> int:
@@ -140,6 +142,26 @@ class ShardReader:
             at = to
 
 
+def encode_many(tokenizer, texts: list[str]) -> list[bytes]:
+    """Ids of each text as little-endian u32 bytes, by one call of the tokenizers library.
+
+    A special token between the texts parts them for the library as their ends would, and its id
+    shows where each ends; texts that spell a special token themselves are encoded alone.
+    """
+    raw = lambda ids: np.array(ids, "<u4").tobytes()
+    special = next((t for t in tokenizer.get_added_tokens_decoder().values() if t.special and not (t.lstrip or t.rstrip or t.single_word)), None)
+    if special is None:
+        return [raw(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    mark, number = special.content, tokenizer.token_to_id(special.content)
+    alone = [mark in t for t in texts]
+    joined = mark.join(t for t, a in zip(texts, alone) if not a)
+    ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+    cuts = np.flatnonzero(ids == number).tolist()
+    flat = ids.tobytes()
+    parts = iter([flat[4 * a:4 * b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)])])
+    return [raw(tokenizer.encode(t, add_special_tokens=False).ids) if a else next(parts) for t, a in zip(texts, alone)]
+
+
 _MEMOS: dict[int, PieceMemo] = {}
 
 
@@ -153,9 +175,8 @@ def _memo_of(raw: str) -> PieceMemo:
         tokenizer = Tokenizer.from_str(raw)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
         _MEMOS.clear()
-        _MEMOS[key] = PieceMemo(lambda texts: [np.array(e.ids, "<u4").tobytes() for e in batch(texts, add_special_tokens=False)])
+        _MEMOS[key] = PieceMemo(lambda texts: encode_many(tokenizer, texts), lambda a, b: a + b, MAX_PIECES)
     return _MEMOS[key]
 
 

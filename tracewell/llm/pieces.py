@@ -8,19 +8,25 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 ADJACENT_SPACES = re.compile(r"\s\s")
-#: Pieces a worker remembers; the older half makes room, with the same results.
-MAX_PIECES = 300_000
+#: Latin letters with one mark behind: the mark is a pre-token of its own, so the word's value serves again.
+MARKED_WORD = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+[,.]")
 #: Characters of text cut into pieces at once, beyond which the next texts wait.
 CHUNK_CHARS = 500_000
 
 
 class PieceMemo:
-    """Values of texts, joined from the values of their pieces; `encode` gives those of many strings."""
+    """Values of texts, joined from the values of their pieces.
 
-    def __init__(self, encode: Callable[[list[str]], list]):
-        self.encode = encode
+    `encode` gives the values of many strings, `join` that of two neighbours. Up to `limit` pieces
+    are remembered; the older half makes room, with the same results.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list], join: Callable, limit: int):
+        self.encode, self.join, self.limit = encode, join, limit
+        self.marks: dict = {}
         self.known: dict = {}
         self.older: dict = {}
 
@@ -38,23 +44,24 @@ class PieceMemo:
     def _chunk(self, texts: list[str]) -> list[list]:
         # A piece that does not begin with a line feed had a blank before it; the first of a text had none.
         cuts = [None if ADJACENT_SPACES.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        whole = [t if c is None else c[0] for t, c in zip(texts, cuts)]
-        distinct: set = set()
-        for c in cuts:
-            if c is not None:
-                distinct.update(c[1:])
-        known, older = self.known, self.older
-        new = []
-        for piece in distinct:
-            if piece not in known:
-                value = older.get(piece)
-                if value is None:
-                    new.append(piece)
-                else:
-                    known[piece] = value
-        known.update(zip(new, self.encode([p if p[:1] == "\n" else " " + p for p in new])))
+        whole = [t if c is None else c.pop(0) for t, c in zip(texts, cuts)]
+        distinct = set(chain.from_iterable(c for c in cuts if c))
+        known = self.known
+        missing = distinct.difference(known)
+        marked = [p for p in missing if MARKED_WORD.fullmatch(p)]
+        new = missing.difference(marked).union([p[:-1] for p in marked]).difference(known)
+        older = self.older
+        for piece in [p for p in new if p in older]:
+            known[piece] = older[piece]
+            new.discard(piece)
+        todo = list(new)
+        known.update(zip(todo, self.encode([p if p[:1] == "\n" else " " + p for p in todo])))
+        if marked and not self.marks:
+            self.marks = dict(zip(",.", self.encode([",", "."])))
+        for piece in marked:
+            known[piece] = self.join(known[piece[:-1]], self.marks[piece[-1]])
         heads = self.encode(whole)
-        out = [[head] if c is None else [head, *map(known.__getitem__, c[1:])] for head, c in zip(heads, cuts)]
-        if len(known) > MAX_PIECES // 2:
+        out = [[head] if c is None else [head, *map(known.__getitem__, c)] for head, c in zip(heads, cuts)]
+        if len(known) > self.limit // 2:
             self.older, self.known = known, {}
         return out
