@@ -5,10 +5,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import bpe, linededup, mixing, packing, quality, simhash, substring
+from tracewell.llm import ann, bpe, linededup, mixing, packing, quality, simhash, substring
 from tracewell.llm.common import table
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.ann_digest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(spark, table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -38,6 +42,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": op1_ann,
     "op2_bpe": op2_bpe,
     "op4_mixing": op4_mixing,
     "op5_quality_rules": op5_quality_rules,
