@@ -33,7 +33,7 @@ PICK = WINDOW - SHINGLE + 1
 #: Bits of an anchor: it only nominates, and 48 bits make the largest exchange smaller.
 ANCHOR_BITS = 48
 #: Bytes of text hashed at once.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 #: A place packs 20 bits of the text's hash, the first of its windows and their number.
 SALT_SHIFT, START_SHIFT = 43, 5
 #: Null doc_ids come last, as one document.
