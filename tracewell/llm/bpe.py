@@ -18,6 +18,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
@@ -168,6 +169,11 @@ class Codec:
         self.vocabulary = Vocabulary(raw)
         self.trie = Trie(self.vocabulary)
         self.memo = PieceMemo(lambda texts: [self.spelled(t) for t in texts], lambda a, b: (f"{a[0]},{b[0]}", a[1] + b[1]), MAX_PIECES)
+        self.id_memo = PieceMemo(lambda texts: [self.packed(t) for t in texts], lambda a, b: a + b, MAX_PIECES)
+
+    def packed(self, text: str) -> bytes:
+        """Ids of a text as little-endian i4."""
+        return np.array(self.encode(text), "<i4").tobytes()
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text; special tokens spelled in it become their ids."""
@@ -220,20 +226,26 @@ def tokenizer_text(name: str = "byte_bpe_50k.json") -> str:
         return file.read()
 
 
-def encoded(docs: DataFrame, raw: str | None = None, text: str = "text", out: str = "ids") -> DataFrame:
-    """docs plus the token ids of `text` as array<int>. Null texts are empty. One pass, no shuffle."""
-    import pyspark.sql.functions as F
-    from pyspark.sql.types import ArrayType, IntegerType
+def encoded(docs: DataFrame, raw: str | None = None, text: str = "text") -> DataFrame:
+    """docs plus ids array<int>, n_tokens long and round_trip boolean (decoding the ids gives the text).
+
+    Null texts are empty. One pass, no shuffle; columns of docs with these names are replaced.
+    """
+    from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructType
 
-    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(raw or tokenizer_text())
+    own = docs.drop("ids", "n_tokens", "round_trip")
 
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encode(batches):
         codec = codec_of(shared.value)
-        for batch in texts:
-            yield batch.map(lambda t: codec.encode(t or ""))
-    return docs.withColumn(out, ids(F.col(text)))
+        for batch in batches:
+            texts = [t or "" for t in batch[text]]
+            ids = [np.frombuffer(b"".join(v), "<i4") for v in codec.id_memo.values(texts)]
+            yield batch.assign(ids=ids, n_tokens=[len(i) for i in ids], round_trip=[codec.decode(i.tolist()) == t for i, t in zip(ids, texts)])
+    schema = StructType(own.schema.fields)
+    for name, kind in (("ids", ArrayType(IntegerType())), ("n_tokens", LongType()), ("round_trip", BooleanType())):
+        schema = schema.add(name, kind)
+    return map_pandas(own, encode, schema)
 
 
 def decoded(docs: DataFrame, raw: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:

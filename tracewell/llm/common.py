@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from tracewell.session import shared_folder
 
@@ -59,7 +60,7 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-def map_pandas(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+def map_pandas(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
     """mapInPandas for functions of this package."""
     ship(df.sparkSession)
     return df.mapInPandas(function, schema)

@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import ann, bpe, linededup, mixing, packing, quality, simhash, substring, toxicity
+from tracewell.llm import ann, bpe, linededup, mixing, packing, pii, quality, simhash, substring, toxicity
 from tracewell.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(spark, table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_digest(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
@@ -48,6 +52,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_bpe": op2_bpe,
+    "op3_pii": op3_pii,
     "op4_mixing": op4_mixing,
     "op5_quality_rules": op5_quality_rules,
     "op6_packing": op6_packing,
