@@ -242,7 +242,7 @@ def encoded(docs: DataFrame, raw: str | None = None, text: str = "text") -> Data
             texts = [t or "" for t in batch[text]]
             ids = [np.frombuffer(b"".join(v), "<i4") for v in codec.id_memo.values(texts)]
             yield batch.assign(ids=ids, n_tokens=[len(i) for i in ids], round_trip=[codec.decode(i.tolist()) == t for i, t in zip(ids, texts)])
-    schema = StructType(own.schema.fields)
+    schema = StructType(list(own.schema.fields))
     for name, kind in (("ids", ArrayType(IntegerType())), ("n_tokens", LongType()), ("round_trip", BooleanType())):
         schema = schema.add(name, kind)
     return map_pandas(own, encode, schema)

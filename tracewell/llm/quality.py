@@ -98,8 +98,15 @@ def rejected_by(policy: str) -> Column:
 
 
 def kept_documents(docs: DataFrame, policy: str = "v1", text: str = "text") -> DataFrame:
-    """The rows of docs that the policy keeps, with the columns of docs."""
-    return ledger(docs, text).where(~rejected_by(policy)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that the policy keeps, with the columns of docs.
+
+    The verdict passes through a generator: a filter straight on it would be pushed down and
+    would evaluate every rule again for each place its measurements are used in.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    own = docs.select(F.struct(*columns).alias("_row"), F.col(f"`{text}`").alias("text"))
+    judged = ledger(own).select("_row", F.explode_outer(F.array(rejected_by(policy))).alias("_rejected"))
+    return judged.where(~F.col("_rejected")).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def ablations(rows: DataFrame, policy: str = "v1") -> DataFrame:
