@@ -145,8 +145,8 @@ def mixed(docs: DataFrame, text: str = "text", partitions: int | None = None, **
 
 
 def mixing_digest(docs: DataFrame) -> DataFrame:
-    """The row per document of query op4, with the due time of its first pass."""
+    """The row per document of query op4, in the order of its first due time in the mix."""
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     rows = placed(sized).select(
-        "doc_id", "size", "source_size", "target", "taken", F.size("passes").alias("n_passes"), F.get(F.col("passes.time"), F.lit(0)).alias("first_time"))
-    return rows.repartitionByRange("first_time", "doc_id").sortWithinPartitions("first_time", "doc_id")
+        "doc_id", "size", "source_size", "target", "taken", F.size("passes").alias("n_passes"), F.get(F.col("passes.time"), F.lit(0)).alias("_time"))
+    return rows.repartitionByRange("_time", "doc_id").sortWithinPartitions("_time", "doc_id").drop("_time")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm import ann, bpe, linededup, mixing, packing, pii, quality, simhash, substring, toxicity
 from tracewell.llm.common import table
+from tracewell.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +62,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
