@@ -47,6 +47,14 @@ def test_stability_classes_and_gate(spark):
     assert gate(unverified, good, True).blockers == "1 reference deals lack verified=true metadata"
     lacking = gate(references, good.filter("deal_slug = 'same'"), True)
     assert lacking.blockers == "stability proof missing slug_results entry for old"
+    # a row that asks for one run of itself, and a row without status, do not open the gate
+    own_figure = stability.proof_rows(good).withColumns({
+        "required_archived_runs": F.lit(1), "eligible_archived_runs": F.lit(1), "selected_runs": F.slice("selected_runs", 1, 1),
+        "selected_run_dirs": F.slice("selected_run_dirs", 1, 1)})
+    head = stability.proof_header(good, 3)
+    assert "has insufficient eligible_archived_runs" in stability.release_gate(references, own_figure, head, True).first().blockers
+    silent = stability.proof_rows(good).withColumns({"status": F.lit(None).cast("string"), "classification": F.lit(None).cast("string")})
+    assert not stability.release_gate(references, silent, head, True).first().is_open
 
 
 def progress(spark, rows):

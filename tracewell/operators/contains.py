@@ -80,11 +80,11 @@ def _meet_in_tokens(quotes: DataFrame, texts: DataFrame, scope: list[str]) -> Da
     return holders.join(quotes.select(*scope, "part", "quote_hash"), scope + ["part"]).select(*scope, "quote_hash", "text_hash")
 
 
-def contains_pairs(quotes: DataFrame, texts: DataFrame, scope: list[str], short_quotes: bool | None = None) -> DataFrame:
+def contains_pairs(quotes: DataFrame, texts: DataFrame, scope: list[str]) -> DataFrame:
     """(scope, quote_text, text_hash, overlapping, plain) for every distinct text that holds the quote.
 
     quotes(scope, quote_text), texts(scope, text, text_hash); duplicates on either side are
-    compared once. `short_quotes` says whether quotes below five tokens occur; None looks.
+    compared once. Quotes of any length take part; a length that does not occur is an empty branch.
     """
     quotes = quotes.filter(~is_blank(F.col("quote_text"))).select(*scope, "quote_text").distinct()
     quotes = quotes.withColumn("quote_hash", F.sha2("quote_text", 256))
@@ -93,16 +93,9 @@ def contains_pairs(quotes: DataFrame, texts: DataFrame, scope: list[str], short_
     text_tokens = _tokens(F.col("text"))
     inner = _inner_tokens(F.col("quote_text"))
     candidates = _meet(quotes.filter(tokens >= _MIN_TOKENS), texts, scope, _grams(inner, 3), _grams(text_tokens, 3))
-    if short_quotes is None:
-        seen = quotes.agg(F.bool_or(tokens.between(3, _MIN_TOKENS - 1)).alias("few"), F.bool_or(tokens < 3).alias("bare")).first()
-        few, bare = bool(seen.few), bool(seen.bare)
-    else:
-        few = bare = short_quotes
-    if few:
-        candidates = candidates.unionByName(_meet(
-            quotes.filter(tokens.between(3, _MIN_TOKENS - 1)), texts, scope, _grams(inner, 1), _grams(text_tokens, 1)))
-    if bare:
-        candidates = candidates.unionByName(_meet_in_tokens(quotes.filter(tokens < 3), texts, scope))
+    candidates = candidates.unionByName(_meet(
+        quotes.filter(tokens.between(3, _MIN_TOKENS - 1)), texts, scope, _grams(inner, 1), _grams(text_tokens, 1)))
+    candidates = candidates.unionByName(_meet_in_tokens(quotes.filter(tokens < 3), texts, scope))
     pairs = candidates.join(quotes, scope + ["quote_hash"]).join(texts, scope + ["text_hash"])
     return pairs.filter(F.col("text").contains(F.col("quote_text"))).select(
         *scope, "quote_text", "text_hash",

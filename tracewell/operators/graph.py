@@ -184,7 +184,7 @@ def apply_class_signals(actors: DataFrame, relations: DataFrame) -> DataFrame:
 _NEVER = 2**62
 
 
-def propagate_members(actors: DataFrame, relations: DataFrame, nested: bool | None = None) -> DataFrame:
+def propagate_members(actors: DataFrame, relations: DataFrame) -> DataFrame:
     """Pass member classes on to groups, in claim order.
 
     A member passes on the class it has when its relation comes up. A plain member's class never
@@ -226,11 +226,7 @@ def propagate_members(actors: DataFrame, relations: DataFrame, nested: bool | No
             *[c for c in base.columns if c not in base.columns[:base.columns.index("s_at")] + ["s_at", "f_at"]],
             F.col("s_in").isNotNull().alias("s_seen"), F.col("f_in").isNotNull().alias("f_seen"))
 
-    if nested is None:
-        nested = not nested_edges.isEmpty()
-    inputs = from_plain
-    if nested:
-        inputs = _relax(state, nested_edges, from_plain, arrivals, settle, keys)
+    inputs = _relax(state, nested_edges, from_plain, arrivals, settle, keys)
     done = settle(state, inputs).select(*keys, "s_at", "f_at", "s_seen", "f_seen")
     rows = actors.join(done, keys)
     turned_s = ~F.col("locked") & (F.col("s_at") < never)
@@ -246,6 +242,9 @@ def _relax(state, nested_edges, from_plain, arrivals, settle, keys) -> DataFrame
     """Earliest arrivals at each group when members may be groups themselves."""
     both = lambda a, b: a.unionByName(b).groupBy(*keys).agg(F.min("s_in").alias("s_in"), F.min("f_in").alias("f_in"))
     nested_edges = cut_lineage(nested_edges)
+    if nested_edges.isEmpty():
+        return from_plain
+    state = cut_lineage(state)  # every round below starts from it
     # First the strategic moments to their fixed point, then the financial ones, which depend on them.
     inputs = cut_lineage(from_plain)
     known = inputs
@@ -353,7 +352,7 @@ def cycles_table(runs: DataFrame) -> DataFrame:
 
 def build_graph(
     claims: DataFrame, outcomes: DataFrame, evidence: DataFrame, runs: DataFrame, spans: DataFrame, flags: DataFrame,
-    nested_groups: bool | None = None, staging: Staging | None = None,
+    staging: Staging | None = None,
 ) -> dict[str, DataFrame]:
     """Every table of the graph, for all deals and runs at once."""
     keep = (staging or Staging()).keep
@@ -361,7 +360,7 @@ def build_graph(
     mentions = actor_mentions(judged)
     merged = keep("merged", merge_mentions(mentions))
     relations = keep("relations", relations_table(judged, merged))
-    actors = keep("actors", propagate_members(apply_class_signals(merged, relations), relations, nested_groups))
+    actors = keep("actors", propagate_members(apply_class_signals(merged, relations), relations))
     events = keep("events", events_table(judged))
     counts = counts_table(judged)
     links = coverage_links(judged)

@@ -255,18 +255,21 @@ def release_gate(references: DataFrame, proof: DataFrame, header: DataFrame, rel
     # full join: a proof row without a reference is as wrong as a reference without a proof row
     known = references.select("deal_slug", F.lit(True).alias("_r"))
     checked = checked.join(known, "deal_slug", "left")
-    need = F.col("required_archived_runs")
-    invalid = lambda a: F.exists(a, lambda x: x.isNull() | (x == ""))
+    # The head says how many runs each deal needs; a row's own figure would let it vouch for itself.
+    need = F.greatest(header.select("requested_runs").scalar(), F.lit(3))
+    invalid = lambda a: F.coalesce(F.exists(a, lambda x: x.isNull() | (x == "")), F.lit(True))
+    short = lambda a: F.coalesce(F.size(a), F.lit(0)) < need
+    told = lambda c: F.coalesce(F.col(c), F.lit("null"))
     say = lambda text: F.concat(F.lit("stability proof slug "), F.col("deal_slug"), F.lit(text))
     reason = (
         F.when(F.col("_p").isNull(), F.concat(F.lit("stability proof missing slug_results entry for "), F.col("deal_slug")))
         .when(F.col("_r").isNull(), "stability proof reference_slugs do not match the reference set")
-        .when(F.col("classification") != STABLE, F.concat(say(" classification="), F.col("classification")))
+        .when(~F.col("classification").eqNullSafe(STABLE), F.concat(say(" classification="), told("classification")))
         .when(F.col("status").isin(*FAILURE_STATUSES), F.concat(say(" has blocking status "), F.col("status")))
-        .when(~F.col("status").isin(*TRUSTED_STATUSES), say(" status is not an eligible trusted outcome"))
-        .when(F.col("eligible_archived_runs") < need, say(" has insufficient eligible_archived_runs"))
-        .when((F.size("selected_runs") < need) | invalid("selected_runs"), say(" selected_runs are too few or invalid"))
-        .when((F.size("selected_run_dirs") < need) | invalid("selected_run_dirs"), say(" selected_run_dirs are too few or invalid")))
+        .when(~F.coalesce(F.col("status").isin(*TRUSTED_STATUSES), F.lit(False)), say(" status is not an eligible trusted outcome"))
+        .when(F.coalesce("eligible_archived_runs", F.lit(0)) < need, say(" has insufficient eligible_archived_runs"))
+        .when(short("selected_runs") | invalid("selected_runs"), say(" selected_runs are too few or invalid"))
+        .when(short("selected_run_dirs") | invalid("selected_run_dirs"), say(" selected_run_dirs are too few or invalid")))
     bad = checked.select("deal_slug", reason.alias("reason")).filter("reason is not null")
     if run_dirs is not None:
         lost = proof.select(F.col("slug").alias("deal_slug"), F.explode("selected_run_dirs").alias("path")).join(run_dirs, "path", "left_anti")
@@ -274,10 +277,10 @@ def release_gate(references: DataFrame, proof: DataFrame, header: DataFrame, rel
     first_bad = bad.agg(F.min(F.struct("deal_slug", "reason"))["reason"].alias("proof_reason")).scalar()
     row = header.select("*", refs.alias("_r"), first_bad.alias("proof_reason")).select("*", "_r.*").drop("_r")
     head_reason = (
-        F.when(F.col("schema_version") != PROOF_SCHEMA_VERSION, f"stability proof schema_version is not {PROOF_SCHEMA_VERSION}")
-        .when(F.col("classification") != STABLE, F.concat(F.lit("stability proof classification="), F.col("classification")))
-        .when(~F.col("content_variation_allowed"), "stability proof must explicitly allow content variation")
-        .when(F.col("requested_runs") < 3, "stability proof requested_runs must be at least 3"))
+        F.when(~F.col("schema_version").eqNullSafe(PROOF_SCHEMA_VERSION), f"stability proof schema_version is not {PROOF_SCHEMA_VERSION}")
+        .when(~F.col("classification").eqNullSafe(STABLE), F.concat(F.lit("stability proof classification="), told("classification")))
+        .when(~F.coalesce("content_variation_allowed", F.lit(False)), "stability proof must explicitly allow content variation")
+        .when(F.coalesce("requested_runs", F.lit(0)) < 3, "stability proof requested_runs must be at least 3"))
     proof_reason = F.coalesce(head_reason, F.col("proof_reason"))
     unverified = F.col("references") - F.col("verified")
     blockers = F.array_compact(F.array(

@@ -68,35 +68,31 @@ def pages_to_paragraphs(pages: DataFrame, delimiter: str = BLANK_LINE, section:
     pages(deal_slug, filing_id, page_pos, number, content).
     """
     rows = pages.withColumn("_found", paragraph_array(F.col("content"), delimiter))
-    return _explode(rows, section, multi_page=True, addressed=False)
+    return _explode(rows, section, addressed=False)
 
 
 def citation_units(
-    pages: DataFrame, delimiter: str = BLANK_LINE, section: str = "background", multi_page: bool = True,
+    pages: DataFrame, delimiter: str = BLANK_LINE, section: str = "background",
 ) -> DataFrame:
     """Addressable units `page_{n}_paragraph_{i}` with offsets and identifiers.
 
     `pages` needs deal_slug, page_pos, number, content; filing_id is used where present.
-    With `multi_page=False` every filing is one page and no shuffle is needed.
     """
     found = paragraph_array(F.col("content"), delimiter)
     rows = pages.withColumn("_found", F.filter(found, lambda p: ~is_boilerplate(p["text"])))
-    return _explode(rows, section, multi_page, addressed=True)
+    return _explode(rows, section, addressed=True)
 
 
-def _explode(rows: DataFrame, section: str, multi_page: bool, addressed: bool) -> DataFrame:
+def _explode(rows: DataFrame, section: str, addressed: bool) -> DataFrame:
     if "filing_id" not in rows.columns:
         rows = rows.withColumn("filing_id", make_id("filing", F.col("deal_slug")))
     keys = ["deal_slug", "filing_id"]
-    if multi_page:
-        rows = rows.withColumn("_chars", F.length(F.coalesce("content", F.lit(""))) + 1).withColumn("_count", F.size("_found"))
-        sizes = running_total(
-            rows.select(*keys, "page_pos", "_chars", "_count"), keys, "page_pos",
-            {"_chars": "_base", "_count": "_before"},
-        ).select(*keys, "page_pos", "_base", "_before")
-        rows = rows.join(sizes, keys + ["page_pos"])
-    else:
-        rows = rows.withColumn("_base", F.lit(0)).withColumn("_before", F.lit(0))
+    rows = rows.withColumn("_chars", F.length(F.coalesce("content", F.lit(""))) + 1).withColumn("_count", F.size("_found"))
+    sizes = running_total(
+        rows.select(*keys, "page_pos", "_chars", "_count"), keys, "page_pos",
+        {"_chars": "_base", "_count": "_before"},
+    ).select(*keys, "page_pos", "_base", "_before")
+    rows = rows.join(sizes, keys + ["page_pos"])
     out = rows.select(
         *keys, "page_pos", F.col("number").alias("page_number"), "_base", "_before", F.posexplode_outer("_found").alias("_i", "_p"),
     ).filter("_i is not null")  # outer: keeps the optimizer from running the regex once more as a filter

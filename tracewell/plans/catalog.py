@@ -16,7 +16,7 @@ from tracewell.operators import reconcile as rec, review as review_ops, runs as
 from tracewell.operators.integrity import integrity_flags
 from tracewell.operators.units import LINE, citation_units
 from tracewell.plans import feeds
-from tracewell.session import Staging, shared_folder, spread
+from tracewell.session import Staging, shared_folder
 from tracewell.streaming.idle import idle_gaps, idle_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,7 +51,7 @@ def event_graph(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
             "deal_slug", "run_id", "if(user_id % 3 = 0, concat('Target ', user_id), NULL) as target_name").distinct()
         _GRAPHS[key] = graph_ops.build_graph(
             staged(spark, folder, "claims"), binding.claim_outcomes(bound), binding.claim_evidence(bound), runs, binding.spans(bound),
-            staged(spark, folder, "flags"), nested_groups=False)
+            staged(spark, folder, "flags"))
     return _GRAPHS[key]
 
 
@@ -63,7 +63,7 @@ def reset() -> None:
 
 # ---- text ----------------------------------------------------------------------------
 def citation_units_q(spark, folder):
-    units = citation_units(feeds.document_pages(spark, folder).drop("source", "doc_id"), LINE, multi_page=False)
+    units = citation_units(feeds.document_pages(spark, folder).drop("source", "doc_id"), LINE)
     return units.select("deal_slug", "unit_id", "paragraph_index", "char_start", "char_end", "paragraph_hash", "paragraph_id")
 
 
@@ -81,7 +81,7 @@ def stable_ids(spark, folder):
 
 
 def _order_rows(spark, folder):
-    return spread(feeds.table(spark, folder, "orders")).select(
+    return feeds.table(spark, folder, "orders").select(
         F.concat(F.lit("deal_"), "o_custkey").alias("deal_slug"), F.lit("r1").alias("run_id"), "o_orderkey", F.col("o_orderpriority").alias("event_type"),
         F.col("o_orderstatus").alias("event_subtype"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("event_date"),
         F.concat(F.lit("Party  "), F.col("o_orderstatus")).alias("actor_label"), F.lit("organization").alias("actor_kind"), F.lit("").alias("actor_role"),
@@ -138,7 +138,7 @@ def pick_document(spark, folder):
 # ---- binding -------------------------------------------------------------------------
 def _documents(spark, folder, delimiter=None):
     pages = feeds.document_pages(spark, folder).drop("source", "doc_id")
-    units = citation_units(pages, multi_page=False) if delimiter is None else citation_units(pages, delimiter, multi_page=False)
+    units = citation_units(pages) if delimiter is None else citation_units(pages, delimiter)
     return Staging().keep("units", units)
 
 
@@ -439,8 +439,8 @@ def stability_class(spark, folder):
 def release_gate(spark, folder):
     results = Staging().keep("stability", _stability(spark, folder))
     refs = feeds.progress_feed(spark, folder).filter("is_reference")
-    proof = stability.proof_rows(results.join(refs.select("deal_slug"), "deal_slug", "left_semi"))
-    return stability.release_gate(refs, proof, stability.proof_header(results, 3), release=False)
+    own = results.join(refs.select("deal_slug"), "deal_slug", "left_semi")
+    return stability.release_gate(refs, stability.proof_rows(own), stability.proof_header(own, 3), release=False)
 
 
 def stability_overall(spark, folder):

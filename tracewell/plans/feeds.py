@@ -11,7 +11,6 @@ from tracewell.functions.hashing import stable_json
 from tracewell.operators.claims import identify_claims
 from tracewell.schemas import (
     ACTOR_CLASS, CLAIM_FAMILIES, CLAIM_FIELDS, COUNT_QUALIFIER, EVENT_SUBTYPE, FAMILY_BY_TYPE, PROCESS_STAGE, RELATION_TYPE)
-from tracewell.session import spread
 
 SUBJECTS = ("Party A", "party  a", "Apex Capital", "Strategic Foods", "Remaining Bidders", "Kite Advisors")
 GROUPS = ("Sponsor Group", "Delta/Echo")
@@ -29,8 +28,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def text_table(spark: SparkSession, folder: str, *columns: str, name: str) -> DataFrame:
-    """Like `table`, for text that is expensive to take apart."""
-    return spread(table(spark, folder, name).select(*columns))
+    """Some columns of `table`."""
+    return table(spark, folder, name).select(*columns)
 
 
 def one_of(values, index: str) -> str:

@@ -440,7 +440,7 @@ TABLE_SQL: dict[str, str] = {
     "stability_overall": "WITH " + STABLE_RUNS + """ SELECT CASE WHEN bool_or(classification LIKE 'INSUFF%') THEN 'INSUFFICIENT_ARCHIVED_RUNS' WHEN bool_or(classification LIKE 'UNSTABLE%') THEN 'UNSTABLE_RULE_OR_VALIDATOR_FIX_NEEDED' ELSE 'STABLE_FOR_REFERENCE_REVIEW' END AS classification,
       count(*) AS deals FROM res""",
     "release_gate": "WITH " + STABLE_RUNS + """, r AS (SELECT count(*) AS n, count(*) FILTER (WHERE c_custkey % 11 = 0 AND c_custkey % 10 = 0) AS v FROM customer WHERE c_custkey % 5 = 0),
-      w AS (SELECT CASE WHEN bool_or(classification LIKE 'INSUFF%') THEN 'INSUFFICIENT_ARCHIVED_RUNS' WHEN bool_or(classification LIKE 'UNSTABLE%') THEN 'UNSTABLE_RULE_OR_VALIDATOR_FIX_NEEDED' ELSE 'STABLE_FOR_REFERENCE_REVIEW' END AS c FROM res),
+      w AS (SELECT CASE WHEN bool_or(classification LIKE 'INSUFF%') THEN 'INSUFFICIENT_ARCHIVED_RUNS' WHEN bool_or(classification LIKE 'UNSTABLE%') THEN 'UNSTABLE_RULE_OR_VALIDATOR_FIX_NEEDED' ELSE 'STABLE_FOR_REFERENCE_REVIEW' END AS c FROM res WHERE c % 5 = 0),
       b AS (SELECT 'stability proof slug ' || deal_slug || ' classification=' || classification AS m FROM res WHERE c % 5 = 0 AND classification NOT LIKE 'STABLE%' ORDER BY deal_slug LIMIT 1),
       g AS (SELECT n, v, CASE WHEN w.c NOT LIKE 'STABLE%' THEN 'stability proof classification=' || w.c ELSE (SELECT m FROM b) END AS p FROM r, w)
       SELECT n AS references, v AS verified, coalesce(p, 'stability proof accepted') AS proof_reason, false AS is_open, concat_ws('; ', CASE WHEN n > v THEN (n - v) || ' reference deals lack verified=true metadata' END, p, 'operator must pass --release-targets') AS blockers FROM g""",

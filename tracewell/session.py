@@ -54,16 +54,6 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the input has fewer splits than cores.
-
-    A table in a few files would be parsed by a few tasks. A table in many files has splits
-    enough and is left as it is: no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 @dataclass
 class Staging:
     """Where results that several tables read are kept, so that each is computed once and plans stay short.
