@@ -150,10 +150,15 @@ def looks_cohort(label: Column) -> Column:
 
 
 # Alias patterns (fixed values), applied to the F8 form.
-ANONYMOUS_ALIAS = (
-    r"^party [a-z0-9]+$|^bidder [a-z0-9]+$|^financial sponsor [a-z0-9]+$"
-    r"|^strategic party [a-z0-9]+$|^unnamed\b|^anonymous\b"
+ANONYMOUS_ALIASES = (
+    r"^party [a-z0-9]+$",
+    r"^bidder [a-z0-9]+$",
+    r"^financial sponsor [a-z0-9]+$",
+    r"^strategic party [a-z0-9]+$",
+    r"^unnamed\b",
+    r"^anonymous\b",
 )
+ANONYMOUS_ALIAS = "|".join(ANONYMOUS_ALIASES)
 COHORT_ALIAS = r"\b(?:party|bidder|sponsor|strategic party|financial sponsor)\s+[a-z0-9]+\b"
 
 

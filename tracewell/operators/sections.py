@@ -9,23 +9,16 @@ from tracewell.functions.text import let
 
 _SENTINEL = "\u0001"  # neither white space nor a letter: keeps `^` from matching at a cut
 
-# Heading phrases (fixed values).
-_MARKED = (
-    r"Reasons\s+for\s+the\s+(?:Merger|Offer)", r"Recommendation\s+(?:of|and)", r"Reasons\s+and\s+Recommendation",
-    r"Opinion\s+of", r"Purpose\s+of\s+the\s+Offer", r"The\s+Merger\s+Agreement", r"Certain\s+Effects\s+of",
-    r"Interests\s+of", r"Financing", r"Projected\s+Financial\s+Information",
-    r"[A-Za-z]+(?:'|’)?s\s+Reasons\s+for\s+the\s+Merger",
-)
-_NUMBERED = (
-    r"The\s+Merger\s+Agreement", r"Purpose\s+of\s+the\s+Offer", r"Certain\s+Effects\s+of",
-    r"Reasons\s+for\s+the\s+(?:Merger|Offer)",
-)
-_PLAIN = tuple(p for p in _MARKED if p != r"The\s+Merger\s+Agreement")
+# The heading that ends the narrative section (fixed value).
 _END = (
-    r"(?:^|[\r\n]|\s{2,})(?:"
-    r"\*{1,3}\s*(?:COMMAND=STYLE_ADDED,[^\r\n]*?\s+)?(?:" + "|".join(_MARKED) + ")"
-    r"|\d{1,2}\.\s*(?:" + "|".join(_NUMBERED) + ")"
-    r"|(?:" + "|".join(_PLAIN) + r"))\b"
+    r"(?:^|[\r\n]|\s{2,})(?:\*{1,3}\s*(?:COMMAND=STYLE_ADDED,[^\r\n]*?\s+)?(?:Reasons\s+for\s+the\s+(?:Merger|Offer)"
+    r"|Recommendation\s+(?:of|and)|Reasons\s+and\s+Recommendation|Opinion\s+of|Purpose\s+of\s+the\s+Offer"
+    r"|The\s+Merger\s+Agreement|Certain\s+Effects\s+of|Interests\s+of|Financing|Projected\s+Financial\s+Information"
+    r"|[A-Za-z]+(?:'|’)?s\s+Reasons\s+for\s+the\s+Merger)|\d{1,2}\.\s*(?:The\s+Merger\s+Agreement"
+    r"|Purpose\s+of\s+the\s+Offer|Certain\s+Effects\s+of|Reasons\s+for\s+the\s+(?:Merger|Offer))"
+    r"|(?:Reasons\s+for\s+the\s+(?:Merger|Offer)|Recommendation\s+(?:of|and)|Reasons\s+and\s+Recommendation|Opinion\s+of"
+    r"|Purpose\s+of\s+the\s+Offer|Certain\s+Effects\s+of|Interests\s+of|Financing|Projected\s+Financial\s+Information"
+    r"|[A-Za-z]+(?:'|’)?s\s+Reasons\s+for\s+the\s+Merger))\b"
 )
 
 

@@ -131,7 +131,6 @@ def pick_document(spark, folder):
     forms = ("DEFM14A", "EX-99", "SC TO-T", "425", "EX-99.(A)(1)(A)", "10-K", "ex-10")
     links = _links(spark, folder).withColumns({
         "form_type": F.expr(f"concat(' ', {feeds.one_of(forms, '(page_id * 3 + pos) % 7')})"), "size": F.expr("if(pos % 2 = 0, concat(' ', pos * 100), 'n/a')")})
-    links = links.filter("pos >= page_id % 4")  # so that every kind of filing comes up
     return documents.pick_document(documents.document_rows(links), ["page_id"])
 
 
@@ -370,7 +369,7 @@ def column_profile(spark, folder):
 
 
 def number_profile(spark, folder):
-    return analyst.number_profile(feeds.table(spark, folder, "lineitem").withColumn("v", F.when(F.col("l_linenumber") > 1, F.col("l_extendedprice"))), "v")
+    return analyst.number_profile(feeds.table(spark, folder, "lineitem"), "l_extendedprice")
 
 
 def browse_filter(spark, folder):

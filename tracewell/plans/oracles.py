@@ -374,7 +374,7 @@ TABLE_SQL: dict[str, str] = {
       SELECT page_id, cik, accession, 'https://www.sec.gov/Archives/edgar/data/' || cik || '/' || accession || '/' || left(accession, 10) || '-' || substring(accession, 11, 2) || '-' || substring(accession, 13) || '-index.htm' AS index_url FROM p""",
     "html_links": "WITH " + LINK_ROWS + " SELECT page_id, pos, href, name FROM hl",
     "pick_document": "WITH " + LINK_ROWS + f""", d AS (SELECT page_id, pos, trim(name) AS name, {pick(("DEFM14A", "EX-99", "SC TO-T", "425", "EX-99.(A)(1)(A)", "10-K", "ex-10"), '(page_id * 3 + pos) % 7')} AS form,
-        CASE WHEN pos % 2 = 0 THEN pos * 100 END AS size_bytes, CASE WHEN starts_with(href, 'http') THEN href ELSE 'https://www.sec.gov' || href END AS url FROM hl WHERE pos >= page_id % 4),
+        CASE WHEN pos % 2 = 0 THEN pos * 100 END AS size_bytes, CASE WHEN starts_with(href, 'http') THEN href ELSE 'https://www.sec.gov' || href END AS url FROM hl),
       g AS (SELECT page_id, min(pos) FILTER (WHERE form IN ('DEFM14A', 'SC TO-T')) AS p1, min(pos) FILTER (WHERE NOT starts_with(upper(form), 'EX-')) AS p2, min(pos) FILTER (WHERE form = 'EX-99.(A)(1)(A)') AS po FROM d GROUP BY 1),
       c AS (SELECT g.page_id, po, form AS pf, coalesce(p1, p2) AS pp FROM g LEFT JOIN d ON d.page_id = g.page_id AND d.pos = coalesce(p1, p2)),
       i AS (SELECT *, CASE WHEN pp IS NULL THEN 'no primary document identifiable' WHEN pf = '425' THEN 'excluded form type 425' WHEN pf NOT IN ('DEFM14A', 'SC TO-T') THEN 'unknown substantive form type ' || pf END AS issue FROM c)
@@ -419,8 +419,8 @@ TABLE_SQL: dict[str, str] = {
         p_size % 4 = 0 OR {any_of('lower(p_name)', ('group', '/', 'consortium', 'club'))} AS is_group, p_size % 4 = 1 OR {any_of('lower(p_name)', ('parties', 'bidders', 'buyers', 'sponsors', 'companies', 'remaining'))} AS is_cohort FROM p""",
     "column_profile": """WITH v AS (SELECT CASE WHEN p_size % 7 = 0 THEN '∅ (empty)' ELSE p_brand END AS value FROM part), c AS (SELECT value, count(*) AS n FROM v GROUP BY 1)
       SELECT 'p_type' AS column_name, value, n, n / (SELECT count(*) FROM v)::DOUBLE AS share FROM c ORDER BY n DESC, value LIMIT 12""",
-    "number_profile": """WITH v AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice) AS r, count(*) OVER () AS n FROM lineitem WHERE l_linenumber > 1)
-      SELECT 'v' AS column_name, max(n) AS n, min(v) AS min, max(v) FILTER (WHERE r = n // 2 + 1) AS median, max(v) AS max FROM v""",
+    "number_profile": """WITH v AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice) AS r, count(*) OVER () AS n FROM lineitem)
+      SELECT 'l_extendedprice' AS column_name, max(n) AS n, min(v) AS min, max(v) FILTER (WHERE r = n // 2 + 1) AS median, max(v) AS max FROM v""",
     "browse_filter": "SELECT c_custkey, c_name, c_mktsegment AS event_code, 'n' || c_nationkey AS deal_slug FROM customer WHERE c_mktsegment = 'BUILDING' AND contains(lower(c_name), 'r#0000001')",
     "burden_status": "WITH " + EV + """, b AS (SELECT deal_slug, count(*) FILTER (WHERE event_type = 'error' AND k < user_id) AS n, string_agg(DISTINCT 'DG_' || (event_id % 3), ', ' ORDER BY 'DG_' || (event_id % 3)) FILTER (WHERE event_type = 'click' AND k = 7) AS codes FROM ek GROUP BY 1)
       SELECT deal_slug, 'r1' AS run_id, CASE WHEN codes IS NOT NULL THEN 'failed_system' WHEN n = 0 THEN 'passed_clean' WHEN n <= 10 THEN 'needs_review' ELSE 'high_burden' END AS status, CASE WHEN codes IS NOT NULL THEN 0 ELSE n END AS flag_count,

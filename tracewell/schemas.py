@@ -315,3 +315,31 @@ PROGRESS_JSON = T.StructType([
     T.StructField("updated", T.StringType()),
     T.StructField("deals", T.MapType(T.StringType(), PROGRESS_DEAL)),
 ])
+
+
+# Columns of the stored tables (fixed values); working columns are not stored.
+STORED_COLUMNS = {
+    "spans": ("evidence_id", "filing_id", "paragraph_id", "span_basis", "span_kind", "parent_evidence_id", "created_by_stage",
+        "char_start", "char_end", "quote_text", "quote_text_hash", "evidence_fingerprint", "run_id", "deal_slug", "source_page"),
+    "claims": ("claim_id", "run_id", "filing_id", "deal_slug", "region_id", "provider_source_stage", "claim_type", "confidence",
+        "raw_value", "normalized_value", "quote_text", "quote_text_hash", "status", "claim_sequence", "coverage_obligation_id"),
+    "claim_coverage_links": ("claim_id", "obligation_id", "run_id", "deal_slug", "claim_type", "current"),
+    "claim_evidence": ("claim_id", "evidence_id", "ordinal"),
+    "claim_dispositions": ("disposition_id", "claim_id", "run_id", "disposition", "reason_code", "reason", "current"),
+    "coverage_results": ("coverage_result_id", "run_id", "obligation_id", "result", "reason_code", "reason", "claim_count", "current"),
+    "deals": ("deal_id", "run_id", "deal_slug", "target_actor_id", "target_name", "announcement_date", "effective_date", "all_cash"),
+    "process_cycles": ("cycle_id", "run_id", "deal_id", "cycle_sequence", "cycle_label", "start_date", "end_date"),
+    "actors": ("actor_id", "run_id", "deal_id", "actor_label", "actor_kind", "observability", "bidder_class", "lead_arranger_label",
+        "member_count_known", "has_strategic_member", "has_financial_member", "has_sovereign_wealth_member"),
+    "actor_relations": ("relation_id", "run_id", "deal_id", "subject_actor_id", "object_actor_id", "relation_type", "subject_actor_label",
+        "object_actor_label", "role_detail", "cycle_id_first_observed", "cycle_id_last_observed", "effective_date_first",
+        "effective_date_last", "confidence"),
+    "events": ("event_id", "run_id", "deal_id", "cycle_id", "event_type", "event_subtype", "event_date", "description", "bid_value",
+        "bid_value_lower", "bid_value_upper", "bid_value_unit", "consideration_type", "bid_stage"),
+    "event_actor_links": ("link_id", "run_id", "event_id", "actor_id", "actor_label", "role", "role_detail"),
+    "participation_counts": ("participation_count_id", "run_id", "deal_id", "cycle_id", "process_stage", "actor_class", "count_min",
+        "count_max", "count_qualifier"),
+    "row_evidence": ("row_table", "row_id", "evidence_id", "ordinal"),
+    "review_flags": ("flag_id", "run_id", "deal_id", "severity", "code", "reason", "row_table", "row_id", "status", "metadata", "current"),
+    "review_rows": ("review_row_id", *REVIEW_FIELDS),
+}

@@ -29,11 +29,15 @@ def read_run_manifests(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def read_calls(spark: SparkSession, pattern: str) -> DataFrame:
-    """Call logs; blank and bad lines are skipped. `pos` orders the calls of a run."""
+    """Call logs; blank and bad lines are skipped. `pos` orders the calls of a run: by time, then as written.
+
+    A split is read in file order by one task, so a growing id keeps the order of its lines, and the
+    start of the split that of the splits of a file.
+    """
     rows = spark.read.schema(CALL_JSON).option("mode", "DROPMALFORMED").json(pattern)
     return rows.select(
-        *_run_of_path(), F.col("_metadata.file_block_start").alias("_b"), "*").select(
-        "deal_slug", "run_id", F.struct("ts", "_b").alias("pos"), "phase", "prompt_hash", "attempts",
+        *_run_of_path(), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_line"), "*").select(
+        "deal_slug", "run_id", F.struct("ts", "_b", "_line").alias("pos"), "phase", "prompt_hash", "attempts",
         F.col("watchdog.warnings").alias("warnings"), "input_tokens", "output_tokens", "reasoning_tokens", "ts", "outcome")
 
 

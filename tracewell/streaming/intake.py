@@ -6,7 +6,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tracewell.plans.pipeline import finalize
 from tracewell.session import Staging
-from tracewell.sources.sinks import TABLES, GRAPH_KEY, storable
+from tracewell.sources.sinks import STORED_COLUMNS, GRAPH_KEY, storable
 
 PAYLOAD_FILE = "deal_slug string, run_id string, rulebook_version string, payload string"
 
@@ -26,19 +26,19 @@ def start_intake(
     The file source's checkpoint takes each file once. Every batch writes to its own
     `batch=<id>` folder in overwrite mode, so a batch repeated after a failure replaces itself.
     """
+    # An empty table from the start, so that a failing read of it is an error and not "nothing done yet".
+    spark.createDataFrame([], "deal_slug string, rulebook_version string, run_id string, batch int").write.partitionBy("batch").mode("append").parquet(f"{out_folder}/done")
+    done_shape = "deal_slug string, rulebook_version string, run_id string, batch int"
     source = spark.readStream.schema(PAYLOAD_FILE).json(payload_folder)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        try:
-            done = session.read.parquet(f"{out_folder}/done").filter(F.col("batch") != batch_id)
-        except Exception:  # nothing finished yet: the table does not exist
-            done = None
-        todo = pending(batch, done)
+        done = session.read.schema(done_shape).parquet(f"{out_folder}/done").filter(F.col("batch") != batch_id)
+        todo = pending(batch.dropDuplicates(["deal_slug", "run_id"]), done)
         if todo.isEmpty():
             return
         graph = finalize(pages, todo, targets, staging=Staging(f"{stage_folder}/{batch_id}" if stage_folder else None))
-        for table in TABLES:
+        for table in STORED_COLUMNS:
             df = graph.get(GRAPH_KEY.get(table, table))
             if df is not None:
                 storable(df, table).write.mode("overwrite").parquet(f"{out_folder}/{table}/batch={batch_id}")
