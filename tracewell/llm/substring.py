@@ -270,7 +270,8 @@ def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     hits = stage_table(seeds.join(repeated, "anchor"), "seeds")
     firsts = stage_table(hits.groupBy("span", "anchor").agg(F.min(F.struct("doc", "place")).alias("first")), "spans")
     copies = hits.join(firsts, ["span", "anchor"]).where(F.struct("doc", "place") > F.col("first")).select("doc", "place")
-    several = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # Stored, so that the join below reads both sides as they were dealt out and can split a hot anchor.
+    several = stage_table(firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "several")
     extend = _by_document(firsts.join(several, "anchor").select("first.doc", "first.place"))
     windows = map_pandas(
         texts.join(extend, "doc").select("doc", "doc_id", "packed", "places"), _emit_windows, "key1 long, key2 long, doc long, place long")
