@@ -11,7 +11,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tracewell.llm import ann, bpe, linededup, mixing, packing, pii, quality, simhash, substring, toxicity
+from tracewell.llm import ann, bpe, linededup, mixing, nearcopies, packing, pii, quality, simhash, substring, toxicity
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -241,6 +241,43 @@ def test_long_runs_are_linked_without_pairs():
     assert len(edges) == len(chain) + len(group) - 2
 
 
+def test_near_copies_equal_all_pairs(spark):
+    pick = random.Random(15)
+    rows = [(-5, None), (3, ""), (4, "  x"), (8, "A b"), (9, "a B"), (9, "a B"), (None, "a b")]
+    for g in range(12):
+        words = [f"w{pick.randint(0, 10**6)}" for _ in range(200)]
+        rows.append((100 * g + 10, " ".join(words)))
+        for c in range(1, 9):
+            copy = list(words)
+            for at in pick.sample(range(200), c):
+                copy[at] = f"x{c}"
+            rows.append((100 * g + 10 + c, " ".join(copy).upper()))
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (WORD.findall((t or "").lower()) for _, t in rows)]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    between = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            similar = 1.0 if sets[i] == sets[j] else len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            between += 0.8 <= similar < 0.95
+            if similar >= 0.8:
+                root[find(i)] = find(j)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            least[find(i)] = min(least.get(find(i), doc_id), doc_id)
+    want = sorted(((d, least[find(i)]) for i, (d, _) in enumerate(rows)), key=str)
+    assert between > 20 and sorted((tuple(r) for r in nearcopies.near_copies(frame(spark, rows)).collect()), key=str) == want
+    import corpus_pipeline
+    kept = [r.doc_id for r in dict(corpus_pipeline.STAGES)["near dedup"](spark, frame(spark, rows), "").collect()]
+    assert sorted(kept, key=str) == sorted([d for d, c in want if d is None or d == c], key=str)
+    assert nearcopies.near_copies(frame(spark, [])).count() == 0
+
+
 # passages and lines
 
 
