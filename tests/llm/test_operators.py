@@ -347,6 +347,15 @@ def test_line_runs_equal_brute_force(spark):
     assert sorted(map(tuple, cleaned), key=str) == sorted([(1, "a " * 12, 24, 5), (2, "b", 1, 6), (None, None, None, None)], key=str)
 
 
+def test_short_repeated_lines_lose_their_later_copies(spark):
+    rows = [(1, "one\nfirst two\nsolo"), (2, "first two\n\nown line\none"), (3, "one\none\nlast")]
+    assert linededup.MIN_WORDS == 1
+    kept = {r.doc_id: r.text for r in linededup.cleaned(frame(spark, rows)).collect()}
+    assert kept == {1: rows[0][1], 2: "\nown line", 3: "last"}
+    ten = {r.doc_id: r.text for r in linededup.cleaned(frame(spark, rows), min_words=10).collect()}
+    assert ten == dict(rows)
+
+
 # personal data
 
 
