@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import ann, bpe, linededup, mixing, packing, pii, quality, simhash, substring, toxicity
+from tracewell.llm import ann, bpe, convtrie, linededup, mixing, packing, pii, quality, simhash, spelling, substring, superminhash, toxicity
 from tracewell.llm.common import table
 from tracewell.llm.oracles import ORACLE_SQL  # noqa: F401
 
@@ -50,6 +50,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convtrie.trie_digest(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op13_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_bpe": op2_bpe,
@@ -61,4 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_spelling": op12_spelling,
+    "op13_superminhash": op13_superminhash,
 }
