@@ -11,7 +11,7 @@ from tracewell.functions.hashing import content_version, evidence_fingerprint, m
 from tracewell.functions.ranking import ordinal, running_total
 from tracewell.functions.text import is_anonymous_alias, is_cohort_alias, normal_text, number_text
 from tracewell.operators.binding import bind_anywhere, stitched_units
-from tracewell.operators.contains import contains_pairs
+from tracewell.operators.contains import candidate_texts, contains_pairs, first_texts, hashed_quotes, verified
 from tracewell.operators.documents import document_rows, html_rows, pick_document, url_parts
 from tracewell.operators.ledger import date_precision, float_text
 from tracewell.operators.sections import SectionSpec, section_bounds, short_sections, slice_section, start_candidates
@@ -125,6 +125,62 @@ def test_stitching_equals_plain_search(spark):
         assert got.get((cited, quote)) == _stitched(quote, cited, plain), (cited, quote)
 
 
+def test_stitching_anywhere_equals_plain_search(spark):
+    """Quotes across one and more seams, with white space at their ends, one-token units and repeated seams."""
+    rng = random.Random(31)
+    words = ["ab", "c", "de.", "fgh", "Ij", "klm."]
+    deals = {f"d{k}": [" ".join(rng.choice(words) for _ in range(rng.randint(1, 5))) + "!" for _ in range(60)] for k in range(3)}
+    pages = [(k, 0, 1, "\n\n".join(ts)) for k, ts in deals.items()]
+    units = citation_units(spark.createDataFrame(pages, "deal_slug string, page_pos int, number int, content string"))
+    refs = set()
+    for k, ts in deals.items():
+        for _ in range(60):
+            i, n = rng.randint(0, 55), rng.randint(1, 3)
+            whole = "\n\n".join(ts[i:i + n]) + rng.choice(["\n\n", "\n", " "]) + ts[i + n]
+            last = whole.rindex(ts[i + n])
+            refs.add((k, None, whole[rng.randint(0, len(ts[i])):rng.randint(last, len(whole))]))
+    refs = [r for r in refs if r[2] and not any(r[2] in t for t in deals[r[0]])]
+    got = {(r.deal_slug, r.quote_text): r.stitched for r in stitched_units(
+        spark.createDataFrame(refs, "deal_slug string, citation_unit_id string, quote_text string"), units, slack=60).collect()}
+    known = {k: [(f"page_1_paragraph_{i + 1}", t) for i, t in enumerate(ts)] for k, ts in deals.items()}
+    for deal, _, quote in refs:
+        assert got.get((deal, quote)) == _stitched(quote, None, known[deal]), (deal, quote)
+
+
+def _search_frames(spark, quotes, texts):
+    q = spark.createDataFrame([("d", x) for x in quotes], "deal_slug string, quote_text string")
+    t = spark.createDataFrame([("d", i, x) for i, x in enumerate(texts)], "deal_slug string, at int, text string").withColumn("text_hash", F.sha2("text", 256))
+    return q, t
+
+
+def test_short_quotes_meet_few_texts(spark):
+    """300 quotes "x of y" on 300 texts full of "of": the characters next to "of" part them."""
+    rng = random.Random(4)
+    names = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
+    quotes = [f"{a[-rng.randint(1, 5):]} of {b[:rng.randint(3, 5)]}" for a, b in zip(names, reversed(names))]
+    texts = [f"the {a} of {b} and the rest of it" for a, b in zip(names, reversed(names))]
+    q, t = _search_frames(spark, quotes, texts)
+    hashed = hashed_quotes(q, ["deal_slug"])
+    met = candidate_texts(hashed, t, ["deal_slug"])
+    assert met.count() < 3000
+    pairs = {(r.quote_text, r.text_hash) for r in verified(met, hashed, t, ["deal_slug"]).collect()}
+    assert pairs == {(x, hashlib.sha256(y.encode()).hexdigest()) for x in quotes for y in texts if x in y}
+
+
+def test_first_texts_look_into_few_texts(spark):
+    """A quote that every text holds costs `limit` looks; one that few hold is looked for to the end."""
+    texts = [f"number {i} says that all of this is so" for i in range(400)] + ["a quote  of\tblanks"]
+    quotes = ["says that all of this", "that all of", "number 7 says that", "  ", "\t", " ", "not there at all my friend"]
+    q, t = _search_frames(spark, quotes, texts)
+    found, looked = first_texts(q, t, ["deal_slug"], t.select("deal_slug", "text_hash", "at"), 8)
+    got = {}
+    for r in found.join(t, ["deal_slug", "text_hash"]).collect():
+        got.setdefault(r.quote_text, []).append(r.at)
+    want = {x: [i for i, y in enumerate(texts) if x in y][:8] for x in quotes}
+    assert {x: sorted(v)[:8] for x, v in got.items()} == {x: v for x, v in want.items() if v}
+    assert looked <= 3 * sum(map(len, got.values()))
+
+
 def test_numbers_print_like_percent_g(spark):
     rng = random.Random(2)
     values = [0.0, 1.0, -2.5, 130904.5, 13090.45, 999999.5, 999998.5, 1e-5, 0.0001, 123456789.0, 1e16, 2.5e-7, 21.0, 100000.0, 1000000.0]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tracewell.functions.hashing import evidence_fingerprint, make_id, text_hash
 from tracewell.functions.ranking import running_total
 from tracewell.functions.text import SPACE, UNICODE, is_blank, let
-from tracewell.operators.contains import contains_pairs
+from tracewell.operators.contains import EDGE, contains_pairs, first_texts, token_array
 from tracewell.session import Staging
 
 RUN = ["deal_slug", "run_id"]
@@ -142,12 +142,14 @@ def bind_anywhere(quotes: DataFrame, units: DataFrame, scope: list[str]) -> Data
 def candidate_units(quotes: DataFrame, units: DataFrame, limit: int = CANDIDATE_LIMIT) -> DataFrame:
     """For each distinct (deal, quote) the first `limit` units that hold it, in filing order.
 
-    The limit is the feature. The order is cut text by text first, so that no more than `limit`
-    copies of one text ever reach the final ordering of a quote.
+    The limit is the feature. Texts are looked into in filing order until a quote has enough, and the
+    order is cut text by text first, so that no more than `limit` copies of one text ever reach the final
+    ordering of a quote. A quote of white space alone has candidates like any other; an empty one has none.
     """
     scope = ["deal_slug"]
     texts = units.select("deal_slug", "text", F.col("paragraph_hash").alias("text_hash"))
-    hits = contains_pairs(quotes, texts, scope)
+    order = units.groupBy("deal_slug", F.col("paragraph_hash").alias("text_hash")).agg(F.min("sequence").alias("at"))
+    hits, _ = first_texts(quotes, texts, scope, order, limit)
     per_text = Window.partitionBy("deal_slug", "text_hash").orderBy("sequence")
     places = units.select(
         "deal_slug", F.col("paragraph_hash").alias("text_hash"), "sequence", "unit_id", "page_number", "paragraph_index",
@@ -167,6 +169,8 @@ def stitched_units(refs: DataFrame, units: DataFrame, slack: int = STITCH_SLACK)
     refs(deal_slug, citation_unit_id, quote_text). The cited unit must be part of the run of
     units, and a run stops growing at len(quote)+slack characters, so only units within that
     distance of the cited one matter: an equi-join on position buckets finds them.
+    A reference without an address is looked up by its seams instead; a quote that one unit holds alone
+    binds there and is not searched for.
     Returns (deal_slug, citation_unit_id, quote_text, stitched array<string>).
     """
     key = ["deal_slug", "citation_unit_id", "quote_text"]
@@ -188,16 +192,59 @@ def stitched_units(refs: DataFrame, units: DataFrame, slack: int = STITCH_SLACK)
 
     exact = refs.join(anchors.withColumnRenamed("anchor", "citation_unit_id"), ["deal_slug", "citation_unit_id"])
     found = search(exact, key, F.col("citation_unit_id")).select(*key, "stitched")
-    # A reference without any address may be stitched anywhere: every unit of its deal is an anchor.
+    # A reference without any address may be stitched anywhere: at the seams its tokens can lie across.
     loose = refs.filter("citation_unit_id is null").select("deal_slug", "quote_text").distinct()
     if loose.isEmpty():
         return found
-    loose = loose.join(anchors, "deal_slug")
+    loose = _seam_hits(loose, placed).join(anchors, ["deal_slug", "anchor"])
     any_run = search(loose, ["deal_slug", "quote_text", "anchor"], F.lit(None).cast("string"))
     any_run = any_run.groupBy("deal_slug", "quote_text").agg(F.min(F.struct("at", "stitched"))["stitched"].alias("stitched"))
     return found.unionByName(any_run.select("deal_slug", F.lit(None).cast("string").alias("citation_unit_id"), "quote_text", "stitched"))
 
 
+def _seam_keys(left: Column, right: Column, inner_left: bool, inner_right: bool, a: Column | int, b: Column | int) -> Column:
+    """Key of a seam: the tokens next to it, whole where the quote goes on beyond them, else their nearest a and b characters."""
+    x = left if inner_left else F.right(left, F.lit(a) if isinstance(a, int) else a)
+    y = right if inner_right else F.left(right, F.lit(b) if isinstance(b, int) else b)
+    size = lambda inner, n: F.lit(-1) if inner else (F.lit(n) if isinstance(n, int) else n)
+    return F.xxhash64(size(inner_left, a), x, size(inner_right, b), y)
+
+
+def _seam_hits(quotes: DataFrame, placed: DataFrame) -> DataFrame:
+    """(deal_slug, quote_text, anchor): units before a seam that the quote may lie across.
+
+    Units end and begin with whole tokens, so a quote across a seam has two neighbouring tokens on its
+    two sides: the last of the unit before and the first of the unit behind, of which the first and last
+    token of the quote show only a part. The index lists each seam under the pair of its tokens and
+    under the pairs with up to EDGE characters of one or both; a quote asks for all its neighbours.
+    """
+    seams = placed.select("deal_slug", F.col("unit_id").alias("anchor"), "sequence", F.element_at(token_array(F.col("text")), -1).alias("x")).join(
+        placed.select("deal_slug", (F.col("sequence") - 1).alias("sequence"), F.get(token_array(F.col("text")), F.lit(0)).alias("y")), ["deal_slug", "sequence"])
+    x, y, sizes = F.col("x"), F.col("y"), range(EDGE + 1)
+    listed = [_seam_keys(x, y, True, True, 0, 0)]
+    listed += [F.when(F.length(x) >= a, _seam_keys(x, y, False, True, a, 0)) for a in sizes]
+    listed += [F.when(F.length(y) >= b, _seam_keys(x, y, True, False, 0, b)) for b in sizes]
+    listed += [F.when((F.length(x) >= a) & (F.length(y) >= b), _seam_keys(x, y, False, False, a, b)) for a in sizes for b in sizes]
+    index = seams.select("deal_slug", "anchor", F.explode(F.array_compact(F.array(*listed))).alias("key"))
+
+    def asked(t: Column) -> Column:
+        last = F.size(t) - 2
+        shown = lambda token: F.least(F.lit(EDGE), F.length(token))
+
+        def key(i: Column) -> Column:
+            left, right = F.get(t, i), F.get(t, i + 1)
+            a, b = shown(left), shown(right)
+            return (
+                F.when((i > 0) & (i < last), _seam_keys(left, right, True, True, 0, 0))
+                .when(i > 0, _seam_keys(left, right, True, False, 0, b))
+                .when(i < last, _seam_keys(left, right, False, True, a, 0))
+                .otherwise(_seam_keys(left, right, False, False, a, b)))
+        return F.when(last >= 0, F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), key)))
+
+    keys = quotes.select("deal_slug", "quote_text", F.explode(let(token_array(F.col("quote_text")), asked)).alias("key"))
+    return index.join(keys, ["deal_slug", "key"]).select("deal_slug", "quote_text", "anchor").distinct()
+
+
 def _stitch_positions(units: DataFrame, deals: DataFrame) -> DataFrame:
     """Start of each unit in the text of its deal's units joined by blank lines."""
     rows = units.join(deals, "deal_slug", "left_semi").select("deal_slug", "unit_id", "text", "sequence", F.length("text").alias("size"))

@@ -1,19 +1,22 @@
 """Exact substring search between two tables without comparing every pair (J3, J4 blocking).
 
 Every whole token inside a quote (not its first or last) is a whole token of any text that
-holds the quote. So quotes and texts meet on three-token shingles, shorter quotes on one inner
-token; each quote is looked up under its rarest key only, and every meeting is verified on the
-text itself. A quote of one or two tokens has no inner token: its longest part lies inside some
-token, so it is searched in the distinct tokens first. Nothing is capped.
+holds the quote. So quotes and texts meet on three-token shingles, and each quote is looked up under
+its rarest key only. Quotes of three and four tokens have one key: their inner tokens with the
+characters that must stand next to them. A quote of one or two tokens has no inner token: its longest
+part lies inside some token, so it is searched in the distinct tokens first; one of white space alone
+is searched in the distinct runs of white space. Every meeting is verified on the text itself.
+Nothing is capped.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewell.functions.text import SPACE, UNICODE, is_blank, let
 from tracewell.session import cut_lineage
 
 _MIN_TOKENS = 5
+EDGE = 3
 
 
 def overlapping_count(text: Column, quote: Column) -> Column:
@@ -27,7 +30,8 @@ def plain_count(text: Column, quote: Column) -> Column:
     return ((F.length(text) - F.length(F.replace(text, quote, F.lit("")))) / F.length(quote)).cast("int")
 
 
-def _tokens(text: Column) -> Column:
+def token_array(text: Column) -> Column:
+    """Tokens between white space; empty at an end that is white space."""
     return F.split(text, f"{UNICODE}{SPACE}+")
 
 
@@ -43,7 +47,7 @@ def _grams(parts: Column, size: int) -> Column:
 
 
 def _inner_tokens(quote: Column) -> Column:
-    return let(_tokens(quote), lambda t: F.slice(t, 2, F.greatest(F.size(t) - 2, F.lit(0))))
+    return let(token_array(quote), lambda t: F.slice(t, 2, F.greatest(F.size(t) - 2, F.lit(0))))
 
 
 def _characters(text: Column) -> Column:
@@ -67,10 +71,10 @@ def _meet(quotes: DataFrame, texts: DataFrame, scope: list[str], quote_keys: Col
 
 def _meet_in_tokens(quotes: DataFrame, texts: DataFrame, scope: list[str]) -> DataFrame:
     """Candidates of quotes without an inner token: texts with a token that holds the quote's longest part."""
-    longest = F.array_max(F.transform(_tokens(F.col("quote_text")), lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    longest = F.array_max(F.transform(token_array(F.col("quote_text")), lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
     quotes = quotes.withColumn("part", longest)
     parts = quotes.select(*scope, "part", F.sha2("part", 256).alias("quote_hash"), _characters(F.col("part")).alias("c")).distinct()
-    index = texts.select(*scope, F.col("text_hash").alias("holder"), F.explode(F.array_distinct(_tokens(F.col("text")))).alias("token"))
+    index = texts.select(*scope, F.col("text_hash").alias("holder"), F.explode(F.array_distinct(token_array(F.col("text")))).alias("token"))
     words = index.select(*scope, "token").distinct().select(*scope, "token", F.sha2("token", 256).alias("text_hash"), _characters(F.col("token")).alias("c"))
     size, chars = F.size("c"), F.col("c")
     grams = F.when(size >= 3, _grams(chars, 3)).when(size == 2, _grams(chars, 2)).otherwise(_grams(chars, 1))
@@ -80,24 +84,117 @@ def _meet_in_tokens(quotes: DataFrame, texts: DataFrame, scope: list[str]) -> Da
     return holders.join(quotes.select(*scope, "part", "quote_hash"), scope + ["part"]).select(*scope, "quote_hash", "text_hash")
 
 
-def contains_pairs(quotes: DataFrame, texts: DataFrame, scope: list[str]) -> DataFrame:
-    """(scope, quote_text, text_hash, overlapping, plain) for every distinct text that holds the quote.
+def _edge_key(tokens: Column, at: Column, count: int, left: int, right: int) -> Column:
+    """Key of `count` neighbours from place `at`: all but the outer two whole, of these the nearest `left` and `right` characters."""
+    first, last = F.get(tokens, at), F.get(tokens, at + (count - 1))
+    fits = (F.length(first) >= left) & (F.length(last) >= right)
+    inner = [F.get(tokens, at + i) for i in range(1, count - 1)]
+    return F.when(fits, F.xxhash64(F.lit(count), F.lit(left), F.right(first, F.lit(left)), *inner, F.left(last, F.lit(right))))
 
-    quotes(scope, quote_text), texts(scope, text, text_hash); duplicates on either side are
-    compared once. Quotes of any length take part; a length that does not occur is an empty branch.
+
+def _edge_keys(tokens: Column, count: int, left: int, right: int) -> Column:
+    """The keys of all places of an array of tokens; null where the outer tokens are too short."""
+    keys = F.transform(F.sequence(F.lit(0), F.greatest(F.size(tokens) - count, F.lit(0))), lambda i: _edge_key(tokens, i, count, left, right))
+    return F.when(F.size(tokens) >= count, keys).otherwise(F.array().cast("array<bigint>"))
+
+
+def _meet_on_edges(quotes: DataFrame, texts: DataFrame, scope: list[str]) -> DataFrame:
+    """Candidates of quotes of three and four tokens, each under one key.
+
+    The key holds up to EDGE characters of the outer tokens, as many as the quote has. So a quote has one
+    of 2 * (EDGE + 1)^2 shapes, and texts are cut into keys of the shapes that occur.
     """
-    quotes = quotes.filter(~is_blank(F.col("quote_text"))).select(*scope, "quote_text").distinct()
-    quotes = quotes.withColumn("quote_hash", F.sha2("quote_text", 256))
-    texts = texts.select(*scope, "text_hash", "text").dropDuplicates(scope + ["text_hash"])
-    tokens = F.size(_tokens(F.col("quote_text")))
-    text_tokens = _tokens(F.col("text"))
+    t = F.col("t")
+    parts = quotes.select(*scope, "quote_hash", token_array(F.col("quote_text")).alias("t")).select(
+        *scope, "quote_hash", "t", F.size(t).alias("k"),
+        F.least(F.lit(EDGE), F.length(F.get(t, F.lit(0)))).alias("a"), F.least(F.lit(EDGE), F.length(F.element_at(t, -1))).alias("b"))
+    shapes = [(r["k"], r["a"], r["b"]) for r in parts.select("k", "a", "b").distinct().collect()]
+    if not shapes:
+        return parts.select(*scope, "quote_hash", F.lit(None).cast("string").alias("text_hash")).limit(0)
+    own, listed = F.lit(None).cast("long"), []
+    for k, a, b in sorted(shapes):
+        own = F.when((F.col("k") == k) & (F.col("a") == a) & (F.col("b") == b), _edge_key(t, F.lit(0), k, a, b)).otherwise(own)
+        listed.append(_edge_keys(t, k, a, b))
+    keys = parts.select(*scope, "quote_hash", own.alias("key"))
+    cut = texts.select(*scope, "text_hash", token_array(F.col("text")).alias("t"))
+    index = cut.select(*scope, "text_hash", F.explode(F.array_distinct(F.array_compact(F.concat(*listed)))).alias("key"))
+    hits = index.join(keys.select(*scope, "key").distinct(), scope + ["key"], "left_semi")
+    return hits.join(keys, scope + ["key"]).select(*scope, "quote_hash", "text_hash")
+
+
+def _meet_in_spaces(quotes: DataFrame, texts: DataFrame, scope: list[str]) -> DataFrame:
+    """Candidates of quotes that are white space alone: texts with a run of white space that holds the quote."""
+    runs = F.array_distinct(F.regexp_extract_all("text", F.lit(f"{UNICODE}{SPACE}+"), F.lit(0)))
+    index = texts.select(*scope, "text_hash", F.explode(runs).alias("run"))
+    kinds = index.select(*scope, "run").distinct().withColumn("first", F.left("run", F.lit(1)))
+    wanted = quotes.select(*scope, "quote_hash", "quote_text", F.left("quote_text", F.lit(1)).alias("first"))
+    letters = kinds.select(*scope, "run", F.explode(F.array_distinct(_characters(F.col("run")))).alias("first"))
+    fits = letters.join(wanted, scope + ["first"]).filter(F.col("run").contains(F.col("quote_text")))
+    return index.join(fits.select(*scope, "run", "quote_hash"), scope + ["run"]).select(*scope, "quote_hash", "text_hash").distinct()
+
+
+def hashed_quotes(quotes: DataFrame, scope: list[str]) -> DataFrame:
+    """Distinct (scope, quote_text, quote_hash) of quotes that are not null or empty."""
+    return quotes.filter(F.col("quote_text") != "").select(*scope, "quote_text").distinct().withColumn("quote_hash", F.sha2("quote_text", 256))
+
+
+def candidate_texts(quotes: DataFrame, texts: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, quote_hash, text_hash): every distinct text that may hold the quote; hashes only, no texts.
+
+    quotes(scope, quote_text, quote_hash), texts(scope, text, text_hash), both distinct.
+    """
+    tokens = F.size(token_array(F.col("quote_text")))
+    blank = is_blank(F.col("quote_text"))
     inner = _inner_tokens(F.col("quote_text"))
-    candidates = _meet(quotes.filter(tokens >= _MIN_TOKENS), texts, scope, _grams(inner, 3), _grams(text_tokens, 3))
-    candidates = candidates.unionByName(_meet(
-        quotes.filter(tokens.between(3, _MIN_TOKENS - 1)), texts, scope, _grams(inner, 1), _grams(text_tokens, 1)))
-    candidates = candidates.unionByName(_meet_in_tokens(quotes.filter(tokens < 3), texts, scope))
+    met = _meet(quotes.filter(~blank & (tokens >= _MIN_TOKENS)), texts, scope, _grams(inner, 3), _grams(token_array(F.col("text")), 3))
+    met = met.unionByName(_meet_on_edges(quotes.filter(~blank & tokens.between(3, _MIN_TOKENS - 1)), texts, scope))
+    met = met.unionByName(_meet_in_tokens(quotes.filter(~blank & (tokens < 3)), texts, scope))
+    return met.unionByName(_meet_in_spaces(quotes.filter(blank), texts, scope))
+
+
+def verified(candidates: DataFrame, quotes: DataFrame, texts: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, quote_text, text_hash, overlapping, plain) of the candidates whose text holds the quote."""
     pairs = candidates.join(quotes, scope + ["quote_hash"]).join(texts, scope + ["text_hash"])
     return pairs.filter(F.col("text").contains(F.col("quote_text"))).select(
         *scope, "quote_text", "text_hash",
         overlapping_count(F.col("text"), F.col("quote_text")).alias("overlapping"),
         plain_count(F.col("text"), F.col("quote_text")).alias("plain"))
+
+
+def contains_pairs(quotes: DataFrame, texts: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, quote_text, text_hash, overlapping, plain) for every distinct text that holds the quote.
+
+    quotes(scope, quote_text), texts(scope, text, text_hash); duplicates on either side are
+    compared once. Quotes of any length take part, those of white space alone do not.
+    """
+    quotes = hashed_quotes(quotes.filter(~is_blank(F.col("quote_text"))), scope)
+    texts = texts.select(*scope, "text_hash", "text").dropDuplicates(scope + ["text_hash"])
+    return verified(candidate_texts(quotes, texts, scope), quotes, texts, scope)
+
+
+def first_texts(quotes: DataFrame, texts: DataFrame, scope: list[str], order: DataFrame, limit: int) -> tuple[DataFrame, int]:
+    """Per distinct quote the texts that hold it among the first candidates by `at`, until `limit` are found or none is left.
+
+    order(scope, text_hash, at) gives the place of a text's first copy. The first `limit` candidates are
+    verified, then twice as many more for the quotes that fell short, and so on: a quote that occurs
+    everywhere costs `limit` looks into texts, whatever the number of texts. Returns the rows of `verified`
+    (at least the first `limit` texts that hold the quote) and the number of pairs that were looked into.
+    """
+    quotes = cut_lineage(hashed_quotes(quotes, scope))
+    texts = texts.select(*scope, "text_hash", "text").dropDuplicates(scope + ["text_hash"])
+    pool = cut_lineage(candidate_texts(quotes, texts, scope).join(order, scope + ["text_hash"]).select(*scope, "quote_hash", "text_hash", "at"))
+    by_place = Window.partitionBy(*scope, "quote_hash").orderBy("at", "text_hash")
+    found, tried, looked, size = None, 0, 0, limit
+    while True:
+        batch = pool.withColumn("_n", F.row_number().over(by_place)).filter(F.col("_n") <= tried + size).filter(F.col("_n") > tried)
+        batch = cut_lineage(batch.drop("_n", "at"))
+        looked += batch.count()
+        held = cut_lineage(verified(batch, quotes, texts, scope))
+        found = held if found is None else found.unionByName(held)
+        full = batch.groupBy(*scope, "quote_hash").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") == size)
+        so_far = found.join(quotes, scope + ["quote_text"]).groupBy(*scope, "quote_hash").agg(F.count(F.lit(1)).alias("held"))
+        short = cut_lineage(full.join(so_far, scope + ["quote_hash"], "left").filter(F.coalesce("held", F.lit(0)) < limit).select(*scope, "quote_hash"))
+        tried, size = tried + size, 2 * size
+        if short.isEmpty():
+            return found, looked
+        pool = pool.join(short, scope + ["quote_hash"], "left_semi")

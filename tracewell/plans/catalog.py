@@ -180,6 +180,17 @@ def stitched_quotes(spark, folder):
     return binding.stitched_units(refs, units).select("deal_slug", text_hash(F.col("quote_text")).alias("quote_hash"), F.array_join("stitched", ",").alias("stitched"))
 
 
+def stitched_anywhere(spark, folder):
+    """J6 without an address: the ends of the two middle lines of every document, looked up in its lines."""
+    lines = feeds.table(spark, folder, "documents").select("doc_id", F.split("text", "\n").alias("l")).filter("size(l) >= 2")
+    middle = F.floor(F.size("l") / 2).cast("int")
+    refs = lines.select(
+        F.concat(F.lit("doc_"), "doc_id").alias("deal_slug"), F.lit(None).cast("string").alias("citation_unit_id"),
+        F.concat(F.right(F.get("l", middle - 1), F.lit(30)), F.lit("\n"), F.left(F.get("l", middle), F.lit(30))).alias("quote_text"))
+    units = _documents(spark, folder, LINE)
+    return binding.stitched_units(refs, units).select("deal_slug", text_hash(F.col("quote_text")).alias("quote_hash"), F.array_join("stitched", ",").alias("stitched"))
+
+
 def bound_refs(spark, folder):
     return staged(spark, folder, "bound").select(
         "deal_slug", "claim_id", "ref_index", "error", "span_start", "span_end", "evidence_id", "source_page", "n_bound")
@@ -562,7 +573,7 @@ QUERIES: dict[str, Query] = {
     "citation_units": citation_units_q, "unit_offsets": unit_offsets, "stable_ids": stable_ids, "row_fingerprints": row_fingerprints,
     "fingerprint_digest": fingerprint_digest, "section_slice": section_slice, "url_parts": url_parts, "html_links": html_links, "pick_document": pick_document,
     "bind_quotes": bind_quotes, "unbound_quotes": unbound_quotes, "ambiguous_quotes": ambiguous_quotes, "quote_candidates": quote_candidates,
-    "stitched_quotes": stitched_quotes, "bound_refs": bound_refs, "binding_flags": binding_flags, "claim_rows": claim_rows,
+    "stitched_quotes": stitched_quotes, "stitched_anywhere": stitched_anywhere, "bound_refs": bound_refs, "binding_flags": binding_flags, "claim_rows": claim_rows,
     "claim_evidence": _graph_query("claim_evidence", "deal_slug", "claim_id", "evidence_id", "ordinal"),
     "dispositions": _graph_query("claim_dispositions", "deal_slug", "disposition_id", "claim_id", "disposition", "reason_code", "reason"),
     "coverage_results": _graph_query("coverage_results", "deal_slug", "coverage_result_id", "obligation_id", "claim_count"),

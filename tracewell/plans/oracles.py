@@ -394,6 +394,13 @@ TABLE_SQL: dict[str, str] = {
       h AS (SELECT q.source, quote, doc_id, pi, CAST((length(t) - length(replace(t, quote, ''))) / length(quote) AS INTEGER) AS n, row_number() OVER (PARTITION BY q.source, quote ORDER BY doc_id, pi) AS r FROM q JOIN u ON u.source = q.source AND contains(t, quote))
       SELECT source AS deal_slug, sha256(quote) AS quote_hash, r AS rank, 'page_' || doc_id || '_paragraph_' || pi AS citation_unit_id, doc_id AS page_number, pi AS paragraph_index, n AS match_count FROM h WHERE r <= 8""",
     "stitched_quotes": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT 'doc_' || doc_id AS deal_slug, sha256(right(l[1], 30) || chr(10) || left(l[2], 30)) AS quote_hash, 'page_1_paragraph_1,page_1_paragraph_2' AS stitched FROM l WHERE len(l) >= 2""",
+    "stitched_anywhere": "WITH " + LINES + """, l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+      q AS (SELECT doc_id, right(l[len(l) // 2], 30) || chr(10) || left(l[len(l) // 2 + 1], 30) AS quote FROM l WHERE len(l) >= 2),
+      u AS (SELECT doc_id, pi, t, coalesce(sum(length(t) + 2) OVER (PARTITION BY doc_id ORDER BY pi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM un),
+      p AS (SELECT s.doc_id, s.pi AS s, e.pi AS e, e.t, quote FROM u s JOIN q USING (doc_id) JOIN u e ON e.doc_id = s.doc_id AND e.pi > s.pi AND (e.pi = s.pi + 1 OR e.a - 2 - s.a <= length(quote) + 1000)),
+      j AS (SELECT p.doc_id, s, e, any_value(p.t) AS t, any_value(quote) AS quote, string_agg(u.t, chr(10) || chr(10) ORDER BY u.pi) AS head FROM p JOIN u ON u.doc_id = p.doc_id AND u.pi >= s AND u.pi < e GROUP BY ALL),
+      h AS (SELECT doc_id, quote, arg_min(e, s * 1000000 + e) AS e, min(s) AS s FROM j WHERE contains(head || chr(10) || chr(10) || t, quote) OR contains(head || chr(10) || t, quote) OR contains(head || ' ' || t, quote) GROUP BY ALL)
+      SELECT 'doc_' || doc_id AS deal_slug, sha256(quote) AS quote_hash, array_to_string(list_transform(range(s, e + 1), lambda i: 'page_1_paragraph_' || i), ',') AS stitched FROM h""",
     "integrity_flags": """WITH o AS (SELECT 'd' || (o_orderkey % 100) AS deal_slug, CAST(o_orderkey AS VARCHAR) AS id, o_orderkey AS k, 'obl_' || left(o_orderpriority, 1) AS obl, o_orderstatus AS s FROM orders),
       l AS (SELECT 'd' || (l_orderkey % 100) AS deal_slug, CAST(l_orderkey AS VARCHAR) AS id, 's' || l_suppkey AS a, l_suppkey AS sk, l_orderkey || '-' || l_linenumber AS link FROM lineitem), has AS (SELECT DISTINCT deal_slug, id FROM l),
       c AS (SELECT o.*, CASE WHEN k % 40 = 0 THEN 0 WHEN k % 50 = 1 THEN 2 ELSE 1 END AS nd, has.id IS NOT NULL AS ev FROM o LEFT JOIN has USING (deal_slug, id)),
