@@ -200,3 +200,8 @@ def test_stream_intake_writes_each_payload_once(spark, archive):
     ledger = spark.read.parquet(f"{out}/ledger")
     assert sorted((r.deal_slug, r.run_id, r.event_code) for r in ledger.collect()) == [("a", "r1", "nda_signed"), ("b", "r3", "nda_signed")]
     assert spark.read.parquet(f"{out}/events").count() == 2
+    # a batch without its commit record is not read
+    from tracewell.streaming.intake import committed, read_intake
+    spark.read.parquet(f"{out}/ledger").drop("batch").write.parquet(f"{out}/ledger/batch=99")
+    assert read_intake(spark, str(out), "ledger").count() == 2
+    assert sorted((r.payloads, r.issues) for r in committed(spark, str(out)).collect()) == [(1, 0), (1, 0)]

@@ -227,3 +227,14 @@ def bid_state(value: Column, lower: Column, upper: Column, unit: Column, conside
         F.concat(F.lit("unit:"), F.coalesce(blank_to_null(unit), F.lit("null"))),
         F.concat(F.lit("consideration:"), F.coalesce(blank_to_null(consideration), F.lit("null"))),
     )
+
+
+def strict_json(text: Column) -> Column:
+    """The text as a variant if it is one JSON value and nothing else, otherwise null.
+
+    The parser stops behind the first value, so what follows it is seen only inside brackets: a text that
+    closes a list early does not fit an object, and the other way round.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    alone = (F.size(listed.cast("array<variant>")) == 1) & F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}"))).isNotNull()
+    return F.when(alone, F.try_parse_json(text))

@@ -1,10 +1,13 @@
 """What readers of the ledger ask."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 EMPTY = "∅ (empty)"
 TOP = 12  # part of the feature: the profile lists the twelve most frequent values
+PARTS = 1024
 
 
 def register_views(graph: dict[str, DataFrame]) -> None:
@@ -32,24 +35,50 @@ def column_profile(rows: DataFrame, column: str, top: int = TOP) -> DataFrame:
         F.lit(column).alias("column_name"), "value", "n", (F.col("n") / total).alias("share"))
 
 
-def number_profile(rows: DataFrame, column: str) -> DataFrame:
-    """Count, minimum, upper median and maximum of a numeric column.
+def _split(values: DataFrame, part: Column) -> list:
+    """Parts of (v) in order, each with its number of values, least and greatest."""
+    parts = values.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    return sorted(parts.collect(), key=lambda r: r["part"])
+
+
+def _part_of(parts: list, rank: int) -> tuple[int, float, float]:
+    """(rank inside, least, greatest) of the part that holds the rank."""
+    for p in parts:
+        if rank <= p["n"]:
+            return rank, p["lo"], p["hi"]
+        rank -= p["n"]
+    raise ValueError("rank beyond the values")
+
 
-    The median is exact: values are counted first, so the running count goes over distinct values.
+def order_statistics(rows: DataFrame, column: str, ranks: Callable[[int], list[int]]) -> tuple[int, float | None, float | None, list[float]]:
+    """(count, least, greatest, values at `ranks(count)`, 1-based) of a numeric column, exactly, by radix refinement.
+
+    The values are counted by sign and power of two, the part that holds a rank is cut into PARTS equal
+    ranges between its own least and greatest value, and so on until they are equal. A pass is one count
+    with at most a few thousand groups over a filtered scan; after the first one a part spans a factor of two, so
+    the 53 bits of a double are settled in at most six more, whatever the distribution: neither an outlier
+    nor a value that a third of the rows hold makes a task large. Null and NaN are no values.
     """
-    values = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    totals = values.agg(F.struct(F.sum("n").alias("count"), F.min("v").alias("min"), F.max("v").alias("max")).alias("t")).scalar()
-    # Coarse blocks of the value range keep the running count out of one task.
-    with_range = values.select("v", "n", totals.alias("t")).select("v", "n", "t.*")
-    width = F.greatest((F.col("max") - F.col("min")) / 1024, F.lit(1e-12))
-    blocked = with_range.withColumn("b", F.floor((F.col("v") - F.col("min")) / width))
-    blocks = blocked.groupBy("b").agg(F.sum("n").alias("bn"))
-    before = blocks.select("b", F.coalesce(F.sum("bn").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"))
-    inside = F.sum("n").over(Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = blocked.withColumn("_in", inside).join(before, "b").withColumn("upto", F.col("off") + F.col("_in"))
-    position = F.floor(F.col("count") / 2) + 1
-    return ranked.filter(F.col("upto") >= position).groupBy("count", "min", "max").agg(F.min("v").alias("median")).select(
-        F.lit(column).alias("column_name"), F.col("count").alias("n"), "min", "median", "max")
+    v = F.col("v")
+    values = rows.select(F.col(column).cast("double").alias("v")).filter(v.isNotNull() & ~F.isnan("v"))
+    finite = F.abs(v) < float("inf")
+    power = F.when(v == 0, 0).when(finite, F.signum(v) * (F.floor(F.log2(F.abs(v))) + 2000)).otherwise(F.signum(v) * 9000).cast("int")
+    parts = _split(values, power)
+    count, found = sum(p["n"] for p in parts), []
+    for rank in ranks(count) if count else []:
+        inside, lo, hi = _part_of(parts, rank)
+        while lo < hi:
+            place = F.least(F.floor((v - lo) / (hi - lo) * PARTS), F.lit(PARTS - 1)).cast("int")
+            inside, lo, hi = _part_of(_split(values.filter(v.between(lo, hi)), place), inside)
+        found.append(lo)
+    return count, parts[0]["lo"] if parts else None, parts[-1]["hi"] if parts else None, found
+
+
+def number_profile(rows: DataFrame, column: str) -> DataFrame:
+    """Count, minimum, upper median and maximum of a numeric column, exactly; no row without values."""
+    n, least, most, median = order_statistics(rows, column, lambda count: [count // 2 + 1])
+    found = [(column, n, least, median[0], most)] if n else []
+    return rows.sparkSession.createDataFrame(found, "column_name string, n bigint, min double, median double, max double")
 
 
 def distinct_values(rows: DataFrame, column: str) -> DataFrame:

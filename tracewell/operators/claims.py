@@ -74,7 +74,7 @@ def payload_violations(payloads: DataFrame, payload: str = "payload") -> DataFra
     families, forbidden = _strings(FAMILIES), _strings(FORBIDDEN_FIELDS)
     names = "coalesce(json_object_keys(text), array())"
     taken = f"array_sort(array_intersect({names}, {forbidden}))"
-    root = payloads.select(*keys, F.col(payload).alias("text"), F.try_parse_json(payload).alias("v"))
+    root = payloads.select(*keys, F.col(payload).alias("text"), strict_json(F.col(payload)).alias("v"))
     root = root.withColumn("k", F.expr(_kind("v"))).select(*keys, "v", "k", F.expr(_found(
         _check("v IS NULL", "'$'", "'malformed JSON'"),
         _check("v IS NOT NULL AND k <> 'object'", "'$'", "'expected JSON object'"),
@@ -150,7 +150,7 @@ def payload_violations(payloads: DataFrame, payload: str = "payload") -> DataFra
 
 def is_claim_payload(payload: Column) -> Column:
     """V8: all five families are arrays."""
-    variant = F.try_parse_json(payload)
+    variant = strict_json(payload)
     ok = F.lit(True)
     for family in FAMILIES:
         ok = ok & F.schema_of_variant(F.try_variant_get(variant, f"$.{family}", "variant")).startswith("ARRAY")

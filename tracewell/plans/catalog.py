@@ -16,8 +16,11 @@ from tracewell.operators import reconcile as rec, review as review_ops, runs as
 from tracewell.operators.integrity import integrity_flags
 from tracewell.operators.units import LINE, citation_units
 from tracewell.plans import feeds
-from tracewell.session import Staging, shared_folder
-from tracewell.streaming.idle import idle_gaps, idle_sessions
+from tracewell.session import Staging, cut_lineage, shared_folder
+from tracewell.sources import state
+from tracewell.sources.tables import KeyedTable
+from tracewell.streaming.idle import idle_gaps, run_to_end
+from tracewell.streaming.intake import read_intake, start_intake
 
 Query = Callable[[SparkSession, str], DataFrame]
 _STAGED: dict[tuple[str, str, str], DataFrame] = {}
@@ -559,14 +562,65 @@ def idle_gaps_q(spark, folder):
 
 
 def stream_sessions(spark, folder):
-    """Z2 as a stream over the events table, run to its end."""
-    base = shared_folder(spark, "sessions")
-    schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    source = spark.readStream.schema(schema).parquet(f"{folder}/events.parque[t]")
-    closed = idle_sessions(source, ["user_id"])
-    query = closed.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema("user_id bigint, started timestamp, last_activity timestamp, activities bigint").parquet(f"{base}/out")
+    """Z2 as a stream over the events table, run to its end: the sessions still open there are closed."""
+    return run_to_end(spark, f"{folder}/events.parque[t]", shared_folder(spark, "sessions"), ["user_id"]).select(
+        "user_id", "started", "last_activity", "activities")
+
+
+def flag_log_lines(spark, folder):
+    """The events as JSON-lines logs of 20,000 lines, some of them broken, read back in splits with line numbers."""
+    event = "to_json(named_struct('deal', concat('deal_', user_id), 'run_id', 'r1', 'logged_at', cast(event_id as string), 'severity', event_type, 'code', props))"
+    line = f"CASE event_id % 53 WHEN 5 THEN '' WHEN 9 THEN concat('[', event_id, ']') WHEN 13 THEN concat('{{\"deal\":', event_id) ELSE {event} END"
+    rows = feeds.table(spark, folder, "events").selectExpr("event_id", "cast(event_id div 20000 as int) as log", f"{line} as value")
+    path = shared_folder(spark, "flag-log")
+    rows.repartition("log").sortWithinPartitions("log", "event_id").select("log", "value").write.partitionBy("log").text(path)
+    reader = spark.newSession()  # its own settings: a log file has many splits here, as a large one has anywhere
+    reader.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    reader.conf.set("spark.sql.files.openCostInBytes", "4k")
+    entries, bad = state.read_flag_log(reader, f"{path}/log=*")
+    log = F.regexp_extract("path", r"log=(\d+)/", 1).cast("int").alias("log")
+    good = entries.select(log, F.col("line_no").cast("long").alias("line"), "deal_slug", "severity", F.col("logged_at").alias("event"), F.lit(None).cast("string").alias("message"))
+    none = F.lit(None).cast("string")
+    return good.unionByName(bad.select(log, F.col("line").cast("long").alias("line"), none.alias("deal_slug"), "severity", none.alias("event"), "message"))
+
+
+def stored_progress(spark, folder):
+    """The state of all deals as a stored table that a batch of finished runs is merged into."""
+    state_rows = feeds.progress_feed(spark, folder).drop("c_custkey")
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state_rows.schema.fields)
+    table = KeyedTable(spark, shared_folder(spark, "progress"), shape, ["deal_slug"], buckets=16)
+    table.upsert(state_rows)
+    table.upsert(_batch(spark, folder), progress_ops.upsert_progress)
+    return table.read().select("deal_slug", "is_reference", "status", "flag_count", "last_run", "last_run_id", "notes", "rulebook_version", "verified",
+                               F.size("rulebook_version_history").alias("history"))
+
+
+def _payload_files(spark, folder):
+    """Payloads of (deal, thousand events): every claim of the event feed, in its family's array."""
+    claims = staged(spark, folder, "claims").withColumn("deal_slug", F.concat_ws("_", "deal_slug", F.expr("claim_index div 1000")))
+    arrays = claims.groupBy("deal_slug", "run_id").pivot("family", list(claim_ops.FAMILIES)).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("claim_index", "claim_sequence", "raw_value"))), lambda c: c["raw_value"]))
+    parts = F.concat_ws(",", *[F.concat(F.lit(f'"{f}":['), F.concat_ws(",", F.col(f)), F.lit("]")) for f in claim_ops.FAMILIES])
+    return arrays.select("deal_slug", "run_id", F.lit("v1").alias("rulebook_version"), F.concat(F.lit("{"), parts, F.lit("}")).alias("payload"))
+
+
+def stream_intake(spark, folder):
+    """Payload files taken in by a stream, then the same deals once more under another run, which adds nothing."""
+    base = shared_folder(spark, "intake")
+    feed = feeds.event_feed(spark, folder).withColumn("deal_slug", F.concat_ws("_", "deal_slug", F.expr("cast(event_id as int) div 1000")))
+    pages = feeds.event_pages(feed)
+    targets = feed.select("deal_slug", F.lit(None).cast("string").alias("target_name")).distinct()
+    payloads = cut_lineage(_payload_files(spark, folder))
+    for run, rows in enumerate((payloads, payloads.withColumn("run_id", F.lit("r2")))):
+        rows.write.json(f"{base}/inbox/{run}")
+        start_intake(spark, f"{base}/inbox/*", pages, targets, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    claims = read_intake(spark, f"{base}/out", "claims").select("deal_slug", "run_id", "claim_id", "claim_type", "claim_sequence")
+    judged = claims.join(read_intake(spark, f"{base}/out", "claim_dispositions").select("deal_slug", "run_id", "claim_id", "disposition"), ["deal_slug", "run_id", "claim_id"])
+    taken = judged.groupBy("deal_slug", "run_id", "claim_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("disposition") == "supported").alias("n_supported"),
+        F.min("claim_sequence").cast("long").alias("first_sequence"), F.max("claim_sequence").cast("long").alias("last_sequence"))
+    refused = read_intake(spark, f"{base}/out", "issues").groupBy("deal_slug", "run_id").agg(F.count(F.lit(1)).alias("n"))
+    return taken.unionByName(refused.withColumn("claim_type", F.lit("refused")), allowMissingColumns=True)
 
 
 QUERIES: dict[str, Query] = {
@@ -594,5 +648,5 @@ QUERIES: dict[str, Query] = {
     "stability_overall": stability_overall, "release_gate": release_gate, "call_summary": call_summary, "pool_summary": pool_summary, "skip_plan": skip_plan,
     "deal_selection": deal_selection, "progress_upsert": progress_upsert, "history_cap": history_cap, "failure_status": failure_status,
     "reconcile_issues": reconcile_issues, "flag_multiset_diff": flag_multiset_diff, "quote_grounding": quote_grounding, "verify_eligibility": verify_eligibility,
-    "idle_gaps": idle_gaps_q, "stream_sessions": stream_sessions,
+    "idle_gaps": idle_gaps_q, "stream_sessions": stream_sessions, "flag_log_lines": flag_log_lines, "stored_progress": stored_progress, "stream_intake": stream_intake,
 }

@@ -401,6 +401,14 @@ TABLE_SQL: dict[str, str] = {
       j AS (SELECT p.doc_id, s, e, any_value(p.t) AS t, any_value(quote) AS quote, string_agg(u.t, chr(10) || chr(10) ORDER BY u.pi) AS head FROM p JOIN u ON u.doc_id = p.doc_id AND u.pi >= s AND u.pi < e GROUP BY ALL),
       h AS (SELECT doc_id, quote, arg_min(e, s * 1000000 + e) AS e, min(s) AS s FROM j WHERE contains(head || chr(10) || chr(10) || t, quote) OR contains(head || chr(10) || t, quote) OR contains(head || ' ' || t, quote) GROUP BY ALL)
       SELECT 'doc_' || doc_id AS deal_slug, sha256(quote) AS quote_hash, array_to_string(list_transform(range(s, e + 1), lambda i: 'page_1_paragraph_' || i), ',') AS stitched FROM h""",
+    "flag_log_lines": """WITH r AS (SELECT event_id, user_id, event_type, CAST(event_id // 20000 AS INTEGER) AS log, event_id % 53 AS m FROM events),
+      n AS (SELECT *, row_number() OVER (PARTITION BY log ORDER BY event_id) AS line FROM r)
+      SELECT log, line, CASE WHEN m IN (9, 13) THEN NULL ELSE 'deal_' || user_id END AS deal_slug, CASE WHEN m IN (9, 13) THEN 'error' ELSE event_type END AS severity,
+        CASE WHEN m NOT IN (9, 13) THEN CAST(event_id AS VARCHAR) END AS event,
+        CASE m WHEN 9 THEN 'flag log line ' || line || ' is not a JSON object' WHEN 13 THEN 'flag log line ' || line || ' is not valid JSON' END AS message FROM n WHERE m <> 5""",
+    "stream_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 120 SECONDS THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+      s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g WHERE ts IS NOT NULL)
+      SELECT user_id, min(ts) AS started, max(ts) AS last_activity, count(*) AS activities FROM s GROUP BY user_id, session""",
     "integrity_flags": """WITH o AS (SELECT 'd' || (o_orderkey % 100) AS deal_slug, CAST(o_orderkey AS VARCHAR) AS id, o_orderkey AS k, 'obl_' || left(o_orderpriority, 1) AS obl, o_orderstatus AS s FROM orders),
       l AS (SELECT 'd' || (l_orderkey % 100) AS deal_slug, CAST(l_orderkey AS VARCHAR) AS id, 's' || l_suppkey AS a, l_suppkey AS sk, l_orderkey || '-' || l_linenumber AS link FROM lineitem), has AS (SELECT DISTINCT deal_slug, id FROM l),
       c AS (SELECT o.*, CASE WHEN k % 40 = 0 THEN 0 WHEN k % 50 = 1 THEN 2 ELSE 1 END AS nd, has.id IS NOT NULL AS ev FROM o LEFT JOIN has USING (deal_slug, id)),
@@ -537,6 +545,14 @@ SELECT deal_slug, row_count, review_item_count, 'no_hard_flags' AS graph_status,
 FROM tot LEFT JOIN tc USING (deal_slug) LEFT JOIN event_subtype_counts USING (deal_slug) LEFT JOIN claim_type_counts USING (deal_slug) LEFT JOIN relation_type_counts USING (deal_slug) LEFT JOIN date_diagnostics USING (deal_slug)
 LEFT JOIN bid_value_representation USING (deal_slug) LEFT JOIN quote_diagnostics USING (deal_slug) LEFT JOIN flag_counts USING (deal_slug)"""
 GRAPH_SQL["run_metrics"] = _METRICS
+TABLE_SQL["stored_progress"] = TABLE_SQL["progress_upsert"]
+GRAPH_SQL["stream_intake"] = chain("BOUND", """SELECT deal_slug, run_id, CASE WHEN refused > 0 THEN 'refused' ELSE kind END AS claim_type,
+      CAST(CASE WHEN refused > 0 THEN any_value(refused) ELSE count(*) END AS BIGINT) AS n, CASE WHEN refused = 0 THEN count(*) FILTER (NOT rejected) END AS n_supported,
+      CASE WHEN refused = 0 THEN min(place) END AS first_sequence, CASE WHEN refused = 0 THEN max(place) END AS last_sequence
+    FROM (SELECT deal AS deal_slug, 'r1' AS run_id, kind, rejected, row_number() OVER (PARTITION BY deal ORDER BY seq) AS place,
+        count(*) FILTER (kind = 'event' AND subtype = 'board_meeting') OVER (PARTITION BY deal) AS refused
+      FROM (SELECT *, deal_slug || '_' || (event_id // 1000) AS deal FROM judged))
+    GROUP BY deal_slug, run_id, refused, CASE WHEN refused > 0 THEN 'refused' ELSE kind END""")
 
 _FAMILY = "CASE kind WHEN 'actor' THEN 'actor_claims' WHEN 'actor_relation' THEN 'actor_relation_claims' WHEN 'event' THEN 'event_claims' WHEN 'bid' THEN 'bid_claims' ELSE 'participation_count_claims' END"
 _BROKEN = {

@@ -1,14 +1,18 @@
 """State files, logs and archived runs."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from tracewell.functions.text import strict_json
 from tracewell.schemas import CALL_JSON, PROGRESS_JSON, RUN_MANIFEST_JSON
+from tracewell.session import cut_lineage
+
+_RUN_FILE = r"([^/]+)/runs/([^/]+)/[^/]+$"
 
 
 def _run_of_path() -> list:
     path = F.col("_metadata.file_path")
-    return [F.regexp_extract(path, r"([^/]+)/runs/([^/]+)/[^/]+$", 1).alias("deal_slug"), F.regexp_extract(path, r"([^/]+)/runs/([^/]+)/[^/]+$", 2).alias("run_id")]
+    return [F.regexp_extract(path, _RUN_FILE, 1).alias("deal_slug"), F.regexp_extract(path, _RUN_FILE, 2).alias("run_id")]
 
 
 def read_payloads(spark: SparkSession, pattern: str) -> DataFrame:
@@ -28,35 +32,48 @@ def read_run_manifests(spark: SparkSession, pattern: str) -> DataFrame:
         F.coalesce(m("api_endpoint"), F.lit("")).alias("provider"), m("prompt_hash"), m("schema_hash"), m("rulebook_version"), m("extractor_contract_version"))
 
 
-def read_calls(spark: SparkSession, pattern: str) -> DataFrame:
-    """Call logs; blank and bad lines are skipped. `pos` orders the calls of a run: by time, then as written.
+def numbered_lines(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, line_no, line): every line of text files with its 1-based number, files of any size.
 
-    A split is read in file order by one task, so a growing id keeps the order of its lines, and the
-    start of the split that of the splits of a file.
+    A file is read in splits by several tasks, so numbers come in two passes: lines are counted per split,
+    the counts summed over the splits before, and a line's number is that base plus its place in the split.
+    A task reads a split in file order, so a growing id gives the place. Only counts per split meet.
     """
-    rows = spark.read.schema(CALL_JSON).option("mode", "DROPMALFORMED").json(pattern)
+    split = ["path", "_start"]
+    rows = spark.read.text(pattern).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    rows = cut_lineage(rows)  # ids and counts must come from the same reading
+    counts = rows.groupBy(*split).agg(F.count(F.lit(1)).alias("_lines"), F.min("_id").alias("_first"))
+    before = Window.partitionBy("path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select(*split, "_first", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_base"))
+    return rows.join(base, split).select("path", (F.col("_base") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "line")
+
+
+def read_calls(spark: SparkSession, pattern: str) -> DataFrame:
+    """Call logs; blank and bad lines are skipped. `pos` orders the calls of a run: by time, then by line."""
+    rows = numbered_lines(spark, pattern).withColumn("_c", F.from_json("line", CALL_JSON)).filter(F.coalesce(_is_object(strict_json(F.col("line"))), F.lit(False)))
+    path = F.col("path")
+    c = lambda n: F.col(f"_c.{n}")
     return rows.select(
-        *_run_of_path(), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_line"), "*").select(
-        "deal_slug", "run_id", F.struct("ts", "_b", "_line").alias("pos"), "phase", "prompt_hash", "attempts",
-        F.col("watchdog.warnings").alias("warnings"), "input_tokens", "output_tokens", "reasoning_tokens", "ts", "outcome")
+        F.regexp_extract(path, _RUN_FILE, 1).alias("deal_slug"), F.regexp_extract(path, _RUN_FILE, 2).alias("run_id"),
+        F.struct(c("ts").alias("ts"), F.col("line_no")).alias("pos"), c("phase"), c("prompt_hash"), c("attempts"),
+        c("watchdog.warnings").alias("warnings"), c("input_tokens"), c("output_tokens"), c("reasoning_tokens"), c("ts"), c("outcome"))
 
 
-def read_flag_log(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFrame]:
-    """Flag log -> (entries, issues). Bad lines are reported with their 1-based number.
+def _is_object(variant: Column) -> Column:
+    return F.schema_of_variant(variant).startswith("OBJECT")
 
-    Line numbers need the file as a whole, so each log file is one row; keep log files small
-    (one per run or day), as an append-only table is.
-    """
-    text = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = text.select("path", F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("_i", "line")).filter(F.trim("line") != "")
-    lines = lines.withColumn("v", F.try_parse_json("line")).withColumn("line_no", F.col("_i") + 1)
-    is_object = F.schema_of_variant("v").startswith("OBJECT")
-    good = lines.filter(is_object).select("path", "line_no", "line")
-    entries = good.select(
-        F.get_json_object("line", "$.deal").alias("deal_slug"), F.get_json_object("line", "$.run_id").alias("run_id"),
-        F.get_json_object("line", "$.logged_at").alias("logged_at"), F.get_json_object("line", "$.severity").alias("severity"),
-        F.get_json_object("line", "$.code").alias("code"), F.col("line").alias("entry"))
-    bad = lines.filter(~F.coalesce(is_object, F.lit(False))).select(
+
+def read_flag_log(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFrame]:
+    """Flag log -> (entries, issues). Bad lines are reported with their 1-based number; files may have any size."""
+    lines = numbered_lines(spark, pattern).filter(F.trim("line") != "").withColumn("v", strict_json(F.col("line")))
+    good = F.coalesce(_is_object(F.col("v")), F.lit(False))
+    field = lambda n: F.get_json_object("line", f"$.{n}")
+    entries = lines.filter(good).select(
+        field("deal").alias("deal_slug"), field("run_id").alias("run_id"), field("logged_at").alias("logged_at"),
+        field("severity").alias("severity"), field("code").alias("code"), F.col("line").alias("entry"), "path", "line_no")
+    bad = lines.filter(~good).select(
         F.lit("error").alias("severity"), F.lit("bad_flags_jsonl").alias("code"),
         F.concat(F.lit("flag log line "), F.col("line_no"), F.when(F.col("v").isNull(), " is not valid JSON").otherwise(" is not a JSON object")).alias("message"),
         "path", F.col("line_no").alias("line"))
@@ -76,7 +93,7 @@ def read_json_objects(spark: SparkSession, expected: DataFrame, pattern: str) ->
     text = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("_full"), "value")
     rows = text.withColumn("path", F.regexp_replace("_full", r"^file:/+", "/"))
     joined = expected.join(rows.select("path", "value"), "path", "left")
-    variant = F.try_parse_json("value")
+    variant = strict_json(F.col("value"))
     reason = (
         F.when(F.col("value").isNull(), "missing").when(variant.isNull(), "bad_json")
         .when(~F.schema_of_variant(variant).startswith("OBJECT"), "top-level JSON value is not an object"))

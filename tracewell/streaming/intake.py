@@ -1,48 +1,86 @@
-"""Incremental intake (Z1): new payload files are bound, canonicalised and appended once."""
+"""Incremental intake (Z1): new payload files are bound, canonicalised and appended, each exactly once.
+
+Keys (deal, rule version) that were taken before are held in the stream's state store, so the work of a
+batch does not grow with what came before it. A batch writes its tables below `batch=<id>` and then one
+commit record; readers follow the records, so they see a batch whole or not at all, and a batch that is
+repeated after a failure replaces its own folders and its own record.
+"""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracewell.plans.pipeline import finalize
 from tracewell.session import Staging
 from tracewell.sources.sinks import STORED_COLUMNS, GRAPH_KEY, storable
 
 PAYLOAD_FILE = "deal_slug string, run_id string, rulebook_version string, payload string"
+COMMIT = "batch int, payloads bigint, issues bigint"
+
+
+def new_payloads(source: DataFrame) -> DataFrame:
+    """One payload per (deal, rule version) over the whole stream: of those that come together that of the smallest run id.
+
+    The state is one mark per key; payloads pass through in chunks and only the smallest is held.
+    """
+    def order(row) -> tuple[str, str]:
+        return row["run_id"] or "", row["payload"] or ""
 
+    # Inside, so that it travels by value and workers need not have this package.
+    def first_of_key(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best = None
+        for chunk in chunks:
+            for row in chunk.to_dict("records"):
+                if best is None or order(row) < order(best):
+                    best = row
+        if not state.exists and best is not None:
+            state.update((True,))
+            yield pd.DataFrame([best])[["deal_slug", "run_id", "rulebook_version", "payload"]]
 
-def pending(batch: DataFrame, done: DataFrame | None) -> DataFrame:
-    """Payloads whose (deal, rule version) was not finished before."""
-    if done is None:
-        return batch
-    return batch.join(done.select("deal_slug", "rulebook_version").distinct(), ["deal_slug", "rulebook_version"], "left_anti")
+    return source.groupBy("deal_slug", "rulebook_version").applyInPandasWithState(
+        first_of_key, PAYLOAD_FILE, "seen boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def start_intake(
     spark: SparkSession, payload_folder: str, pages: DataFrame, targets: DataFrame, out_folder: str, checkpoint: str, stage_folder: str | None = None,
 ) -> StreamingQuery:
-    """Reads JSON lines of PAYLOAD_FILE, runs the batch pipeline per micro-batch.
+    """Reads JSON lines of PAYLOAD_FILE and runs the batch pipeline on the deals of each micro-batch.
 
-    The file source's checkpoint takes each file once. Every batch writes to its own
-    `batch=<id>` folder in overwrite mode, so a batch repeated after a failure replaces itself.
+    The file source's checkpoint takes each file once, the state store each key once. Only pages and
+    targets of the batch's deals are read on.
     """
-    # An empty table from the start, so that a failing read of it is an error and not "nothing done yet".
-    spark.createDataFrame([], "deal_slug string, rulebook_version string, run_id string, batch int").write.partitionBy("batch").mode("append").parquet(f"{out_folder}/done")
-    done_shape = "deal_slug string, rulebook_version string, run_id string, batch int"
+    spark.createDataFrame([], COMMIT).write.mode("ignore").parquet(f"{out_folder}/commits/start")
     source = spark.readStream.schema(PAYLOAD_FILE).json(payload_folder)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        done = session.read.schema(done_shape).parquet(f"{out_folder}/done").filter(F.col("batch") != batch_id)
-        todo = pending(batch.dropDuplicates(["deal_slug", "run_id"]), done)
+        staging = Staging(f"{stage_folder}/{batch_id}" if stage_folder else None)
+        todo = staging.keep("todo", batch.select("deal_slug", "run_id", "payload"))
         if todo.isEmpty():
             return
-        graph = finalize(pages, todo, targets, staging=Staging(f"{stage_folder}/{batch_id}" if stage_folder else None))
-        for table in STORED_COLUMNS:
+        deals = todo.select("deal_slug").distinct()
+        graph = finalize(pages.join(deals, "deal_slug", "left_semi"), todo, targets.join(deals, "deal_slug", "left_semi"), staging=staging)
+        for table in [*STORED_COLUMNS, "ledger"]:
             df = graph.get(GRAPH_KEY.get(table, table))
             if df is not None:
-                storable(df, table).write.mode("overwrite").parquet(f"{out_folder}/{table}/batch={batch_id}")
-        graph["ledger"].write.mode("overwrite").parquet(f"{out_folder}/ledger/batch={batch_id}")
-        todo.select("deal_slug", "rulebook_version", "run_id").write.mode("overwrite").parquet(f"{out_folder}/done/batch={batch_id}")
+                rows = df if table == "ledger" else storable(df, table)
+                rows.write.mode("overwrite").parquet(f"{out_folder}/{table}/batch={batch_id}")
+        graph["issues"].write.mode("overwrite").parquet(f"{out_folder}/issues/batch={batch_id}")
+        record = [(batch_id, todo.count(), graph["issues"].count())]
+        batch.sparkSession.createDataFrame(record, COMMIT).coalesce(1).write.mode("overwrite").parquet(f"{out_folder}/commits/{batch_id}")  # last: now the batch is there
+
+    return new_payloads(source).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def committed(spark: SparkSession, out_folder: str) -> DataFrame:
+    """The commit records of an intake: (batch, payloads, issues)."""
+    return spark.read.schema(COMMIT).parquet(f"{out_folder}/commits/*")
+
 
-    return source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def read_intake(spark: SparkSession, out_folder: str, table: str) -> DataFrame:
+    """Rows of one table of all committed batches."""
+    rows = spark.read.option("mergeSchema", True).parquet(f"{out_folder}/{table}")
+    return rows.join(committed(spark, out_folder).select("batch"), "batch", "left_semi").drop("batch")
