@@ -226,7 +226,7 @@ def test_near_duplicates_without_rows_or_words(spark):
     blank = spark.createDataFrame([(2, None), (1, ""), (None, " ")], "doc_id long, text string")
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in superminhash.near_duplicates(blank).collect()) == [
         ("1", 0, "1", True), ("2", 0, "2", True), ("None", 0, "None", False)]
-    assert superminhash.deduplicated(blank).count() == 3
+    assert sorted(str(r.doc_id) for r in superminhash.deduplicated(blank).collect()) == ["1", "None"]
 
 
 def test_signature_is_that_of_the_sequential_rule():

@@ -307,6 +307,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", link: int = LINK) -> Da
 
 
 def deduplicated(docs: DataFrame, text: str = "text", link: int = LINK) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; rows without doc_id stay."""
-    losers = near_duplicates(docs, text, link).where("doc_id <> component_id").select(F.col("doc_id").alias("_loser")).distinct()
+    """The rows of docs whose doc_id is the smallest of its component; rows without doc_id stay.
+
+    Here texts without words are copies of each other: the one with the smallest doc_id stays.
+    """
+    groups = stage_table(near_duplicates(docs, text, link), "near-duplicates")
+    blank = groups.where("n_shingles = 0")
+    first = blank.agg(F.min("doc_id")).first()[0]
+    losers = groups.where("doc_id <> component_id").select("doc_id").unionByName(blank.where(F.col("doc_id") > F.lit(first).cast("long")).select("doc_id"))
+    losers = losers.select(F.col("doc_id").alias("_loser")).distinct()
     return docs.join(losers, docs["doc_id"] == losers["_loser"], "left_anti")
