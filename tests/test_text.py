@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.hashing import content_version, evidence_fingerprint, make_id, stable_id
 from tracewell.functions.ranking import ordinal, running_total
-from tracewell.functions.text import is_anonymous_alias, is_cohort_alias, normal_text, number_text
+from tracewell.functions.text import is_anonymous_alias, is_cohort_alias, normal_text, number_text, sums_before
 from tracewell.operators.binding import bind_anywhere, stitched_units
 from tracewell.operators.contains import candidate_texts, contains_pairs, first_texts, hashed_quotes, verified
 from tracewell.operators.documents import document_rows, html_rows, pick_document, url_parts
 from tracewell.operators.ledger import date_precision, float_text
-from tracewell.operators.sections import SectionSpec, section_bounds, short_sections, slice_section, start_candidates
+from tracewell.operators.sections import SectionSpec, match_array, section_bounds, short_sections, slice_section, start_candidates
 from tracewell.operators.units import citation_units, page_of_unit, paragraph_array
 
 PARAGRAPH = r"\S(?:.*?\S)?(?=\n\s*\n|\Z)"
@@ -242,6 +242,26 @@ def test_section_is_found_behind_contents_and_cross_references(spark):
     assert short_sections(slice_section(pages, bounds)).count() == 0
 
 
+def test_sums_before_and_many_headings(spark):
+    rng = random.Random(6)
+    sizes = [[rng.randint(0, 9) for _ in range(n)] for n in (0, 1, 255, 256, 257, 1100)]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(sizes)], "i int, x array<int>").select("i", sums_before(F.col("x")).alias("s")).collect()
+    assert {r.i: r.s for r in got} == {i: [sum(x[:k]) for k in range(len(x))] for i, x in enumerate(sizes)}
+    text = "".join(rng.choice(["Of The", "é", "x ", "\n"]) for _ in range(3000))
+    spans = spark.createDataFrame([(text,)], "t string").select(match_array(F.col("t"), "of the").alias("m")).first().m
+    assert [(s.start, s.stop) for s in spans] == [m.span() for m in re.finditer("of the", text, re.I)]
+
+
+def test_section_end_is_sought_up_to_the_window(spark):
+    """A start on page 20; the end heading lies on the last page of the window, or on the first behind it."""
+    story = "text\n**Background of the Merger**\nThe following chronology summarizes events. " + "words " * 400
+    for gap, found in ((33, True), (34, False)):
+        pages = section_pages(spark, ["filler"] * 20 + [story] + ["more"] * gap + ["\nReasons for the Merger\nwhy"])
+        bounds = section_bounds(pages).first()
+        assert bounds.start_pos == 20 and (bounds.reason is None) == found
+        assert bounds.end_pos == (20 + gap + 1 if found else None)
+
+
 def test_section_failures_are_rows(spark):
     only_toc = section_bounds(section_pages(spark, ["| Background of the Merger | 1 | 2 | 3 |"])).first()
     assert "only table-of-contents" in only_toc.reason

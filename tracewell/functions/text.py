@@ -238,3 +238,26 @@ def strict_json(text: Column) -> Column:
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     alone = (F.size(listed.cast("array<variant>")) == 1) & F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}"))).isNotNull()
     return F.when(alone, F.try_parse_json(text))
+
+
+_BLOCK = 256
+
+
+def sums_before(sizes: Column) -> Column:
+    """For each place of an array of numbers the sum of all earlier ones, in time near its length.
+
+    Sums of blocks come first, then sums of the blocks before each block; a place adds what stands before
+    it in its own block.
+    """
+    add = lambda a, n: a + n
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), add)
+    places = lambda count: F.filter(F.sequence(F.lit(0), count), lambda i: i < count)
+
+    def spread(sizes: Column) -> Column:
+        blocks = F.ceil(F.size(sizes) / _BLOCK).cast("int")
+        own = F.transform(places(blocks), lambda b: total(F.slice(sizes, b * _BLOCK + 1, F.lit(_BLOCK))))
+        before = let(own, lambda own: F.transform(own, lambda _, b: total(F.slice(own, F.lit(1), b))))
+        return let(before, lambda before: F.transform(sizes, lambda _, i: F.get(before, F.floor(i / _BLOCK).cast("int")) + total(
+            F.slice(sizes, F.floor(i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK))))
+
+    return let(F.transform(sizes, lambda n: n.cast("long")), spread)

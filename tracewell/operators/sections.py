@@ -5,7 +5,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tracewell.functions.text import let
+from tracewell.functions.text import let, sums_before
 
 _SENTINEL = "\u0001"  # neither white space nor a letter: keeps `^` from matching at a cut
 
@@ -50,11 +50,12 @@ def match_array(text: Column, pattern: str) -> Column:
     pairs = F.zip_with(gaps, heads, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h")))
 
     def place(p: Column) -> Column:
-        def one(x: Column, i: Column) -> Column:
-            before = F.aggregate(F.slice(p, F.lit(1), i), F.lit(0), lambda a, y: a + y["g"] + y["h"])
-            start = before + x["g"]
-            return F.struct(start.alias("start"), (start + x["h"]).alias("stop"))
-        return F.transform(p, one)
+        def spans(before: Column) -> Column:
+            def one(x: Column, i: Column) -> Column:
+                start = (F.get(before, i) + x["g"]).cast("int")
+                return F.struct(start.alias("start"), (start + x["h"]).alias("stop"))
+            return F.transform(p, one)
+        return let(sums_before(F.transform(p, lambda x: x["g"] + x["h"])), spans)
 
     return let(pairs, place)
 
@@ -108,7 +109,8 @@ def _end_hits(content: Column, search_start: Column, spec: SectionSpec) -> Colum
 def section_bounds(pages: DataFrame, spec: SectionSpec = SectionSpec()) -> DataFrame:
     """One row per deal: the bounds, or the reason there are none.
 
-    Only minima per deal are aggregated; page text is joined once, to at most `max_pages` pages.
+    Only minima per deal are aggregated. Page text meets a start by ranges of `max_pages` pages, of which a
+    section touches two, so a deal of very many pages is not one key.
     """
     candidates = start_candidates(pages, spec)
     best = candidates.groupBy("deal_slug").agg(
@@ -117,7 +119,9 @@ def section_bounds(pages: DataFrame, spec: SectionSpec = SectionSpec()) -> DataF
         "deal_slug", (-F.col("b.loss")).alias("score"), F.col("b.page_pos").alias("start_pos"),
         F.col("b.number").alias("start_page"), F.col("b.start").alias("start_index"))
     good = best.filter(F.col("score") >= spec.min_score)
-    near = pages.join(good, "deal_slug").filter(
+    rank = lambda place: F.floor(place / F.lit(spec.max_pages))
+    reach = good.withColumn("_range", F.explode(F.array(rank(F.col("start_pos")), rank(F.col("start_pos")) + 1)))
+    near = pages.withColumn("_range", rank(F.col("page_pos"))).join(reach, ["deal_slug", "_range"]).filter(
         (F.col("page_pos") >= F.col("start_pos")) & (F.col("page_pos") < F.col("start_pos") + spec.max_pages))
     search = F.when(F.col("page_pos") == F.col("start_pos"), F.col("start_index") + 1).otherwise(0)
     near = near.select(

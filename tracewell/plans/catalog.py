@@ -116,6 +116,21 @@ def section_slice(spark, folder):
         "deal_slug", "score", "start_index", "end_index", "chars", F.coalesce("reason", "_short").alias("reason"))
 
 
+PAGED_SECTION = sections.SectionSpec(
+    start="of the", end="was the", cross_reference="and", narrative="with", deep_page=15, min_score=5, max_pages=35, min_chars=100)
+
+
+def section_pages(spark, folder):
+    """T5-T9 on deals of a hundred pages: sections over several pages, ends within the window and beyond it."""
+    pages = feeds.table(spark, folder, "documents").select(
+        F.concat(F.lit("set_"), F.expr("doc_id div 100")).alias("deal_slug"), (F.col("doc_id") % 100).cast("int").alias("page_pos"),
+        (F.col("doc_id") % 100 + 1).cast("int").alias("number"), F.col("text").alias("content"))
+    bounds = Staging().keep("bounds", sections.section_bounds(pages, PAGED_SECTION))
+    sizes = sections.slice_section(pages, bounds).groupBy("deal_slug").agg(F.sum(F.length("content")).alias("chars"), F.count(F.lit(1)).alias("n_pages"))
+    return bounds.join(sizes, "deal_slug", "left").select(
+        "deal_slug", "score", "start_page", "start_index", "end_page", "end_index", "chars", "n_pages", "reason")
+
+
 def url_parts(spark, folder):
     pages = feeds.table(spark, folder, "pages").select("page_id", "url")
     return documents.url_parts(pages, index_pattern=r"//([^/]+)/[a-z]+/([0-9\-]+)$", direct_pattern=r"//([^/]+)/([0-9]{3})").select("page_id", "cik", "accession", "index_url")
@@ -625,7 +640,7 @@ def stream_intake(spark, folder):
 
 QUERIES: dict[str, Query] = {
     "citation_units": citation_units_q, "unit_offsets": unit_offsets, "stable_ids": stable_ids, "row_fingerprints": row_fingerprints,
-    "fingerprint_digest": fingerprint_digest, "section_slice": section_slice, "url_parts": url_parts, "html_links": html_links, "pick_document": pick_document,
+    "fingerprint_digest": fingerprint_digest, "section_slice": section_slice, "section_pages": section_pages, "url_parts": url_parts, "html_links": html_links, "pick_document": pick_document,
     "bind_quotes": bind_quotes, "unbound_quotes": unbound_quotes, "ambiguous_quotes": ambiguous_quotes, "quote_candidates": quote_candidates,
     "stitched_quotes": stitched_quotes, "stitched_anywhere": stitched_anywhere, "bound_refs": bound_refs, "binding_flags": binding_flags, "claim_rows": claim_rows,
     "claim_evidence": _graph_query("claim_evidence", "deal_slug", "claim_id", "evidence_id", "ordinal"),

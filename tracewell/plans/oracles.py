@@ -351,6 +351,25 @@ TABLE_SQL: dict[str, str] = {
     "fingerprint_digest": "WITH " + ORDER_PRINT + """, h AS (SELECT deal_slug, sha256(fp) AS h, count(*) AS n FROM op GROUP BY 1, 2),
       b AS (SELECT deal_slug, left(h, 2) AS b, sha256(string_agg(h || '=' || n, chr(10) ORDER BY h || '=' || n)) AS d FROM h GROUP BY 1, 2)
       SELECT deal_slug, 'r1' AS run_id, left(sha256(string_agg(b || '=' || d, chr(10) ORDER BY b || '=' || d)), 12) AS row_fingerprints FROM b GROUP BY 1""",
+    "section_pages": """WITH pg AS (SELECT 'set_' || (doc_id // 100) AS deal, doc_id % 100 AS pos, coalesce(text, '') AS text FROM documents),
+      s0 AS (SELECT *, string_split_regex(text, '(?i)of the') AS parts FROM pg),
+      s1 AS (SELECT deal, pos, text, CAST(list_sum(list_transform(parts[1:j], lambda p: length(p))) + 6 * (j - 1) AS BIGINT) AS s FROM (SELECT *, unnest(range(1, len(parts))) AS j FROM s0)),
+      s2 AS (SELECT *, contains(right(bef, 24), '**') OR contains(left(aft, 24), '**') AS m FROM (SELECT *, substring(text, greatest(s - 120, 0) + 1, s - greatest(s - 120, 0)) AS bef, substring(text, s + 7, 700) AS aft,
+          substring(text, greatest(s - 180, 0) + 1, s + 226 - greatest(s - 180, 0)) AS ar FROM s1)),
+      s3 AS (SELECT deal, pos, s, CASE WHEN pos + 1 >= 15 THEN 6 ELSE 0 END + CASE WHEN m THEN 3 ELSE 0 END + CASE WHEN regexp_matches(aft, '(?i)with') THEN 3 ELSE 0 END
+          - CASE WHEN NOT m AND regexp_matches(right(bef, 100), '(?i)and') THEN 8 ELSE 0 END - CASE WHEN NOT m AND length(ar) - length(replace(ar, '|', '')) >= 4 THEN 8 ELSE 0 END AS score FROM s2),
+      b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY deal ORDER BY score DESC, pos, s) AS r FROM s3) WHERE r = 1),
+      e0 AS (SELECT pg.deal, pg.pos, text, CASE WHEN pg.pos = b.pos THEN s + 1 ELSE 0 END AS f0 FROM pg JOIN b ON b.deal = pg.deal AND pg.pos >= b.pos AND pg.pos < b.pos + 35 WHERE score >= 5),
+      e1 AS (SELECT *, unnest(range(1, len(parts))) AS j FROM (SELECT *, string_split_regex(substring(text, f0 + 1), '(?i)was the') AS parts FROM e0)),
+      e2 AS (SELECT deal, pos, text, f0, CAST(f0 + list_sum(list_transform(parts[1:j], lambda p: length(p))) + 7 * (j - 1) AS BIGINT) AS f FROM e1),
+      e3 AS (SELECT deal, pos, f FROM (SELECT *, substring(text, greatest(f0, f - 120) + 1, f - greatest(f0, f - 120)) AS bef, substring(text, greatest(f0, f - 200) + 1, f + 207 - greatest(f0, f - 200)) AS ar FROM e2)
+        WHERE NOT regexp_matches(bef, '(?i)and') AND length(ar) - length(replace(ar, '|', '')) < 4),
+      e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY deal ORDER BY pos, f) AS r FROM e3) WHERE r = 1),
+      z AS (SELECT b.deal, CAST(sum(CASE WHEN pg.pos = e.pos THEN e.f ELSE length(text) END - CASE WHEN pg.pos = b.pos THEN s ELSE 0 END) AS BIGINT) AS chars, count(*) AS n FROM b JOIN e USING (deal) JOIN pg ON pg.deal = b.deal AND pg.pos BETWEEN b.pos AND e.pos GROUP BY 1)
+      SELECT d.deal AS deal_slug, score, b.pos + 1 AS start_page, s AS start_index, e.pos + 1 AS end_page, f AS end_index, chars, n AS n_pages,
+        CASE WHEN score IS NULL THEN 'Background section heading not found in filing pages' WHEN score < 5 THEN 'Background section heading candidates were only table-of-contents/cross-reference hits'
+          WHEN f IS NULL THEN 'Background section end heading not found within 35 pages of start page ' || (b.pos + 1) END AS reason
+      FROM (SELECT DISTINCT deal FROM pg) d LEFT JOIN b USING (deal) LEFT JOIN e USING (deal) LEFT JOIN z USING (deal)""",
     "section_slice": """WITH d AS (SELECT doc_id, text, string_split_regex(text, '(?i)of the') AS parts FROM documents),
       s0 AS (SELECT doc_id, text, unnest(range(1, len(parts))) AS j, parts FROM d),
       s1 AS (SELECT doc_id, text, CAST(list_sum(list_transform(parts[1:j], lambda p: length(p))) + 6 * (j - 1) AS BIGINT) AS s FROM s0),
