@@ -567,6 +567,25 @@ def quote_grounding(spark, folder):
     return verification.grounded(quotes, pages, ["ref"]).select("ref", "page_number", "grounded")
 
 
+def grounding_failures(spark, folder):
+    """References, spans and review rows of the event feed, some of them broken, against its pages."""
+    e = feeds.event_feed(spark, folder)
+    pages = feeds.event_pages(e)
+    refs = e.selectExpr(
+        "deal_slug", "event_id as ref", "if(k % 10 = 7, concat('entry_', event_id), concat('page_', event_id, '_paragraph_1')) as citation_unit_id",
+        "if(k % 10 = 3, 'not there', phrase) as quote_text")
+    spans = e.selectExpr("deal_slug", "concat('ev_', event_id) as evidence_id", "cast(event_id + if(k % 11 = 5, 1, 0) as int) as source_page", "phrase as quote_text")
+    review = e.selectExpr(
+        "deal_slug", "concat('row_', event_id) as review_row_id", "if(k % 13 = 1, 'rejected_claim', 'clean') as review_status",
+        "CASE WHEN k % 13 = 1 AND k % 2 = 0 THEN '' ELSE concat(phrase, ' | The filing notes') END as bound_source_quote",
+        "CASE k % 6 WHEN 1 THEN concat(event_id, ' | ', event_id) WHEN 2 THEN concat(event_id, ' | ', event_id + 1) "
+        "WHEN 3 THEN concat(event_id, ' | ', event_id, ' | ', event_id) WHEN 4 THEN 'x' ELSE cast(event_id as string) END as bound_source_page")
+    progress = e.select("deal_slug", "user_id").distinct().selectExpr(
+        "deal_slug", "user_id", "CASE user_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'r0' ELSE 'r1' END as last_run_id")
+    outputs = progress.filter("user_id % 7 <> 0").selectExpr("deal_slug", "'r1' as run_id")
+    return verification.verification_failures(refs, spans, review, pages, progress, outputs)
+
+
 def verify_eligibility(spark, folder):
     outputs = _outputs(spark, folder).withColumn("hard_flags", F.expr("if(length(deal_slug) % 4 = 0, 2, 0)"))
     return progress_ops.verification_eligibility(feeds.progress_feed(spark, folder), outputs)
@@ -662,6 +681,6 @@ QUERIES: dict[str, Query] = {
     "hard_flag_ids": hard_flag_ids, "run_metrics": run_metrics, "latest_runs": latest_runs, "latest_pointer": latest_pointer, "stability_class": stability_class,
     "stability_overall": stability_overall, "release_gate": release_gate, "call_summary": call_summary, "pool_summary": pool_summary, "skip_plan": skip_plan,
     "deal_selection": deal_selection, "progress_upsert": progress_upsert, "history_cap": history_cap, "failure_status": failure_status,
-    "reconcile_issues": reconcile_issues, "flag_multiset_diff": flag_multiset_diff, "quote_grounding": quote_grounding, "verify_eligibility": verify_eligibility,
+    "reconcile_issues": reconcile_issues, "flag_multiset_diff": flag_multiset_diff, "quote_grounding": quote_grounding, "grounding_failures": grounding_failures, "verify_eligibility": verify_eligibility,
     "idle_gaps": idle_gaps_q, "stream_sessions": stream_sessions, "flag_log_lines": flag_log_lines, "stored_progress": stored_progress, "stream_intake": stream_intake,
 }

@@ -564,6 +564,18 @@ SELECT deal_slug, row_count, review_item_count, 'no_hard_flags' AS graph_status,
 FROM tot LEFT JOIN tc USING (deal_slug) LEFT JOIN event_subtype_counts USING (deal_slug) LEFT JOIN claim_type_counts USING (deal_slug) LEFT JOIN relation_type_counts USING (deal_slug) LEFT JOIN date_diagnostics USING (deal_slug)
 LEFT JOIN bid_value_representation USING (deal_slug) LEFT JOIN quote_diagnostics USING (deal_slug) LEFT JOIN flag_counts USING (deal_slug)"""
 GRAPH_SQL["run_metrics"] = _METRICS
+TABLE_SQL["grounding_failures"] = "WITH " + E + """, pg AS (SELECT user_id, event_id AS page, 'Entry ' || event_id || ': ' || phrase || '.' || chr(10) || chr(10) || 'The filing notes ' || event_type || ' activity of ' || label || '.' AS body FROM e),
+      probe AS (
+        SELECT user_id, CASE WHEN k % 10 <> 7 THEN event_id END AS page, CASE WHEN k % 10 = 3 THEN 'not there' ELSE phrase END AS quote,
+          'evidence_ref[' || event_id || CASE WHEN k % 10 = 7 THEN '] has invalid citation_unit_id' ELSE '] quote_text is not an exact substring of Filing page ' || event_id END AS message FROM e
+        UNION ALL SELECT user_id, event_id + CASE WHEN k % 11 = 5 THEN 1 ELSE 0 END, phrase,
+          'graph evidence ev_' || event_id || ' quote_text is not an exact substring of Filing page ' || (event_id + CASE WHEN k % 11 = 5 THEN 1 ELSE 0 END) FROM e
+        UNION ALL SELECT user_id, CASE WHEN k % 6 NOT IN (3, 4) THEN event_id END, phrase, 'review row row_' || event_id || ' bound_source_quote is not an exact substring of its Filing page' FROM e WHERE NOT (k % 13 = 1 AND k % 2 = 0)
+        UNION ALL SELECT user_id, CASE WHEN k % 6 = 2 THEN event_id + 1 WHEN k % 6 NOT IN (3, 4) THEN event_id END, 'The filing notes', 'review row row_' || event_id || ' bound_source_quote is not an exact substring of its Filing page' FROM e WHERE NOT (k % 13 = 1 AND k % 2 = 0)),
+      u AS (SELECT DISTINCT user_id, CASE user_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'r0' ELSE 'r1' END AS last FROM e)
+      SELECT DISTINCT 'deal_' || probe.user_id AS deal_slug, message FROM probe LEFT JOIN pg ON pg.user_id = probe.user_id AND pg.page = probe.page WHERE NOT coalesce(contains(body, quote), false)
+      UNION ALL SELECT 'deal_' || user_id, CASE WHEN last IS NULL THEN 'progress last_run_id is missing' ELSE 'extraction run_id ' || CASE WHEN user_id % 7 = 0 THEN 'None' ELSE 'r1' END || ' does not match progress last_run_id ' || last END
+      FROM u WHERE last IS NULL OR last <> 'r1' OR user_id % 7 = 0"""
 TABLE_SQL["stored_progress"] = TABLE_SQL["progress_upsert"]
 GRAPH_SQL["stream_intake"] = chain("BOUND", """SELECT deal_slug, run_id, CASE WHEN refused > 0 THEN 'refused' ELSE kind END AS claim_type,
       CAST(CASE WHEN refused > 0 THEN any_value(refused) ELSE count(*) END AS BIGINT) AS n, CASE WHEN refused = 0 THEN count(*) FILTER (NOT rejected) END AS n_supported,
