@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.operators.analyst import number_profile, order_statistics
-from tracewell.sources.state import numbered_lines, read_flag_log
+from tracewell.sources.state import inventory, list_files, numbered_lines, read_flag_log
 from tracewell.sources.tables import KeyedTable
 from tracewell.streaming.idle import run_to_end
 
@@ -35,6 +35,17 @@ def test_lines_are_numbered_over_many_splits(spark, tmp_path):
     assert numbers == sorted((f, i + 1) for f, xs in files.items() for i, x in enumerate(xs) if x.strip() and x.replace(" ", "") != "{}")
 
 
+def test_an_archive_is_listed_without_its_contents(spark, tmp_path):
+    for path in ("acme/latest.json", "acme/runs/r1/manifest.json", "acme/runs/r1/raw.json", "acme/notes.txt", "b/runs/r2/x"):
+        (tmp_path / "archive" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "archive" / path).write_text("12345")
+    files = list_files(spark, f"{tmp_path}/archive")
+    assert {r.length for r in files.collect()} == {5}
+    artifacts, entries = inventory(files)
+    assert sorted(map(tuple, artifacts.collect())) == [("acme", "r1", "manifest.json"), ("acme", "r1", "raw.json"), ("b", "r2", "x")]
+    assert sorted(map(tuple, entries.collect())) == [("acme", "latest.json"), ("acme", "notes.txt"), ("acme", "runs"), ("b", "runs")]
+
+
 def test_sessions_come_whole_and_once(spark, tmp_path):
     rng = random.Random(2)
     start = datetime.datetime(2024, 1, 1)

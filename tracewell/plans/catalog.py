@@ -559,6 +559,44 @@ def flag_multiset_diff(spark, folder):
     return rec.flag_differences(left, right, ["deal_slug", "flag"])
 
 
+def _archive(spark, folder):
+    """customers as archived deals: the files of their latest run, its manifest and raw response, its logged flags; some broken."""
+    state_rows = feeds.progress_feed(spark, folder)
+    paths = state_rows.select(F.explode(F.expr("""array_compact(array(concat(deal_slug, '/latest.json'),
+        if(c_custkey % 9 <> 0, concat(deal_slug, '/runs/run_', c_custkey, '/deal_graph_v2.json'), NULL),
+        if(c_custkey % 10 <> 1, concat(deal_slug, '/runs/run_', c_custkey, '/deal_graph.duckdb'), NULL),
+        if(c_custkey % 12 = 0, concat(deal_slug, '/notes.txt'), NULL),
+        if(c_custkey % 25 = 0, concat(deal_slug, '/old/run_1/deal_graph.duckdb'), NULL)))""")).alias("path"))
+    artifacts, entries = state.inventory(paths)
+    manifests = state_rows.filter("c_custkey % 9 <> 0").selectExpr("deal_slug", """concat('{"rulebook_version":"', if(c_custkey % 9 = 1, 'old', rulebook_version), '"',
+        if(c_custkey % 9 = 2, '', ',"extractor_contract_version":"c1"'), if(c_custkey % 9 = 3, ',"tool_calls_count":1', ''), if(c_custkey % 9 = 4, ',"models":{"adjudicate":"m"}', ''), '}') as manifest""")
+    families = ",".join(f'"{f}":[]' for f in claim_ops.FAMILIES)
+    raws = state_rows.filter("c_custkey % 7 <> 0").selectExpr("deal_slug", f"""concat('{{"rulebook_version":"', rulebook_version, '","extractor_contract_version":"', if(c_custkey % 7 = 2, 'c0', 'c1'),
+        '","parsed_json":', if(c_custkey % 7 = 1, '{{}}', '{{{families}}}'), '}}') as raw""")
+    flags = state_rows.selectExpr("deal_slug", "last_run_id as run_id", "c_custkey", "last_run", "explode(sequence(0, cast(c_custkey % 4 as int))) as i").selectExpr(
+        "deal_slug", "run_id", "c_custkey", "last_run", "if(i < 2, 'hard', 'soft') as severity", "'code' as code", "i")
+    log = flags.filter("NOT (c_custkey % 11 = 4 AND i = 1)").selectExpr("deal_slug", "run_id", "coalesce(last_run, 'never') as logged_at", "severity", "code")
+    return {
+        "archive": rec.artifact_issues(state_rows, artifacts, entries), "contract": rec.contract_issues(state_rows, manifests, raws),
+        "log": rec.flag_log_issues(flags.select("deal_slug", "run_id", "severity", "code"), log, state_rows)}
+
+
+def archive_issues(spark, folder):
+    return _archive(spark, folder)["archive"]
+
+
+def contract_issues(spark, folder):
+    return _archive(spark, folder)["contract"]
+
+
+def flag_log_issues(spark, folder):
+    return _archive(spark, folder)["log"]
+
+
+def reconcile_summary(spark, folder):
+    return rec.summary(rec.reconcile(list(_archive(spark, folder).values())), feeds.progress_feed(spark, folder))
+
+
 def quote_grounding(spark, folder):
     """Every document's first line looked up in the document it names and in the next one."""
     pages = feeds.document_pages(spark, folder).select(F.lit("all").alias("deal_slug"), F.col("doc_id").cast("int").alias("number"), "content")
@@ -681,6 +719,7 @@ QUERIES: dict[str, Query] = {
     "hard_flag_ids": hard_flag_ids, "run_metrics": run_metrics, "latest_runs": latest_runs, "latest_pointer": latest_pointer, "stability_class": stability_class,
     "stability_overall": stability_overall, "release_gate": release_gate, "call_summary": call_summary, "pool_summary": pool_summary, "skip_plan": skip_plan,
     "deal_selection": deal_selection, "progress_upsert": progress_upsert, "history_cap": history_cap, "failure_status": failure_status,
-    "reconcile_issues": reconcile_issues, "flag_multiset_diff": flag_multiset_diff, "quote_grounding": quote_grounding, "grounding_failures": grounding_failures, "verify_eligibility": verify_eligibility,
+    "reconcile_issues": reconcile_issues, "flag_multiset_diff": flag_multiset_diff, "archive_issues": archive_issues, "contract_issues": contract_issues, "flag_log_issues": flag_log_issues, "reconcile_summary": reconcile_summary,
+    "quote_grounding": quote_grounding, "grounding_failures": grounding_failures, "verify_eligibility": verify_eligibility,
     "idle_gaps": idle_gaps_q, "stream_sessions": stream_sessions, "flag_log_lines": flag_log_lines, "stored_progress": stored_progress, "stream_intake": stream_intake,
 }

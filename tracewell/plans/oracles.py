@@ -576,6 +576,26 @@ TABLE_SQL["grounding_failures"] = "WITH " + E + """, pg AS (SELECT user_id, even
       SELECT DISTINCT 'deal_' || probe.user_id AS deal_slug, message FROM probe LEFT JOIN pg ON pg.user_id = probe.user_id AND pg.page = probe.page WHERE NOT coalesce(contains(body, quote), false)
       UNION ALL SELECT 'deal_' || user_id, CASE WHEN last IS NULL THEN 'progress last_run_id is missing' ELSE 'extraction run_id ' || CASE WHEN user_id % 7 = 0 THEN 'None' ELSE 'r1' END || ' does not match progress last_run_id ' || last END
       FROM u WHERE last IS NULL OR last <> 'r1' OR user_id % 7 = 0"""
+_ARCHIVE = "WITH " + STATE + f""", tr AS (SELECT * FROM st WHERE status IN {TRUSTED}),
+      archive AS (
+        SELECT deal_slug, 'error' AS severity, 'graph_snapshot_missing' AS code, 'trusted run must contain deal_graph_v2.json' AS message FROM tr WHERE c % 9 = 0
+        UNION ALL SELECT deal_slug, 'error', 'graph_database_missing', 'trusted run must contain deal_graph.duckdb' FROM tr WHERE c % 10 = 1
+        UNION ALL SELECT deal_slug, 'error', 'unexpected_audit_root_entry', 'archive root may contain only latest.json and runs/: notes.txt' FROM st WHERE c % 12 = 0
+        UNION ALL SELECT deal_slug, 'error', 'unexpected_audit_root_entry', 'archive root may contain only latest.json and runs/: old' FROM st WHERE c % 25 = 0),
+      contract AS (
+        SELECT deal_slug, 'error' AS severity, 'rulebook_version_mismatch' AS code, 'manifest rulebook_version must match progress' AS message FROM st WHERE c % 9 = 1
+        UNION ALL SELECT deal_slug, 'error', 'audit_manifest_contract_missing', 'manifest missing required extractor_contract_version' FROM st WHERE c % 9 = 2
+        UNION ALL SELECT deal_slug, 'error', 'audit_manifest_retired_field', 'manifest must not contain retired tool_calls_count' FROM st WHERE c % 9 = 3
+        UNION ALL SELECT deal_slug, 'error', 'audit_manifest_retired_field', 'manifest models must not contain retired adjudicate entry' FROM st WHERE c % 9 = 4
+        UNION ALL SELECT deal_slug, 'error', 'raw_response_shape', 'raw response must use the live claim-only payload' FROM st WHERE c % 7 = 1
+        UNION ALL SELECT deal_slug, 'error', 'extractor_contract_version_mismatch', 'raw response extractor_contract_version must match manifest' FROM st WHERE c % 7 <> 0 AND c % 9 <> 0 AND (c % 7 = 2 OR c % 9 = 2)),
+      log AS (SELECT deal_slug, 'error' AS severity, 'flags_jsonl_mismatch' AS code, 'flag log entries of the latest run must match output flags' AS message FROM st
+        WHERE CASE WHEN status IN {TRUSTED} THEN c % 6 = 0 OR (c % 11 = 4 AND c % 4 >= 1) ELSE c % 6 <> 0 END)"""
+TABLE_SQL["archive_issues"] = _ARCHIVE + " SELECT * FROM archive"
+TABLE_SQL["contract_issues"] = _ARCHIVE + " SELECT * FROM contract"
+TABLE_SQL["flag_log_issues"] = _ARCHIVE + " SELECT * FROM log"
+TABLE_SQL["reconcile_summary"] = _ARCHIVE + """ SELECT false AS ok, count(*) AS error_count, CAST(0 AS BIGINT) AS warning_count, (SELECT count(*) FROM st) AS checked_slugs
+      FROM (SELECT * FROM archive UNION ALL SELECT * FROM contract UNION ALL SELECT * FROM log)"""
 TABLE_SQL["stored_progress"] = TABLE_SQL["progress_upsert"]
 GRAPH_SQL["stream_intake"] = chain("BOUND", """SELECT deal_slug, run_id, CASE WHEN refused > 0 THEN 'refused' ELSE kind END AS claim_type,
       CAST(CASE WHEN refused > 0 THEN any_value(refused) ELSE count(*) END AS BIGINT) AS n, CASE WHEN refused = 0 THEN count(*) FILTER (NOT rejected) END AS n_supported,

@@ -98,3 +98,22 @@ def read_json_objects(spark: SparkSession, expected: DataFrame, pattern: str) ->
         F.when(F.col("value").isNull(), "missing").when(variant.isNull(), "bad_json")
         .when(~F.schema_of_variant(variant).startswith("OBJECT"), "top-level JSON value is not an object"))
     return joined.select(*expected.columns, F.when(reason.isNull(), F.col("value")).alias("body"), reason.alias("reason"))
+
+
+def inventory(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """File paths of an archive, files(path), as (artifacts, root entries).
+
+    artifacts(deal_slug, run_id, name) are the files `{deal}/runs/{run}/{name}`; root entries (deal_slug, name)
+    are what stands directly in a deal's folder, each once. Paths are relative to the archive.
+    """
+    parts = files.select(F.split(F.regexp_replace("path", "^/+", ""), "/").alias("p"))
+    at = lambda i: F.get("p", F.lit(i))
+    artifacts = parts.filter((F.size("p") == 4) & (at(1) == "runs")).select(at(0).alias("deal_slug"), at(2).alias("run_id"), at(3).alias("name"))
+    return artifacts, parts.filter(F.size("p") >= 2).select(at(0).alias("deal_slug"), at(1).alias("name")).distinct()
+
+
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length) of all files below a folder, paths relative to it; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+    start = F.lit(f"/{folder.rstrip('/').split('/')[-1]}/")
+    return files.select(F.element_at(F.split("path", start, 2), -1).alias("path"), "length")
