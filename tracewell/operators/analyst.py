@@ -19,7 +19,7 @@ def register_views(graph: dict[str, DataFrame]) -> None:
 ACTORS_SQL = "SELECT deal_slug, run_id, actor_label, actor_kind, bidder_class FROM actors"
 EVENTS_SQL = (
     "SELECT e.deal_slug, e.run_id, e.event_subtype, e.event_date, l.actor_label FROM events e "
-    "LEFT JOIN event_actor_links l USING (deal_slug, run_id, event_id)")
+    "LEFT JOIN event_actor_links l USING (deal_slug, run_id, event_id) ORDER BY e.event_date NULLS LAST")
 COUNTS_SQL = "SELECT deal_slug, run_id, process_stage, actor_class, count_min, count_max, count_qualifier FROM participation_counts"
 UNSUPPORTED_SQL = (
     "SELECT c.deal_slug, c.run_id, c.claim_id, c.claim_type, d.disposition, d.reason FROM claims c "
@@ -82,8 +82,8 @@ def number_profile(rows: DataFrame, column: str) -> DataFrame:
 
 
 def distinct_values(rows: DataFrame, column: str) -> DataFrame:
-    """A18."""
-    return rows.select(column).distinct()
+    """The values of a filter list, in order."""
+    return rows.select(column).distinct().orderBy(column)
 
 
 def ledger_composition(ledger: DataFrame) -> DataFrame:

@@ -386,6 +386,40 @@ def analyst_sql(spark, folder):
     return spark.sql(analyst.EVENTS_SQL).select("deal_slug", "event_subtype", "event_date", "actor_label")
 
 
+def analyst_actors(spark, folder):
+    analyst.register_views({"actors": event_graph(spark, folder)["actors"]})
+    return spark.sql(analyst.ACTORS_SQL).drop("run_id")
+
+
+def analyst_counts(spark, folder):
+    analyst.register_views({"participation_counts": event_graph(spark, folder)["participation_counts"]})
+    return spark.sql(analyst.COUNTS_SQL).drop("run_id")
+
+
+def distinct_codes(spark, folder):
+    return analyst.distinct_values(_ledger(spark, folder), "event_code")
+
+
+def sorted_browse(spark, folder):
+    """The first fifty rows of the customers under each order of the ledger browser; places show the order."""
+    rows = feeds.table(spark, folder, "customer").selectExpr(
+        "c_custkey", "concat('seg_', c_mktsegment) as deal_slug", "if(c_custkey % 3 = 0, '', cast(c_custkey * 7 % 100003 as string)) as code",
+        "if(c_custkey % 5 = 0, 'n/a', cast(c_custkey as string)) as event_order", "if(c_custkey % 2 = 0, lower(c_name), c_name) as name")
+    numbers = rows.filter("code <> '' OR c_custkey = 3")
+    orders = {
+        "number up": analyst.sort_browse(numbers, "code", True), "number down": analyst.sort_browse(numbers, "code", True, True),
+        "text up": analyst.sort_browse(rows, "name", False), "text down": analyst.sort_browse(rows, "name", False, True),
+        "embed": analyst.embed_order(rows.filter("event_order <> 'n/a' OR c_custkey = 5"))}
+    parts = [df.limit(50).withColumn("at", F.monotonically_increasing_id()).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "c_custkey"))), lambda x: x["c_custkey"]).alias("keys"))
+             .select(F.lit(name).alias("sorted_by"), F.array_join("keys", ",").alias("keys")) for name, df in orders.items()]
+    return rec.reconcile(parts)
+
+
+def validation_summary(spark, folder):
+    """The validation record of every run of the event feed."""
+    return run_ops.validation_summary(burden_status(spark, folder), _event_flags(spark, folder))
+
+
 def analyst_unsupported(spark, folder):
     graph = event_graph(spark, folder)
     analyst.register_views({k: graph[k] for k in ("claims", "claim_dispositions")})
@@ -714,7 +748,8 @@ QUERIES: dict[str, Query] = {
     "row_evidence": _graph_query("row_evidence", "deal_slug", "row_table", "row_id", "evidence_id", "ordinal"),
     "integrity_flags": integrity, "row_claim": row_claim, "review_rows": review_rows, "rejected_rows": rejected_rows, "issue_columns": issue_columns,
     "ledger_rows": ledger_rows, "ledger_order": ledger_order, "ledger_export": ledger_export, "date_precision": date_precision, "initiator": initiator,
-    "dropout_reason": dropout_reason, "labels": labels, "analyst_sql": analyst_sql, "analyst_unsupported": analyst_unsupported, "column_profile": column_profile,
+    "dropout_reason": dropout_reason, "labels": labels, "analyst_sql": analyst_sql, "analyst_unsupported": analyst_unsupported, "analyst_actors": analyst_actors, "analyst_counts": analyst_counts,
+    "distinct_codes": distinct_codes, "sorted_browse": sorted_browse, "validation_summary": validation_summary, "column_profile": column_profile,
     "number_profile": number_profile, "browse_filter": browse_filter, "burden_status": burden_status, "flag_counts": flag_counts, "flag_matrix": flag_matrix,
     "hard_flag_ids": hard_flag_ids, "run_metrics": run_metrics, "latest_runs": latest_runs, "latest_pointer": latest_pointer, "stability_class": stability_class,
     "stability_overall": stability_overall, "release_gate": release_gate, "call_summary": call_summary, "pool_summary": pool_summary, "skip_plan": skip_plan,

@@ -596,6 +596,17 @@ TABLE_SQL["contract_issues"] = _ARCHIVE + " SELECT * FROM contract"
 TABLE_SQL["flag_log_issues"] = _ARCHIVE + " SELECT * FROM log"
 TABLE_SQL["reconcile_summary"] = _ARCHIVE + """ SELECT false AS ok, count(*) AS error_count, CAST(0 AS BIGINT) AS warning_count, (SELECT count(*) FROM st) AS checked_slugs
       FROM (SELECT * FROM archive UNION ALL SELECT * FROM contract UNION ALL SELECT * FROM log)"""
+GRAPH_SQL["analyst_actors"] = chain("ACTORS", "SELECT deal_slug, actor_label, actor_kind, bidder_class FROM actors")
+GRAPH_SQL["analyst_counts"] = chain("ROWS", "SELECT deal_slug, pstage AS process_stage, actor_class, cmin AS count_min, cmax AS count_max, cq AS count_qualifier FROM cnt")
+GRAPH_SQL["distinct_codes"] = chain("LEDGER", "SELECT DISTINCT event_code FROM ledger")
+TABLE_SQL["sorted_browse"] = """WITH r AS (SELECT c_custkey AS c, 'seg_' || c_mktsegment AS deal, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey * 7 % 100003 END AS code, lower(c_name) AS name FROM customer),
+      a AS (SELECT 'number up' AS sorted_by, c, row_number() OVER (ORDER BY code NULLS FIRST) AS i FROM r WHERE code IS NOT NULL OR c = 3
+        UNION ALL SELECT 'number down', c, row_number() OVER (ORDER BY code DESC NULLS LAST) FROM r WHERE code IS NOT NULL OR c = 3
+        UNION ALL SELECT 'text up', c, row_number() OVER (ORDER BY name) FROM r UNION ALL SELECT 'text down', c, row_number() OVER (ORDER BY name DESC) FROM r
+        UNION ALL SELECT 'embed', c, row_number() OVER (ORDER BY deal, CASE WHEN c = 5 THEN NULL ELSE c END NULLS LAST) FROM r WHERE c % 5 <> 0 OR c = 5)
+      SELECT sorted_by, string_agg(CAST(c AS VARCHAR), ',' ORDER BY i) AS keys FROM a WHERE i <= 50 GROUP BY 1"""
+TABLE_SQL["validation_summary"] = "WITH b AS (" + TABLE_SQL["burden_status"] + "), " + FLAG_ROWS + """ SELECT 'validation_v1' AS schema_version, b.deal_slug, b.run_id, status AS final_status, flag_count,
+      count(*) FILTER (severity = 'hard') AS hard_count, count(*) FILTER (severity = 'soft') AS soft_count, count(*) FILTER (severity = 'info') AS info_count FROM b LEFT JOIN fl USING (deal_slug) GROUP BY ALL"""
 TABLE_SQL["stored_progress"] = TABLE_SQL["progress_upsert"]
 GRAPH_SQL["stream_intake"] = chain("BOUND", """SELECT deal_slug, run_id, CASE WHEN refused > 0 THEN 'refused' ELSE kind END AS claim_type,
       CAST(CASE WHEN refused > 0 THEN any_value(refused) ELSE count(*) END AS BIGINT) AS n, CASE WHEN refused = 0 THEN count(*) FILTER (NOT rejected) END AS n_supported,
