@@ -239,6 +239,17 @@ def report_rows(metrics: DataFrame, results: DataFrame) -> DataFrame:
 
 
 # ---- release gate --------------------------------------------------------------------
+NAMED = 10  # part of the feature: a blocker names the first ten missing references and counts the rest
+
+
+def missing_references(references: DataFrame) -> DataFrame:
+    """The expected references without verified metadata, one row each."""
+    ok = (
+        F.coalesce("is_reference", F.lit(False)) & F.coalesce("verified", F.lit(False))
+        & F.col("verification_report").isNotNull() & F.col("last_verified_run_id").isNotNull())
+    return references.filter(~ok).select("deal_slug").distinct()
+
+
 def release_gate(references: DataFrame, proof: DataFrame, header: DataFrame, release: bool, run_dirs: DataFrame | None = None) -> DataFrame:
     """May target deals run? One row: open, and the reasons if not.
 
@@ -246,10 +257,10 @@ def release_gate(references: DataFrame, proof: DataFrame, header: DataFrame, rel
     expected reference. proof: `proof_rows`; header: `proof_header`. run_dirs(path) lists existing
     run folders; leave out to skip that check.
     """
-    ok = (
-        F.coalesce("is_reference", F.lit(False)) & F.coalesce("verified", F.lit(False))
-        & F.col("verification_report").isNotNull() & F.col("last_verified_run_id").isNotNull())
-    refs = references.agg(F.struct(F.count(F.lit(1)).alias("references"), F.count_if(ok).alias("verified")).alias("r")).scalar()
+    missing = missing_references(references)
+    named = missing.orderBy("deal_slug").limit(NAMED).agg(F.array_join(F.array_sort(F.collect_list("deal_slug")), ", ").alias("names")).scalar()
+    lacking = missing.agg(F.count(F.lit(1))).scalar()
+    total = references.agg(F.count_distinct("deal_slug")).scalar()
     p = proof.select("*", F.lit(True).alias("_p")).withColumnRenamed("slug", "deal_slug")
     checked = references.select("deal_slug").join(p, "deal_slug", "full")
     # full join: a proof row without a reference is as wrong as a reference without a proof row
@@ -275,7 +286,8 @@ def release_gate(references: DataFrame, proof: DataFrame, header: DataFrame, rel
         lost = proof.select(F.col("slug").alias("deal_slug"), F.explode("selected_run_dirs").alias("path")).join(run_dirs, "path", "left_anti")
         bad = bad.unionByName(lost.select("deal_slug", F.concat(F.lit("selected run directory is missing: "), F.col("path")).alias("reason")))
     first_bad = bad.agg(F.min(F.struct("deal_slug", "reason"))["reason"].alias("proof_reason")).scalar()
-    row = header.select("*", refs.alias("_r"), first_bad.alias("proof_reason")).select("*", "_r.*").drop("_r")
+    row = header.select(
+        "*", total.alias("references"), (total - lacking).alias("verified"), named.alias("names"), first_bad.alias("proof_reason"))
     head_reason = (
         F.when(~F.col("schema_version").eqNullSafe(PROOF_SCHEMA_VERSION), f"stability proof schema_version is not {PROOF_SCHEMA_VERSION}")
         .when(~F.col("classification").eqNullSafe(STABLE), F.concat(F.lit("stability proof classification="), told("classification")))
@@ -284,7 +296,9 @@ def release_gate(references: DataFrame, proof: DataFrame, header: DataFrame, rel
     proof_reason = F.coalesce(head_reason, F.col("proof_reason"))
     unverified = F.col("references") - F.col("verified")
     blockers = F.array_compact(F.array(
-        F.when(unverified > 0, F.concat(unverified.cast("string"), F.lit(" reference deals lack verified=true metadata"))), proof_reason,
+        F.when(unverified > 0, F.concat(
+            F.lit("all "), F.col("references"), F.lit(" reference deals must have verified=true reference metadata; missing "), F.col("names"),
+            F.when(unverified > NAMED, F.concat(F.lit(", ... (+"), unverified - NAMED, F.lit(" more)"))).otherwise(""))), proof_reason,
         F.when(F.lit(not release), "operator must pass --release-targets")))
     return row.select(
         "references", "verified", F.coalesce(proof_reason, F.lit("stability proof accepted")).alias("proof_reason"),

@@ -505,6 +505,27 @@ def release_gate(spark, folder):
     return stability.release_gate(refs, stability.proof_rows(own), stability.proof_header(own, 3), release=False)
 
 
+def gate_references(spark, folder):
+    return stability.missing_references(feeds.progress_feed(spark, folder).filter("is_reference"))
+
+
+def stability_reasons(spark, folder):
+    return stability.overall_reasons(_stability(spark, folder))
+
+
+def proof_record(spark, folder):
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return stability.proof_rows(_stability(spark, folder)).select(
+        "slug", "classification", "status", "eligible_archived_runs", "required_archived_runs", F.array_join("reasons", " / ").alias("reasons"),
+        joined("selected_runs"), joined("selected_run_dirs"))
+
+
+def stability_report(spark, folder):
+    metrics = _run_metrics(spark, folder)
+    return stability.report_rows(metrics, stability.analyze(metrics.select("deal_slug").distinct(), metrics, 3)).select(
+        "deal_slug", "run_id", "classification", "outcome", "row_count", "review_item_count", "anonymous_placeholder_count")
+
+
 def stability_overall(spark, folder):
     return stability.overall(_stability(spark, folder))
 
@@ -752,7 +773,8 @@ QUERIES: dict[str, Query] = {
     "distinct_codes": distinct_codes, "sorted_browse": sorted_browse, "validation_summary": validation_summary, "column_profile": column_profile,
     "number_profile": number_profile, "browse_filter": browse_filter, "burden_status": burden_status, "flag_counts": flag_counts, "flag_matrix": flag_matrix,
     "hard_flag_ids": hard_flag_ids, "run_metrics": run_metrics, "latest_runs": latest_runs, "latest_pointer": latest_pointer, "stability_class": stability_class,
-    "stability_overall": stability_overall, "release_gate": release_gate, "call_summary": call_summary, "pool_summary": pool_summary, "skip_plan": skip_plan,
+    "stability_overall": stability_overall, "release_gate": release_gate, "gate_references": gate_references,
+    "stability_reasons": stability_reasons, "proof_record": proof_record, "stability_report": stability_report, "call_summary": call_summary, "pool_summary": pool_summary, "skip_plan": skip_plan,
     "deal_selection": deal_selection, "progress_upsert": progress_upsert, "history_cap": history_cap, "failure_status": failure_status,
     "reconcile_issues": reconcile_issues, "flag_multiset_diff": flag_multiset_diff, "archive_issues": archive_issues, "contract_issues": contract_issues, "flag_log_issues": flag_log_issues, "reconcile_summary": reconcile_summary,
     "quote_grounding": quote_grounding, "grounding_failures": grounding_failures, "verify_eligibility": verify_eligibility,

@@ -477,7 +477,7 @@ TABLE_SQL: dict[str, str] = {
       w AS (SELECT CASE WHEN bool_or(classification LIKE 'INSUFF%') THEN 'INSUFFICIENT_ARCHIVED_RUNS' WHEN bool_or(classification LIKE 'UNSTABLE%') THEN 'UNSTABLE_RULE_OR_VALIDATOR_FIX_NEEDED' ELSE 'STABLE_FOR_REFERENCE_REVIEW' END AS c FROM res WHERE c % 5 = 0),
       b AS (SELECT 'stability proof slug ' || deal_slug || ' classification=' || classification AS m FROM res WHERE c % 5 = 0 AND classification NOT LIKE 'STABLE%' ORDER BY deal_slug LIMIT 1),
       g AS (SELECT n, v, CASE WHEN w.c NOT LIKE 'STABLE%' THEN 'stability proof classification=' || w.c ELSE (SELECT m FROM b) END AS p FROM r, w)
-      SELECT n AS references, v AS verified, coalesce(p, 'stability proof accepted') AS proof_reason, false AS is_open, concat_ws('; ', CASE WHEN n > v THEN (n - v) || ' reference deals lack verified=true metadata' END, p, 'operator must pass --release-targets') AS blockers FROM g""",
+      SELECT n AS references, v AS verified, coalesce(p, 'stability proof accepted') AS proof_reason, false AS is_open, concat_ws('; ', CASE WHEN n > v THEN 'all ' || n || ' reference deals must have verified=true reference metadata; missing ' || (SELECT string_agg(d, ', ' ORDER BY d) FROM (SELECT 'deal_' || c_custkey AS d FROM customer WHERE c_custkey % 5 = 0 AND NOT (c_custkey % 11 = 0 AND c_custkey % 10 = 0) ORDER BY d LIMIT 10)) || CASE WHEN n - v > 10 THEN ', ... (+' || (n - v - 10) || ' more)' ELSE '' END END, p, 'operator must pass --release-targets') AS blockers FROM g""",
     "call_summary": "WITH " + EV + """ SELECT deal_slug, 'r1' AS run_id, CAST(coalesce(sum(CASE WHEN k % 10 <> 0 THEN k % 4 END), 0) AS BIGINT) AS total_attempts, CAST(sum(k % 3) AS BIGINT) AS watchdog_warnings, arg_min('hash_' || k, event_id) FILTER (WHERE event_type = 'view' AND k % 9 <> 0) AS prompt_hash,
       CAST(sum(k * 10) AS BIGINT) AS total_input_tokens, CAST(sum(k) AS BIGINT) AS total_output_tokens, 0 AS total_reasoning_tokens FROM ek GROUP BY 1""",
     "pool_summary": "WITH " + STATE + f""" SELECT c % 10 AS pool, count(*) AS selected, count(*) FILTER (WHERE status IN {TRUSTED}) AS succeeded, count(*) FILTER (WHERE status IS NULL) AS skipped, count(*) FILTER (WHERE status IN ('failed_system', 'stale_after_failure')) AS failed,
@@ -607,6 +607,14 @@ TABLE_SQL["sorted_browse"] = """WITH r AS (SELECT c_custkey AS c, 'seg_' || c_mk
       SELECT sorted_by, string_agg(CAST(c AS VARCHAR), ',' ORDER BY i) AS keys FROM a WHERE i <= 50 GROUP BY 1"""
 TABLE_SQL["validation_summary"] = "WITH b AS (" + TABLE_SQL["burden_status"] + "), " + FLAG_ROWS + """ SELECT 'validation_v1' AS schema_version, b.deal_slug, b.run_id, status AS final_status, flag_count,
       count(*) FILTER (severity = 'hard') AS hard_count, count(*) FILTER (severity = 'soft') AS soft_count, count(*) FILTER (severity = 'info') AS info_count FROM b LEFT JOIN fl USING (deal_slug) GROUP BY ALL"""
+_RESULTS = "WITH " + STABLE_RUNS + ", cls AS (" + TABLE_SQL["stability_class"].split(STABLE_RUNS)[1].strip() + ")"
+TABLE_SQL["gate_references"] = "SELECT 'deal_' || c_custkey AS deal_slug FROM customer WHERE c_custkey % 5 = 0 AND NOT (c_custkey % 11 = 0 AND c_custkey % 10 = 0)"
+TABLE_SQL["stability_reasons"] = _RESULTS + """ SELECT deal_slug, CAST(i - 1 AS INTEGER) AS pos, deal_slug || ': ' || string_split(reasons, ' / ')[i] AS reason
+      FROM (SELECT *, unnest(range(1, len(string_split(reasons, ' / ')) + 1)) AS i FROM cls WHERE reasons <> '')"""
+TABLE_SQL["proof_record"] = _RESULTS + """ SELECT deal_slug AS slug, classification, status, eligible_runs AS eligible_archived_runs, 3 AS required_archived_runs, reasons, selected_runs,
+      CASE WHEN selected_runs = '' THEN '' ELSE array_to_string(list_transform(string_split(selected_runs, ','), lambda r: 'output/audit/' || deal_slug || '/runs/' || r), ',') END AS selected_run_dirs FROM cls"""
+TABLE_SQL["stability_report"] = _RESULTS + """ SELECT me.deal_slug, me.run_id, classification, outcome, CAST(n AS BIGINT) AS row_count, CAST(ri AS BIGINT) AS review_item_count, CAST(an AS BIGINT) AS anonymous_placeholder_count
+      FROM me JOIN cls USING (deal_slug) WHERE list_contains(string_split(selected_runs, ','), me.run_id)"""
 TABLE_SQL["stored_progress"] = TABLE_SQL["progress_upsert"]
 GRAPH_SQL["stream_intake"] = chain("BOUND", """SELECT deal_slug, run_id, CASE WHEN refused > 0 THEN 'refused' ELSE kind END AS claim_type,
       CAST(CASE WHEN refused > 0 THEN any_value(refused) ELSE count(*) END AS BIGINT) AS n, CASE WHEN refused = 0 THEN count(*) FILTER (NOT rejected) END AS n_supported,
