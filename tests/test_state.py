@@ -44,7 +44,7 @@ def test_stability_classes_and_gate(spark):
     assert gate(references, good, True).is_open
     assert gate(references, good, False).blockers == "operator must pass --release-targets"
     unverified = references.withColumn("verified", F.col("deal_slug") == "same")
-    assert gate(unverified, good, True).blockers .startswith("all ") and gate(unverified, good, True).blockers.count("missing ") == 1
+    assert gate(unverified, good, True).blockers.startswith("all ") and gate(unverified, good, True).blockers.count("missing ") == 1
     lacking = gate(references, good.filter("deal_slug = 'same'"), True)
     assert lacking.blockers == "stability proof missing slug_results entry for old"
     # a row that asks for one run of itself, and a row without status, do not open the gate
