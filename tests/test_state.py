@@ -137,6 +137,26 @@ def test_call_summary_and_idle_gaps(spark):
     assert (g.activities, g.max_idle_seconds, g.warnings, g.stream_idle, g.total_exceeded) == (5, 460.0, 3, True, True)
 
 
+def test_run_and_output_records(spark):
+    rows = [("d", "r1", "2024-01-01T00:00:00Z", "2024-01-01T00:01:30Z", None), ("d", "r2", "today", "2024-01-01T00:01:30Z", "stopped")]
+    given = spark.createDataFrame(rows, "deal_slug string, run_id string, started_at string, finished_at string, error string").selectExpr(
+        "*", "'run' as action", "if(error is null, 'passed_clean', 'failed_system') as outcome", "error is null as stability_eligible", "'v1' as rulebook_version", "'c1' as extractor_contract_version",
+        "'s' as schema_hash", "'local' as llm_backend", "'m' as extract_model", "cast(null as string) as api_endpoint", "'low' as reasoning_effort")
+    calls = spark.createDataFrame([("d", "r1", 1, "extract", "h", 2, 0, 5, 4, 3)],
+                                  "deal_slug string, run_id string, pos int, phase string, prompt_hash string, attempts int, warnings int, input_tokens long, output_tokens long, reasoning_tokens long")
+    first, second = runs.run_manifests(given, runs.call_summary(calls)).orderBy("run_id").collect()
+    assert (first.schema_version, first.slug, first.prompt_hashes, first.models, first.reasoning_efforts) == ("audit_run_v3", "d", {"extract": "h"}, {"extract": "m"}, {"extract": "low"})
+    assert (first.total_input_tokens, first.total_reasoning_tokens, first.total_attempts, first.total_seconds, first.error) == (5, 3, 2, 90, None)
+    assert (second.prompt_hash, second.prompt_hashes, second.total_attempts, second.total_seconds, second.error) == (None, {}, 0, None, "stopped")
+
+    review = spark.createDataFrame([("d", "r1", "clean"), ("d", "r1", "needs_review")], "deal_slug string, run_id string, review_status string")
+    flags = spark.createDataFrame([("d", "r1", "soft", "B"), ("d", "r1", "odd", "A"), ("d", "r1", "soft", "B"), ("d", "r2", "hard", "X")], "deal_slug string, run_id string, severity string, code string")
+    status = runs.burden_status(given, review, flags)
+    record = runs.output_records(status, flags, given).collect()
+    assert [(r.run_id, r.last_run, r.status, r.flag_count, [tuple(f) for f in r.deal_flags]) for r in record] == [
+        ("r1", "2024-01-01T00:01:30Z", "needs_review", 1, [("A", "hard", 1), ("B", "soft", 2)])]
+
+
 @pytest.fixture(scope="module")
 def archive(tmp_path_factory):
     return tmp_path_factory.mktemp("archive")

@@ -261,3 +261,13 @@ def sums_before(sizes: Column) -> Column:
             F.slice(sizes, F.floor(i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK))))
 
     return let(F.transform(sizes, lambda n: n.cast("long")), spread)
+
+
+def stamp(time: Column) -> Column:
+    """a point in time as text, whole seconds, with Z for UTC; the session's zone must be UTC."""
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def instant(stamped: Column | str) -> Column:
+    """whole seconds since 1970 of a stamp; null for anything that is none."""
+    return F.unix_seconds(F.try_to_timestamp(stamped, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")))

@@ -3,8 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tracewell.functions.text import blank_to_null
-from tracewell.schemas import ALL_STATUSES, FAILURE_STATUSES, LATEST_SCHEMA_VERSION, TRUSTED_STATUSES, VALIDATION_SCHEMA_VERSION
+from tracewell.functions.text import blank_to_null, instant
+from tracewell.schemas import (
+    ALL_STATUSES, FAILURE_STATUSES, GRAPH_SCHEMA_VERSION, LATEST_SCHEMA_VERSION, RUN_SCHEMA_VERSION, TRUSTED_STATUSES, VALIDATION_SCHEMA_VERSION)
 
 RUN = ["deal_slug", "run_id"]
 
@@ -146,12 +147,34 @@ def pool_summary(outcomes: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def run_manifests(runs: DataFrame, summary: DataFrame) -> DataFrame:
-    """One manifest row per run: what ran, with which hashes, at what cost."""
-    return runs.join(summary, RUN, "left")
+    """The manifest record of every run: what ran, under which contracts and hashes, at what cost, how it ended.
 
-
-def output_records(graph: dict[str, DataFrame], last_run: str, rulebook_version: str) -> DataFrame:
-    """The header record of every finished run."""
-    return graph["status"].select(
-        F.lit("deal_graph_v2").alias("schema_version"), *RUN, F.lit(last_run).alias("last_run"), F.lit(rulebook_version).alias("rulebook_version"),
-        "status", "flag_count", "notes")
+    runs(deal_slug, run_id, started_at, finished_at, action, outcome, stability_eligible, error, and the seven
+    values of the configuration); times are stamps (F35). summary: `call_summary`; a run without a call has
+    zero totals, no prompt hash and an empty map of them. Seconds are whole, null if a stamp is missing.
+    """
+    totals = ("total_input_tokens", "total_output_tokens", "total_reasoning_tokens", "total_attempts", "watchdog_warnings")
+    extract = lambda name: F.create_map(F.lit("extract"), F.col(name))
+    return runs.join(summary, RUN, "left").select(
+        F.lit(RUN_SCHEMA_VERSION).alias("schema_version"), F.col("deal_slug").alias("slug"), "run_id", "started_at", "finished_at", "action",
+        "rulebook_version", "extractor_contract_version", "schema_hash", "prompt_hash",
+        F.when(F.col("prompt_hash").isNull(), F.create_map().cast("map<string,string>")).otherwise(extract("prompt_hash")).alias("prompt_hashes"),
+        "llm_backend", extract("extract_model").alias("models"), "api_endpoint", extract("reasoning_effort").alias("reasoning_efforts"),
+        *[F.coalesce(n, F.lit(0)).alias(n) for n in totals],
+        (instant("finished_at") - instant("started_at")).alias("total_seconds"), "outcome", "stability_eligible", "error")
+
+
+def output_records(status: DataFrame, flags: DataFrame, runs: DataFrame) -> DataFrame:
+    """The header record of every finished run; a run that hard flags failed has none.
+
+    status: `burden_status`; flags(deal_slug, run_id, severity, code); runs(deal_slug, run_id, finished_at,
+    rulebook_version). deal_flags: number of flags per code and severity, in that order, so one entry per
+    code however many flags a run has; the flags themselves are the flag table.
+    """
+    kinds = flags.groupBy(*RUN, F.coalesce("code", F.lit("unknown")).alias("code"), severity(F.col("severity")).alias("severity")).agg(F.count(F.lit(1)).alias("n"))
+    lists = kinds.groupBy(*RUN).agg(F.array_sort(F.collect_list(F.struct("code", "severity", "n"))).alias("deal_flags"))
+    done = status.filter("status <> 'failed_system'").join(runs.select(*RUN, "finished_at", "rulebook_version"), RUN).join(lists, RUN, "left")
+    empty = F.array().cast("array<struct<code:string,severity:string,n:bigint>>")
+    return done.select(
+        F.lit(GRAPH_SCHEMA_VERSION).alias("schema_version"), *RUN, F.col("finished_at").alias("last_run"), F.col("run_id").alias("last_run_id"),
+        "rulebook_version", "status", "flag_count", "notes", F.coalesce("deal_flags", empty).alias("deal_flags"))

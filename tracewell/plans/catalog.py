@@ -9,8 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewell.functions.hashing import evidence_fingerprint, make_id, stable_hash, stable_id, text_hash
-from tracewell.functions.text import actor_key, humanize, looks_cohort, looks_group, row_fingerprint
+from tracewell.functions.hashing import evidence_fingerprint, make_id, prompt_hash, stable_hash, stable_id, text_hash
+from tracewell.functions.text import actor_key, humanize, looks_cohort, looks_group, row_fingerprint, stamp
 from tracewell.operators import analyst, binding, claims as claim_ops, documents, graph as graph_ops, ledger as ledger_ops, progress as progress_ops
 from tracewell.operators import reconcile as rec, review as review_ops, runs as run_ops, sections, stability, verification
 from tracewell.operators.integrity import integrity_flags
@@ -550,6 +550,34 @@ def call_summary(spark, folder):
     return run_ops.call_summary(calls)
 
 
+def _event_runs(spark, folder):
+    """One run per deal of the event feed: its first and last event are its start and end."""
+    ends = feeds.event_feed(spark, folder).groupBy("deal_slug", "run_id").agg(
+        stamp(F.min("ts")).alias("started_at"), stamp(F.max("ts")).alias("finished_at"), F.max("user_id").alias("user_id"))
+    return ends.withColumn("rulebook_version", F.expr("concat('rules_', user_id % 3)"))
+
+
+def run_records(spark, folder):
+    """Manifests of the event feed's runs; views and errors are calls, every fifth of them without a prompt."""
+    feed = feeds.event_feed(spark, folder).filter("event_type IN ('view', 'error') AND user_id % 7 <> 3")
+    asked = prompt_hash(F.lit("rules"), F.when(F.col("k") % 3 > 0, F.concat("event_type", "k")))
+    calls = feed.withColumn("prompt_hash", F.when(F.col("k") % 5 > 0, asked)).selectExpr(
+        "deal_slug", "run_id", "event_id as pos", "if(event_type = 'view', 'extract', 'repair') as phase", "prompt_hash", "k % 4 as attempts", "k % 3 as warnings",
+        "cast(k * 10 as bigint) as input_tokens", "cast(k as bigint) as output_tokens", "cast(NULL as bigint) as reasoning_tokens")
+    runs = _event_runs(spark, folder).join(burden_status(spark, folder), ["deal_slug", "run_id"]).withColumn("schema_hash", F.sha2(F.lit("claims"), 256)).selectExpr(
+        "*", "status as outcome", "status <> 'failed_system' as stability_eligible", "if(status = 'failed_system', notes, NULL) as error", "if(user_id % 2 = 0, 'run', 're-extract') as action",
+        "'contract_1' as extractor_contract_version", "'local' as llm_backend", "concat('model-', user_id % 2) as extract_model",
+        "cast(NULL as string) as api_endpoint", "'high' as reasoning_effort")
+    rows = run_ops.run_manifests(runs, run_ops.call_summary(calls))
+    return rows.withColumns({n: F.to_json(n) for n in ("prompt_hashes", "models", "reasoning_efforts")})
+
+
+def output_records(spark, folder):
+    """Header records of the event feed's finished runs; the flags of a run as text."""
+    rows = run_ops.output_records(burden_status(spark, folder), _event_flags(spark, folder), _event_runs(spark, folder))
+    return rows.withColumn("deal_flags", F.expr("array_join(transform(deal_flags, f -> concat_ws(' ', f.code, f.severity, f.n)), '; ')"))
+
+
 def pool_summary(spark, folder):
     outcomes = feeds.progress_feed(spark, folder).selectExpr("coalesce(status, 'skipped') as status", "status IS NULL as skipped", "c_custkey % 10 as pool")
     return run_ops.pool_summary(outcomes, ["pool"])
@@ -774,7 +802,7 @@ QUERIES: dict[str, Query] = {
     "number_profile": number_profile, "browse_filter": browse_filter, "burden_status": burden_status, "flag_counts": flag_counts, "flag_matrix": flag_matrix,
     "hard_flag_ids": hard_flag_ids, "run_metrics": run_metrics, "latest_runs": latest_runs, "latest_pointer": latest_pointer, "stability_class": stability_class,
     "stability_overall": stability_overall, "release_gate": release_gate, "gate_references": gate_references,
-    "stability_reasons": stability_reasons, "proof_record": proof_record, "stability_report": stability_report, "call_summary": call_summary, "pool_summary": pool_summary, "skip_plan": skip_plan,
+    "stability_reasons": stability_reasons, "proof_record": proof_record, "stability_report": stability_report, "call_summary": call_summary, "run_records": run_records, "output_records": output_records, "pool_summary": pool_summary, "skip_plan": skip_plan,
     "deal_selection": deal_selection, "progress_upsert": progress_upsert, "history_cap": history_cap, "failure_status": failure_status,
     "reconcile_issues": reconcile_issues, "flag_multiset_diff": flag_multiset_diff, "archive_issues": archive_issues, "contract_issues": contract_issues, "flag_log_issues": flag_log_issues, "reconcile_summary": reconcile_summary,
     "quote_grounding": quote_grounding, "grounding_failures": grounding_failures, "verify_eligibility": verify_eligibility,

@@ -615,6 +615,22 @@ TABLE_SQL["proof_record"] = _RESULTS + """ SELECT deal_slug AS slug, classificat
       CASE WHEN selected_runs = '' THEN '' ELSE array_to_string(list_transform(string_split(selected_runs, ','), lambda r: 'output/audit/' || deal_slug || '/runs/' || r), ',') END AS selected_run_dirs FROM cls"""
 TABLE_SQL["stability_report"] = _RESULTS + """ SELECT me.deal_slug, me.run_id, classification, outcome, CAST(n AS BIGINT) AS row_count, CAST(ri AS BIGINT) AS review_item_count, CAST(an AS BIGINT) AS anonymous_placeholder_count
       FROM me JOIN cls USING (deal_slug) WHERE list_contains(string_split(selected_runs, ','), me.run_id)"""
+_EVENT_RUNS = """runs AS (SELECT deal_slug, 'rules_' || (user_id % 3) AS rules, user_id, date_trunc('second', min(ts)) AS t0, date_trunc('second', max(ts)) AS t1 FROM ek GROUP BY deal_slug, user_id)"""
+TABLE_SQL["run_records"] = "WITH b AS (" + TABLE_SQL["burden_status"] + "), " + EV + ", " + _EVENT_RUNS + """,
+      p AS (SELECT *, CASE WHEN k % 5 > 0 THEN sha256('rules' || chr(10) || '---' || chr(10) || CASE WHEN k % 3 > 0 THEN event_type || k ELSE '' END) END AS hash FROM ek WHERE event_type IN ('view', 'error') AND user_id % 7 <> 3),
+      c AS (SELECT deal_slug, arg_min(hash, event_id) FILTER (event_type = 'view' AND hash IS NOT NULL) AS h, sum(k * 10) AS i, sum(k) AS o, sum(k % 4) AS a, sum(k % 3) AS w FROM p GROUP BY 1)
+      SELECT 'audit_run_v3' AS schema_version, deal_slug AS slug, 'r1' AS run_id, strftime(t0, '%Y-%m-%dT%H:%M:%SZ') AS started_at, strftime(t1, '%Y-%m-%dT%H:%M:%SZ') AS finished_at,
+        CASE WHEN user_id % 2 = 0 THEN 'run' ELSE 're-extract' END AS action, rules AS rulebook_version, 'contract_1' AS extractor_contract_version, sha256('claims') AS schema_hash, h AS prompt_hash,
+        CASE WHEN h IS NULL THEN '{}' ELSE '{"extract":"' || h || '"}' END AS prompt_hashes, 'local' AS llm_backend, '{"extract":"model-' || (user_id % 2) || '"}' AS models, CAST(NULL AS VARCHAR) AS api_endpoint,
+        '{"extract":"high"}' AS reasoning_efforts, CAST(coalesce(i, 0) AS BIGINT) AS total_input_tokens, CAST(coalesce(o, 0) AS BIGINT) AS total_output_tokens, CAST(0 AS BIGINT) AS total_reasoning_tokens,
+        CAST(coalesce(a, 0) AS BIGINT) AS total_attempts, CAST(coalesce(w, 0) AS BIGINT) AS watchdog_warnings, date_diff('second', t0, t1) AS total_seconds,
+        status AS outcome, status <> 'failed_system' AS stability_eligible, CASE WHEN status = 'failed_system' THEN notes END AS error
+      FROM runs JOIN b USING (deal_slug) LEFT JOIN c USING (deal_slug)"""
+TABLE_SQL["output_records"] = "WITH b AS (" + TABLE_SQL["burden_status"] + "), " + FLAG_ROWS + ", " + _EVENT_RUNS + """,
+      n AS (SELECT deal_slug, code, CASE WHEN severity IN ('soft', 'info') THEN severity ELSE 'hard' END AS sev, count(*) AS n FROM fl GROUP BY ALL),
+      l AS (SELECT deal_slug, string_agg(code || ' ' || sev || ' ' || n, '; ' ORDER BY code, sev) AS flags FROM n GROUP BY 1)
+      SELECT 'deal_graph_v2' AS schema_version, deal_slug, run_id, strftime(t1, '%Y-%m-%dT%H:%M:%SZ') AS last_run, run_id AS last_run_id, rules AS rulebook_version, status, flag_count, notes, coalesce(flags, '') AS deal_flags
+      FROM b JOIN runs USING (deal_slug) LEFT JOIN l USING (deal_slug) WHERE status <> 'failed_system'"""
 TABLE_SQL["stored_progress"] = TABLE_SQL["progress_upsert"]
 GRAPH_SQL["stream_intake"] = chain("BOUND", """SELECT deal_slug, run_id, CASE WHEN refused > 0 THEN 'refused' ELSE kind END AS claim_type,
       CAST(CASE WHEN refused > 0 THEN any_value(refused) ELSE count(*) END AS BIGINT) AS n, CASE WHEN refused = 0 THEN count(*) FILTER (NOT rejected) END AS n_supported,
