@@ -11,7 +11,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tracewell.llm import ann, bpe, linededup, mixing, packing, pii, quality, simhash, substring, toxicity
+from tracewell.llm import ann, bpe, linededup, mixing, packing, pieces, pii, quality, simhash, substring, toxicity
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -139,12 +139,33 @@ def test_bpe_equals_the_library(spark, tokenizer):
 
 
 def test_trie_forgets_without_changing_results(tokenizer, monkeypatch):
-    monkeypatch.setattr(bpe, "MAX_NODES", 50)
-    monkeypatch.setattr(bpe, "MAX_PIECES", 10)
-    codec = bpe.Codec(bpe.tokenizer_text())
+    monkeypatch.setattr(bpe, "MAX_PAIRS", 50)
+    monkeypatch.setattr(bpe, "MAX_WORDS", 10)
+    monkeypatch.setattr(packing, "MAX_PIECES", 10)
+    codec, library = bpe.Codec(bpe.tokenizer_text()), packing.Pieces(bpe.tokenizer_text())
     for text in noise(8, ["un", "der", "stand", "ing", " ", ",", "."], 50):
-        assert codec.encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
-        assert next(codec.digests([text]))[0] == len(codec.encode(text))
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert codec.encode(text) == ids == next(library.arrays([text])).tolist()
+        assert next(codec.digests([text]))[0] == len(ids)
+
+
+def test_trie_visits_shared_prefixes_once(tokenizer):
+    words = [" under", " understand", " understanding", " undertow", " stand", " standing"]
+    trie = bpe.Codec(bpe.tokenizer_text()).trie
+    got = trie.encode(words)
+    assert got == {w: tokenizer.encode(w, add_special_tokens=False).ids for w in words}
+    assert trie.nodes == len({w[:i] for w in words for i in range(1, len(w) + 1)})
+
+
+@pytest.mark.parametrize("size", [1, 40, 10**7])
+def test_texts_are_whole_however_they_are_cut(tokenizer, size):
+    texts = [t or "" for t in HARD] + ["\ue000 \ue001", "a\x00b c", "x" * 200_000, "long words " * 20_000] + noise(11, ["a", " ", "\n", "\t", "\u00a0", "b,"], 60)
+    for chunk in pieces.chunks(texts, size):
+        cut = pieces.Cut(chunk)
+        assert [bytes(b).decode() for b in cut.gather([p.encode() for p in cut.distinct])] == chunk
+        assert cut.total([len(p) for p in cut.distinct]) == [len(t) for t in chunk]
+    codec = bpe.Codec(bpe.tokenizer_text())
+    assert [i.tolist() for i in codec.arrays(texts)] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("bits", [1, 5, 13, 16, 17, 32])

@@ -1,15 +1,15 @@
 """Byte-level BPE encoding and decoding by a trie whose nodes share the encodings of prefixes.
 
-The distinct words of a batch are inserted into a trie of bytes. A node stands for a prefix; its
+The distinct words of a chunk of texts form a trie of bytes. A node stands for a prefix; its
 state is the last token of the prefix' encoding. That is enough: a sequence of tokens is the
 encoding of its bytes exactly if every two neighbours are (merging the bytes of both gives the same
 two tokens), so the last token of a prefix is the one token ending there that fits the last token of
-what stands before it, and an encoding is read off backwards from node to node. States are computed
-depth first while a word goes down the trie, once per node: words that share a prefix share its
-encoding. Nothing is recomputed for the next word, batch or task of the same worker.
+what stands before it, and an encoding is read off backwards along the path. States are computed
+depth first, once per node: words that share a prefix share its encoding.
 
 Texts are cut at blanks and line feeds between other characters, where no pre-token of this
-tokenizer can span, so each distinct piece is encoded once; pieces are remembered up to a bound.
+tokenizer can span, so each distinct piece of a chunk is encoded once (see `pieces`). Words of earlier
+chunks are remembered up to a bound.
 """
 from __future__ import annotations
 
@@ -17,20 +17,21 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm.common import map_pandas, ship
-from tracewell.llm.pieces import PieceMemo
-
-#: Nodes of a worker's trie; beyond them it starts anew, with the same results.
-MAX_NODES = 600_000
-#: Pieces of text a worker remembers.
-MAX_PIECES = 300_000
-#: A blank and Latin letters: one pre-token.
-PLAIN_WORD = re.compile(r" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+from tracewell.llm.pieces import Cut, chunks
+
+#: Pairs of tokens whose fit a worker remembers; beyond them it starts anew, with the same results.
+MAX_PAIRS = 600_000
+#: Pre-tokens whose ids a worker remembers; beyond them it starts anew, with the same results.
+MAX_WORDS = 400_000
+#: A blank and Latin letters are one pre-token, a mark behind them is another.
+PLAIN_WORD = re.compile(r"( [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([,.])?")
 #: Bits that hold any token id, to pack a pair of ids into one key.
 PAIR_SHIFT = 24
 
@@ -77,6 +78,9 @@ class Vocabulary:
                 del self.ids[self.bytes[made]]
         #: every beginning of a token: the longest one a prefix ends with bounds the candidates for its last token
         self.beginnings = {t[:i] for t in self.ids for i in range(1, len(t) + 1)}
+        self.lengths = {i: len(t) for i, t in self.bytes.items()}
+        #: each id as it stands in a list, with the comma behind it
+        self.digits = {i: b"%d," % i for i in self.bytes}
 
     def fits(self, left: int, right: int, limit: int = 1 << 60) -> bool:
         """Whether the bytes of two tokens are encoded as these two tokens, so that no merge crosses.
@@ -109,101 +113,154 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
+class Endings:
+    """The ends of prefixes that begin a token, numbered as they are met: number 0 is the empty one.
+
+    The longest such end of a prefix bounds what its last token can be: the tokens that end there.
+    There are at most as many as beginnings of tokens, so this never outgrows the vocabulary.
+    """
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.ids, self.beginnings = vocabulary.ids, vocabulary.beginnings
+        #: number and byte -> number after that byte
+        self.after: dict[int, int] = {}
+        self.numbers: dict[bytes, int] = {b"": 0}
+        self.texts: list[bytes] = [b""]
+        #: per number: tokens with their lengths, longest first
+        self.tokens: list[list[tuple[int, int]]] = [[]]
+
+    def step(self, move: int) -> int:
+        """The number after one more byte; move is number << 8 | byte."""
+        text = self.texts[move >> 8] + bytes((move & 255,))
+        while text not in self.beginnings:
+            text = text[1:]
+        number = self.numbers.get(text)
+        if number is None:
+            number = self.numbers[text] = len(self.texts)
+            self.texts.append(text)
+            tails = [text[i:] for i in range(len(text))]
+            self.tokens.append([(self.ids[t], len(t)) for t in tails if t in self.ids])
+        self.after[move] = number
+        return number
+
+
 class Trie:
-    """Prefix trie of encoded words. Node 0 is the empty prefix."""
+    """Distinct words as a trie, walked depth first to encode them all.
+
+    In sorted order words with a common prefix are neighbours, so the sorted words are the trie and
+    the path to the current node is all that is held: going to the next word drops the nodes below
+    the common prefix and computes states for what follows it. Each node is visited once.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.clear()
-
-    def clear(self) -> None:
+        self.endings = Endings(vocabulary)
         #: pairs of tokens seen so far, and whether they fit
         self.pairs: dict[int, bool] = {}
-        self.child: dict[int, int] = {}
-        #: per node: the last token of its prefix, and how many bytes at its end begin a token
-        self.last: list[int] = [-1]
-        self.open: list[int] = [0]
-
-    def encode(self, word: bytes) -> list[int]:
-        """Token ids of one pre-token; new nodes on its path get their states on the way down."""
-        child, last, open_, v = self.child, self.last, self.open, self.vocabulary
-        ids, beginnings, pairs, path, node = v.ids, v.beginnings, self.pairs, [0], 0
-        for end, byte in enumerate(word, 1):
-            step = node << 8 | byte
-            below = child.get(step)
-            if below is None:
-                below = child[step] = len(last)
-                length = open_[node] + 1
-                while word[end - length:end] not in beginnings:
-                    length -= 1
-                open_.append(length)
-                while True:
-                    token = ids.get(word[end - length:end])
-                    if token is not None:
-                        if length == end:
-                            break
-                        before = last[path[end - length]]
-                        fit = pairs.get(before << PAIR_SHIFT | token)
-                        if fit is None:
-                            fit = pairs[before << PAIR_SHIFT | token] = v.fits(before, token)
-                        if fit:
-                            break
-                    length -= 1
-                last.append(token)
-            node = below
-            path.append(node)
-        out, end, spelled = [], len(word), v.bytes
-        while end:
-            token = last[path[end]]
-            out.append(token)
-            end -= len(spelled[token])
-        if len(last) > MAX_NODES or len(pairs) > MAX_NODES:
-            self.clear()
-        return out[::-1]
+        #: nodes visited so far
+        self.nodes = 0
+
+    def encode(self, words: Iterable[str]) -> dict[str, list[int]]:
+        """Token ids of each pre-token."""
+        vocabulary, pairs = self.vocabulary, self.pairs
+        after, step, tails, fits, lengths = self.endings.after, self.endings.step, self.endings.tokens, vocabulary.fits, vocabulary.lengths
+        # path: the last token of each prefix of the current word; ends: the number of its ending
+        out, path, ends, previous = {}, [-1], [0], b""
+        for raw, word in sorted((w.encode("utf-8"), w) for w in words):
+            depth = 0
+            for a, b in zip(previous, raw):
+                if a != b:
+                    break
+                depth += 1
+            del path[depth + 1:], ends[depth + 1:]
+            ending = ends[depth]
+            self.nodes += len(raw) - depth
+            for byte in raw[depth:]:
+                depth += 1
+                move = ending << 8 | byte
+                ending = after.get(move)
+                if ending is None:
+                    ending = step(move)
+                for token, length in tails[ending]:
+                    if length == depth:
+                        break
+                    pair = path[depth - length] << PAIR_SHIFT | token
+                    fit = pairs.get(pair)
+                    if fit is None:
+                        fit = pairs[pair] = fits(pair >> PAIR_SHIFT, token)
+                    if fit:
+                        break
+                path.append(token)
+                ends.append(ending)
+            ids, end = [], depth
+            while end:
+                token = path[end]
+                ids.append(token)
+                end -= lengths[token]
+            out[word] = ids[::-1]
+            previous = raw
+            if len(pairs) > MAX_PAIRS:
+                pairs.clear()
+        return out
 
 
 class Codec:
-    """Encoder and decoder of whole texts in a worker, with its trie and the pieces it remembers."""
+    """Encoder and decoder of whole texts in a worker."""
 
     def __init__(self, raw: str):
         self.vocabulary = Vocabulary(raw)
         self.trie = Trie(self.vocabulary)
-        self.memo = PieceMemo(lambda texts: [self.spelled(t) for t in texts], lambda a, b: (f"{a[0]},{b[0]}", a[1] + b[1]), MAX_PIECES)
-        self.id_memo = PieceMemo(lambda texts: [self.packed(t) for t in texts], lambda a, b: a + b, MAX_PIECES)
+        #: pre-tokens of earlier chunks
+        self.known: dict[str | tuple[str], list[int]] = self.specials()
+
+    def specials(self) -> dict[str | tuple[str], list[int]]:
+        return {(text,): [number] for text, number in self.vocabulary.special.items()}
+
+    def pre_tokens(self, text: str) -> list[str | tuple[str]]:
+        """Pre-tokens of a text; a special token spelled in it stands as a tuple among them."""
+        plain = PLAIN_WORD.fullmatch(text)
+        if plain:
+            return [g for g in plain.groups() if g]
+        vocabulary, out = self.vocabulary, []
+        for part in vocabulary.special_pattern.split(text) if vocabulary.special_pattern else [text]:
+            out += [(part,)] if part in vocabulary.special else vocabulary.pattern.findall(part)
+        return out
 
-    def packed(self, text: str) -> bytes:
-        """Ids of a text as little-endian i4."""
-        return np.array(self.encode(text), "<i4").tobytes()
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text; the distinct pre-tokens that were in no earlier chunk are one trie."""
+        apart = [self.pre_tokens(t) for t in texts]
+        if len(self.known) > MAX_WORDS:
+            self.known = self.specials()
+        ids = self.known
+        ids.update(self.trie.encode({w for words in apart for w in words if w not in ids}))
+        return [ids[words[0]] if len(words) == 1 else list(chain.from_iterable(map(ids.__getitem__, words))) for words in apart]
 
     def encode(self, text: str) -> list[int]:
-        """Ids of a text; special tokens spelled in it become their ids."""
-        if PLAIN_WORD.fullmatch(text):
-            return self.trie.encode(text.encode("utf-8"))
-        out: list[int] = []
-        vocabulary = self.vocabulary
-        for part in vocabulary.special_pattern.split(text) if vocabulary.special_pattern else [text]:
-            if part in vocabulary.special:
-                out.append(vocabulary.special[part])
-            else:
-                for word in vocabulary.pattern.findall(part):
-                    out += self.trie.encode(word.encode("utf-8"))
-        return out
+        """Ids of one text."""
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids; bytes that are not UTF-8 become replacement characters."""
         return b"".join(map(self.vocabulary.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
+    def arrays(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """Ids of each text as an array."""
+        for chunk in chunks(texts):
+            cut = Cut(chunk)
+            for raw in cut.gather([np.array(ids, "<i4").tobytes() for ids in self.encode_all(cut.distinct)]):
+                yield np.frombuffer(raw, "<i4")
+
     def digests(self, texts: Iterable[str]) -> Iterator[tuple[int, str, str]]:
         """(number of ids, sha256 of the comma-joined ids, sha256 of the text decoded from them) of each text."""
-        for values in self.memo.values(texts):
-            ids = ",".join([v[0] for v in values if v[0]])
-            decoded = b"".join([v[1] for v in values]).decode("utf-8", "replace").encode("utf-8")
-            yield ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
-
-    def spelled(self, text: str) -> tuple[str, bytes]:
-        """Comma-joined ids of a text, and the bytes decoded from them."""
-        ids = self.encode(text)
-        return ",".join(map(str, ids)), b"".join(map(self.vocabulary.bytes.__getitem__, ids))
+        digits, spelled = self.vocabulary.digits.__getitem__, self.vocabulary.bytes.__getitem__
+        for chunk in chunks(texts):
+            cut = Cut(chunk)
+            ids = self.encode_all(cut.distinct)
+            listed = cut.gather([b"".join(map(digits, i)) for i in ids])
+            decoded = cut.gather([b"".join(map(spelled, i)) for i in ids])
+            for count, one, other in zip(cut.total([len(i) for i in ids]), listed, decoded):
+                text = str(other, "utf-8", "replace").encode("utf-8")
+                yield count, hashlib.sha256(one[:-1]).hexdigest(), hashlib.sha256(text).hexdigest()
 
 
 _CODECS: dict[int, Codec] = {}
@@ -240,7 +297,7 @@ def encoded(docs: DataFrame, raw: str | None = None, text: str = "text") -> Data
         codec = codec_of(shared.value)
         for batch in batches:
             texts = [t or "" for t in batch[text]]
-            ids = [np.frombuffer(b"".join(v), "<i4") for v in codec.id_memo.values(texts)]
+            ids = list(codec.arrays(texts))
             yield batch.assign(ids=ids, n_tokens=[len(i) for i in ids], round_trip=[codec.decode(i.tolist()) == t for i, t in zip(ids, texts)])
     schema = StructType(list(own.schema.fields))
     for name, kind in (("ids", ArrayType(IntegerType())), ("n_tokens", LongType()), ("round_trip", BooleanType())):

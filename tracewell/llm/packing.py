@@ -17,6 +17,7 @@ import os
 import struct
 import uuid
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tracewell.llm.common import map_pandas, stage_table
-from tracewell.llm.pieces import PieceMemo
+from tracewell.llm.pieces import Cut, chunks
 from tracewell.session import shared_folder
 
 BLOCK_IDS = 65_536
@@ -33,7 +34,7 @@ FOOTER = struct.Struct("<8sIIQQ")
 #: Ids unpacked at once when documents are read back.
 READ_IDS = 1 << 20
 #: Pieces of text a worker remembers.
-MAX_PIECES = 800_000
+MAX_PIECES = 600_000
 
 
 def bits_for(vocabulary_size: int) -> int:
@@ -162,22 +163,39 @@ def encode_many(tokenizer, texts: list[str]) -> list[bytes]:
     return [raw(tokenizer.encode(t, add_special_tokens=False).ids) if a else next(parts) for t, a in zip(texts, alone)]
 
 
-_MEMOS: dict[int, PieceMemo] = {}
+class Pieces:
+    """The tokenizers library in a worker, with the ids of pieces of earlier chunks up to a bound."""
 
-
-def _memo_of(raw: str) -> PieceMemo:
-    """The worker's memo of pieces encoded by the tokenizers library."""
-    key = hash(raw)
-    if key not in _MEMOS:
+    def __init__(self, raw: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(raw)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        _MEMOS.clear()
-        _MEMOS[key] = PieceMemo(lambda texts: encode_many(tokenizer, texts), lambda a, b: a + b, MAX_PIECES)
-    return _MEMOS[key]
+        self.tokenizer = Tokenizer.from_str(raw)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.known: dict[str, bytes] = {}
+
+    def arrays(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """Ids of each text."""
+        for chunk in chunks(texts):
+            cut = Cut(chunk)
+            if len(self.known) > MAX_PIECES:
+                self.known = {}
+            missing = [p for p in cut.distinct if p not in self.known]
+            self.known.update(zip(missing, encode_many(self.tokenizer, missing)))
+            for raw in cut.gather([self.known[p] for p in cut.distinct]):
+                yield np.frombuffer(raw, "<u4")
+
+
+_ENCODERS: dict[str, Pieces] = {}
+
+
+def encoder_of(raw: str) -> Pieces:
+    """The worker's encoder for a tokenizer file."""
+    if raw not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[raw] = Pieces(raw)
+    return _ENCODERS[raw]
 
 
 def write_shards(docs: DataFrame, folder: str, raw: str, end_id: int = 2, bits: int | None = None) -> DataFrame:
@@ -196,15 +214,15 @@ def write_shards(docs: DataFrame, folder: str, raw: str, end_id: int = 2, bits:
 
     def write(batches):
         writer, ids, path = None, [], ""
-        memo = _memo_of(shared.value)
-        end = np.array([end_id], "<u4").tobytes()
+        encoder = encoder_of(shared.value)
+        end = np.array([end_id], "<u4")
         for batch in batches:
             if writer is None:
                 path = f"{folder}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin"
                 writer = ShardWriter(path, width)
             ids += [None if pd.isna(i) else int(i) for i in batch["doc_id"]]
-            for values in memo.values(t or "" for t in batch["text"]):
-                writer.append(np.frombuffer(b"".join([*values, end]), "<u4"))
+            for tokens in encoder.arrays(t or "" for t in batch["text"]):
+                writer.append(np.concatenate([tokens, end]))
         if writer is not None:
             writer.close()
             yield pd.DataFrame({
@@ -235,8 +253,10 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     yield pd.DataFrame({
                         "part": part, "doc_id": pd.array(list(ids[at:at + len(starts) - 1]), dtype="Int64"), "local": starts[:-1].astype(np.int64),
                         "n_tokens": np.diff(local), "ids_crc32": [zlib.crc32(tokens[a:b].tobytes()) for a, b in zip(local[:-1], local[1:])]})
+    # A number of partitions that is given is not merged at run time: about one shard per task.
+    shards = max(1, manifest.select("part").count())
     rows = map_pandas(
-        manifest.select("part", "path", "doc_ids").repartition("part"), read, "part long, doc_id long, local long, n_tokens long, ids_crc32 long")
+        manifest.select("part", "path", "doc_ids").repartition(shards, "part"), read, "part long, doc_id long, local long, n_tokens long, ids_crc32 long")
     return rows.join(placed, "part").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 

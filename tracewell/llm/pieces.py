@@ -1,67 +1,70 @@
-"""Encoding texts by their distinct pieces.
+"""Taking texts apart into pieces that are encoded on their own, and joining the pieces' values.
 
 A byte-level BPE pre-token never spans a blank or a line feed that stands between two other
-characters, so a text may be cut there and equal pieces encoded once. Texts with white space next
-to white space are not cut.
+characters, so a text may be cut before it. A chunk of texts is cut, its distinct pieces are
+encoded once, and every text's value is gathered from theirs, all as Arrow arrays: what runs per
+piece of text is no Python, what runs in Python is done per distinct piece. Memory is bounded by the
+size of a chunk, and results do not depend on the order of texts.
 """
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 ADJACENT_SPACES = re.compile(r"\s\s")
-#: Latin letters with one mark behind: the mark is a pre-token of its own, so the word's value serves again.
-MARKED_WORD = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+[,.]")
-#: Characters of text cut into pieces at once, beyond which the next texts wait.
-CHUNK_CHARS = 500_000
+#: Where a text with adjacent white space may be cut; others may be before every blank and line feed.
+LONE_SPACE = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: Characters of text cut at once; a longer text is a chunk of its own.
+CHUNK_CHARS = 8_000_000
+
+
+def chunks(texts: Iterable[str], size: int = CHUNK_CHARS) -> Iterator[list[str]]:
+    """Runs of texts of about `size` characters."""
+    chunk, held = [], 0
+    for text in texts:
+        chunk.append(text)
+        held += len(text)
+        if held >= size:
+            yield chunk
+            chunk, held = [], 0
+    if chunk:
+        yield chunk
+
 
+def unused_character(texts: list[str]) -> str:
+    """A character that none of the texts holds: private ones first, then any other that is no white space."""
+    every = map(chr, chain(range(0xE000, 0xF900), range(0x1, 0xD800), range(0xF900, 0x110000)))
+    return next(c for c in every if not c.isspace() and not any(c in t for t in texts))
 
-class PieceMemo:
-    """Values of texts, joined from the values of their pieces.
 
-    `encode` gives the values of many strings, `join` that of two neighbours. Up to `limit` pieces
-    are remembered; the older half makes room, with the same results.
-    """
+class Cut:
+    """Texts cut into pieces: the distinct ones, and for each text which of them it consists of."""
 
-    def __init__(self, encode: Callable[[list[str]], list], join: Callable, limit: int):
-        self.encode, self.join, self.limit = encode, join, limit
-        self.marks: dict = {}
-        self.known: dict = {}
-        self.older: dict = {}
+    def __init__(self, texts: list[str]):
+        mark = unused_character(texts)
+        cut = pa.array([
+            LONE_SPACE.sub(mark, t) if ADJACENT_SPACES.search(t) else t.replace(" ", mark + " ").replace("\n", mark + "\n") for t in texts], pa.large_string())
+        lists = pc.split_pattern(cut, mark)
+        coded = lists.flatten().dictionary_encode()
+        self.distinct: list[str] = coded.dictionary.to_pylist()
+        self.numbers = coded.indices
+        #: text n is the pieces from bounds[n] to bounds[n + 1]
+        self.bounds = lists.offsets.to_numpy()
 
-    def values(self, texts: Iterable[str]) -> Iterator[list]:
-        """For each text the list of the values whose concatenation is the text's."""
-        chunk, held = [], 0
-        for text in texts:
-            chunk.append(text)
-            held += len(text)
-            if held > CHUNK_CHARS:
-                yield from self._chunk(chunk)
-                chunk, held = [], 0
-        yield from self._chunk(chunk)
+    def gather(self, values: list[bytes]) -> list[memoryview]:
+        """Of each text the values of its pieces, one behind the other; values are those of `distinct`."""
+        taken = pa.array(values, pa.large_binary()).take(self.numbers)
+        _, offsets, data = taken.buffers()
+        at = np.frombuffer(offsets, "<i8", len(taken) + 1)[self.bounds].tolist()
+        whole = memoryview(data or b"")
+        return [whole[a:b] for a, b in zip(at, at[1:])]
 
-    def _chunk(self, texts: list[str]) -> list[list]:
-        # A piece that does not begin with a line feed had a blank before it; the first of a text had none.
-        cuts = [None if ADJACENT_SPACES.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        whole = [t if c is None else c.pop(0) for t, c in zip(texts, cuts)]
-        distinct = set(chain.from_iterable(c for c in cuts if c))
-        known = self.known
-        missing = distinct.difference(known)
-        marked = [p for p in missing if MARKED_WORD.fullmatch(p)]
-        new = missing.difference(marked).union([p[:-1] for p in marked]).difference(known)
-        older = self.older
-        for piece in [p for p in new if p in older]:
-            known[piece] = older[piece]
-            new.discard(piece)
-        todo = list(new)
-        known.update(zip(todo, self.encode([p if p[:1] == "\n" else " " + p for p in todo])))
-        if marked and not self.marks:
-            self.marks = dict(zip(",.", self.encode([",", "."])))
-        for piece in marked:
-            known[piece] = self.join(known[piece[:-1]], self.marks[piece[-1]])
-        heads = self.encode(whole)
-        out = [[head] if c is None else [head, *map(known.__getitem__, c)] for head, c in zip(heads, cuts)]
-        if len(known) > self.limit // 2:
-            self.older, self.known = known, {}
-        return out
+    def total(self, values: list[int]) -> list[int]:
+        """Of each text the sum of its pieces' values."""
+        running = np.concatenate([[0], np.cumsum(np.array(values, np.int64)[self.numbers.to_numpy()])])
+        return np.diff(running[self.bounds]).tolist()
