@@ -29,7 +29,7 @@ from tracewell.llm.pieces import Cut, chunks
 #: Pairs of tokens whose fit a worker remembers; beyond them it starts anew, with the same results.
 MAX_PAIRS = 600_000
 #: Pre-tokens whose ids a worker remembers; beyond them it starts anew, with the same results.
-MAX_WORDS = 400_000
+MAX_WORDS = 250_000
 #: A blank and Latin letters are one pre-token, a mark behind them is another.
 PLAIN_WORD = re.compile(r"( [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([,.])?")
 #: Bits that hold any token id, to pack a pair of ids into one key.

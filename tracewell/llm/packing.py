@@ -34,7 +34,7 @@ FOOTER = struct.Struct("<8sIIQQ")
 #: Ids unpacked at once when documents are read back.
 READ_IDS = 1 << 20
 #: Pieces of text a worker remembers.
-MAX_PIECES = 600_000
+MAX_PIECES = 400_000
 
 
 def bits_for(vocabulary_size: int) -> int:

@@ -20,7 +20,7 @@ ADJACENT_SPACES = re.compile(r"\s\s")
 #: Where a text with adjacent white space may be cut; others may be before every blank and line feed.
 LONE_SPACE = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Characters of text cut at once; a longer text is a chunk of its own.
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 4_000_000
 
 
 def chunks(texts: Iterable[str], size: int = CHUNK_CHARS) -> Iterator[list[str]]:
