@@ -1,6 +1,7 @@
-"""What larger tables showed: stages as files, texts taken apart once."""
+"""What larger tables showed: ties, stages as files, texts taken apart once."""
 from __future__ import annotations
 
+from tracewell.operators.analyst import embed_order, sort_browse
 from tracewell.operators.contains import contains_pairs
 from tracewell.session import Staging
 
@@ -21,3 +22,9 @@ def test_long_texts_are_split_once_for_short_quotes(spark):
     assert sorted((r.quote_text, r.plain) for r in held.collect()) == [("9 w30 w3", 1), ("w7 w8 w9 w10", 1)]
     plan = held._jdf.queryExecution().optimizedPlan().toString()
     assert max(line.count("split(text") for line in plan.splitlines()) == 1
+
+
+def test_equal_keys_are_browsed_in_key_order(spark):
+    rows = spark.range(0, 4000, 1, 16).selectExpr("(id * 37) % 4000 as k", "'n' as name", "'d' as deal_slug", "'1' as event_order", "'5' as code").repartition(16)
+    for ordered in (sort_browse(rows, "name", False, True, ["k"]), sort_browse(rows, "code", True, ties=["k"]), embed_order(rows, ["k"])):
+        assert [r.k for r in ordered.limit(50).collect()] == list(range(50))

@@ -108,12 +108,12 @@ def browse(ledger: DataFrame, deal: str = "", code: str = "", text: str = "") ->
     return rows
 
 
-def sort_browse(rows: DataFrame, column: str, numeric: bool, descending: bool = False) -> DataFrame:
-    """Numbers with blanks lowest, text without regard to case."""
+def sort_browse(rows: DataFrame, column: str, numeric: bool, descending: bool = False, ties: list[str] | None = None) -> DataFrame:
+    """Numbers with blanks lowest, text without regard to case; equal keys in the order of the columns `ties`, either way."""
     key = F.col(column).cast("string").try_cast("double") if numeric else F.lower(F.coalesce(F.col(column).cast("string"), F.lit("null")))
-    return rows.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_first())
+    return rows.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_first(), *(ties or []))
 
 
-def embed_order(rows: DataFrame) -> DataFrame:
-    """By deal, then order number; numbers that do not parse come last."""
-    return rows.orderBy("deal_slug", F.col("event_order").cast("string").try_cast("int").asc_nulls_last())
+def embed_order(rows: DataFrame, ties: list[str] | None = None) -> DataFrame:
+    """By deal, then order number; numbers that do not parse come last; then by the columns `ties`."""
+    return rows.orderBy("deal_slug", F.col("event_order").cast("string").try_cast("int").asc_nulls_last(), *(ties or []))
