@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from tracewell.operators.analyst import embed_order, sort_browse
 from tracewell.operators.contains import contains_pairs
+from tracewell.operators.graph import build_graph
 from tracewell.session import Staging
 
 
@@ -28,3 +29,31 @@ def test_equal_keys_are_browsed_in_key_order(spark):
     rows = spark.range(0, 4000, 1, 16).selectExpr("(id * 37) % 4000 as k", "'n' as name", "'d' as deal_slug", "'1' as event_order", "'5' as code").repartition(16)
     for ordered in (sort_browse(rows, "name", False, True, ["k"]), sort_browse(rows, "code", True, ties=["k"]), embed_order(rows, ["k"])):
         assert [r.k for r in ordered.limit(50).collect()] == list(range(50))
+
+
+def test_graph_tables_are_made_on_demand(spark):
+    """A query about one table of the graph once paid for every stage, the search behind the flags among them."""
+    asked = []
+
+    def given(name):
+        def make():
+            asked.append(name)
+            return spark.createDataFrame([("d", "r1", "c1", "e1", 1)], "deal_slug string, run_id string, claim_id string, evidence_id string, ordinal int")
+        return make
+
+    runs = spark.createDataFrame([("d", "r1", "T")], "deal_slug string, run_id string, target_name string")
+    graph = build_graph(given("claims"), given("outcomes"), given("evidence"), runs, given("spans"), given("flags"))
+    assert graph["deals"].count() == 1 and asked == []
+    assert graph["claim_evidence"].count() == 1 and graph["claim_evidence"].count() == 1 and asked == ["evidence"]
+    assert {"claims", "actors", "row_evidence", "review_flags"} <= set(graph) and asked == ["evidence"]
+
+
+def test_stitching_looks_at_each_quote_once(spark):
+    """The search over runs of units was evaluated again for its filter and for each of its two results."""
+    from tracewell.operators.binding import stitched_units
+    units = spark.createDataFrame(
+        [("d", f"page_{i}_paragraph_1", f"Entry {i}: text of it.", i) for i in range(40)], "deal_slug string, unit_id string, text string, sequence int")
+    refs = spark.createDataFrame([("d", "page_7_paragraph_1", "7: text of it.\n\nEntry 8: text")], "deal_slug string, citation_unit_id string, quote_text string")
+    found = stitched_units(refs, units, slack=30)
+    assert [r.stitched for r in found.collect()] == [["page_6_paragraph_1", "page_7_paragraph_1", "page_8_paragraph_1"]]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") <= 4
