@@ -87,3 +87,22 @@ def test_lines_equal_their_sql(spark, tmp_path):
     got = QUERIES["citation_units"](spark, str(tmp_path))
     want = con.execute(f"select {', '.join(got.columns)} from ({TABLE_SQL['citation_units']})").fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 600
+
+
+def test_a_bid_bound_of_zero_equals_its_sql(spark, tmp_path):
+    """A purchase of value 0 with bounds: its label names them, as the SQL of the ledger does."""
+    import datetime
+    import duckdb
+    from tracewell.plans.catalog import QUERIES
+    from tracewell.plans.oracles import GRAPH_SQL
+    day = datetime.datetime(2024, 1, 2)
+    rows = [(0, day, 1, "purchase", 0.0, '{"k": 1}'), (1, day, 1, "purchase", 2.5, '{"k": 4}'), (2, day, 1, "purchase", 0.0, '{"k": 3}'), (3, day, 2, "view", 1.0, '{"k": 7}')]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(
+        str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = QUERIES["ledger_rows"](spark, str(tmp_path))
+    want = con.execute("select " + ", ".join(f'"{c}"' for c in got.columns) + f" from ({GRAPH_SQL['ledger_rows']})").fetchall()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    assert any("(0.0-0.0)" in r["review_label"] for r in got.collect())
