@@ -465,3 +465,19 @@ def test_pipeline_stages_follow_brute_force(spark, tmp_path):
     assert {r.doc_id for r in final} <= {r.doc_id for r in near} and all(r.round_trip and r.n_tokens == len(r.ids) for r in final)
     total = sum(len(WORD.findall(r.text)) for r in near)
     assert abs(sum(len(WORD.findall(r.text)) for r in final) - total) <= 3
+
+
+def test_packing_encodes_words_once_with_and_without_their_mark(monkeypatch):
+    """Odd texts have the ids of the tokenizers library, and a mark behind a word is no second piece to encode."""
+    import random
+    from tokenizers import Tokenizer
+    from tracewell.llm import bpe, packing
+    raw = bpe.tokenizer_text()
+    library, rnd = Tokenizer.from_str(raw), random.Random(7)
+    parts = ["a", "b", "'s", " ", "  ", "\n", "\n\n", "\t", ".", ",", "é", "中", "1", "<|endoftext|>", "　", "\x85", "\x1c", "\U0001f600", " the", "٣", "x.", "' "]
+    texts = ["".join(rnd.choices(parts, k=rnd.randint(0, 12))) for _ in range(3000)]
+    assert [a.tolist() for a in packing.Pieces(raw).arrays(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    asked, real = [], packing.encode_many
+    monkeypatch.setattr(packing, "encode_many", lambda tokenizer, texts, *more: asked.extend(texts) or real(tokenizer, texts, *more))
+    list(packing.Pieces(raw).arrays(["lorem ipsum, lorem ipsum. dolor ipsum"]))
+    assert sorted(asked) == [" dolor", " ipsum", " lorem", "lorem"]

@@ -21,6 +21,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -33,6 +35,10 @@ MAGIC = b"IDPACK01"
 FOOTER = struct.Struct("<8sIIQQ")
 #: Ids unpacked at once when documents are read back.
 READ_IDS = 1 << 20
+#: A piece that may stand behind any other: at most a blank or a line feed in front, no other white space.
+PIECE = r"\A[ \n]?[^\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+\z"
+#: A word of Latin letters with a mark behind it and nothing more: the mark is a token of its own.
+MARKED = r"\A[ \n]?[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+[,.]\z"
 #: Pieces of text a worker remembers.
 MAX_PIECES = 400_000
 
@@ -143,24 +149,35 @@ class ShardReader:
             at = to
 
 
-def encode_many(tokenizer, texts: list[str]) -> list[bytes]:
-    """Ids of each text as little-endian u32 bytes, by one call of the tokenizers library.
+def encode_many(tokenizer, texts: list[str], spelled: np.ndarray) -> list[bytes]:
+    """Ids of each text as little-endian u32 bytes, by one call of the tokenizers library; `spelled` is the number of bytes of each id.
 
-    A special token between the texts parts them for the library as their ends would, and its id
-    shows where each ends; texts that spell a special token themselves are encoded alone.
+    The texts are pieces: what is no white space stands behind a blank or a line feed that nothing spans. One behind
+    the other they are one text with the same ids, and the bytes that ids spell show where each ends. Pieces without
+    such a beginning get a line feed, whose id is taken off again. Texts with other white space or special tokens are encoded alone.
     """
-    raw = lambda ids: np.array(ids, "<u4").tobytes()
-    special = next((t for t in tokenizer.get_added_tokens_decoder().values() if t.special and not (t.lstrip or t.rstrip or t.single_word)), None)
-    if special is None:
-        return [raw(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    mark, number = special.content, tokenizer.token_to_id(special.content)
-    alone = [mark in t for t in texts]
-    joined = mark.join(t for t, a in zip(texts, alone) if not a)
-    ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-    cuts = np.flatnonzero(ids == number).tolist()
-    flat = ids.tobytes()
-    parts = iter([flat[4 * a:4 * b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)])])
-    return [raw(tokenizer.encode(t, add_special_tokens=False).ids) if a else next(parts) for t, a in zip(texts, alone)]
+    line = tokenizer.encode("\n", add_special_tokens=False).ids
+    pieces = pa.array(texts, pa.large_string())
+    plain = pc.match_substring_regex(pieces, PIECE) if len(line) == 1 else pa.array([False] * len(texts))
+    for token in tokenizer.get_added_tokens_decoder().values():
+        plain = pc.and_not(plain, pc.match_substring(pieces, token.content))
+    every = pc.all(plain).as_py() is not False
+    whole = pieces if every else pieces.filter(plain)
+    out: list[bytes] = []
+    if len(whole):
+        begun = pc.match_substring_regex(whole, r"\A[ \n]")
+        bare = pc.invert(begun).to_numpy(zero_copy_only=False)
+        joined = pc.if_else(begun, whole, pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), whole, pa.scalar("", pa.large_string())))
+        sizes = pc.binary_length(joined).to_numpy()
+        ids = np.array(tokenizer.encode_batch_fast(["".join(joined.to_pylist())], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.searchsorted(np.cumsum(spelled[ids]), np.cumsum(sizes)) + 1
+        begins = np.concatenate([[0], ends[:-1]]) + bare
+        flat = ids.tobytes()
+        out = [flat[a:b] for a, b in zip((4 * begins).tolist(), (4 * ends).tolist())]
+    if every:
+        return out
+    found = iter(out)
+    return [next(found) if p else np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, p in zip(texts, plain.to_pylist())]
 
 
 class Pieces:
@@ -174,6 +191,24 @@ class Pieces:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        #: bytes each id spells: byte-level tokens have one character per byte
+        self.spelled = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, number in vocabulary.items():
+            self.spelled[number] = len(token)
+        #: ids of a mark behind a word; the word in front of it ends there
+        self.marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ",."}
+
+    def learn(self, pieces: list[str]) -> None:
+        """Adds the ids of pieces to `known`: a mark behind a word is a token of its own, so words are encoded once with and without it."""
+        known, marks = self.known, self.marks
+        given = pa.array(pieces, pa.large_string())
+        marked = pc.match_substring_regex(given, MARKED)
+        ended = given.filter(marked).to_pylist()
+        rest = given.filter(pc.invert(marked)).to_pylist()
+        missing = list({p[:-1] for p in ended}.difference(known, rest)) + rest
+        known.update(zip(missing, encode_many(self.tokenizer, missing, self.spelled)))
+        known.update([(p, known[p[:-1]] + marks[p[-1]]) for p in ended])
 
     def arrays(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """Ids of each text."""
@@ -181,9 +216,12 @@ class Pieces:
             cut = Cut(chunk)
             if len(self.known) > MAX_PIECES:
                 self.known = {}
-            missing = [p for p in cut.distinct if p not in self.known]
-            self.known.update(zip(missing, encode_many(self.tokenizer, missing)))
-            for raw in cut.gather([self.known[p] for p in cut.distinct]):
+            values = list(map(self.known.get, cut.distinct))
+            missing = [p for p, v in zip(cut.distinct, values) if v is None]
+            if missing:
+                self.learn(missing)
+                values = list(map(self.known.__getitem__, cut.distinct))
+            for raw in cut.gather(values):
                 yield np.frombuffer(raw, "<u4")
 
 
