@@ -481,3 +481,15 @@ def test_packing_encodes_words_once_with_and_without_their_mark(monkeypatch):
     monkeypatch.setattr(packing, "encode_many", lambda tokenizer, texts, *more: asked.extend(texts) or real(tokenizer, texts, *more))
     list(packing.Pieces(raw).arrays(["lorem ipsum, lorem ipsum. dolor ipsum"]))
     assert sorted(asked) == [" dolor", " ipsum", " lorem", "lorem"]
+
+
+def test_encoded_hands_back_few_ids_at_once(spark, monkeypatch):
+    """A batch of many texts goes back in runs of bounded text, all rows in order, null texts too."""
+    import pandas as pd
+    from tracewell.llm import bpe
+    batch = pd.DataFrame({"doc_id": range(9), "text": ["ab " * 5, None, "", "x" * 100, "y", "z " * 30, None, "w" * 40, "v"]})
+    parts = list(bpe.slices(batch, "text", 60))
+    assert pd.concat(parts).equals(batch) and len(parts) > 3 and all(p["text"].fillna("").str.len()[1:].sum() <= 60 for p in parts)
+    assert list(bpe.slices(batch[:0], "text")) == []
+    rows = bpe.encoded(spark.createDataFrame(batch.astype(object).where(batch.notna(), None), "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(9)) and all(r["round_trip"] or r["text"] is None for r in rows)

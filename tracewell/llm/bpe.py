@@ -30,6 +30,8 @@ from tracewell.llm.pieces import Cut, chunks
 MAX_PAIRS = 600_000
 #: Pre-tokens whose ids a worker remembers; beyond them it starts anew, with the same results.
 MAX_WORDS = 250_000
+#: Characters of text whose ids are handed back at once.
+SLICE_CHARS = 1_500_000
 #: A blank and Latin letters are one pre-token, a mark behind them is another.
 PLAIN_WORD = re.compile(r"( [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([,.])?")
 #: Bits that hold any token id, to pack a pair of ids into one key.
@@ -283,6 +285,15 @@ def tokenizer_text(name: str = "byte_bpe_50k.json") -> str:
         return file.read()
 
 
+def slices(batch: pd.DataFrame, text: str, size: int = SLICE_CHARS) -> Iterator[pd.DataFrame]:
+    """The rows of a batch in runs of about `size` characters: the ids of a batch are several times its text, those of a run are few."""
+    runs = (batch[text].str.len().fillna(0).cumsum() // size).to_numpy()
+    cuts = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), len(batch)]
+    for a, b in zip(cuts, cuts[1:]):
+        if a < b:
+            yield batch.iloc[a:b]
+
+
 def encoded(docs: DataFrame, raw: str | None = None, text: str = "text") -> DataFrame:
     """docs plus ids array<int>, n_tokens long and round_trip boolean (decoding the ids gives the text).
 
@@ -296,9 +307,10 @@ def encoded(docs: DataFrame, raw: str | None = None, text: str = "text") -> Data
     def encode(batches):
         codec = codec_of(shared.value)
         for batch in batches:
-            texts = [t or "" for t in batch[text]]
-            ids = list(codec.arrays(texts))
-            yield batch.assign(ids=ids, n_tokens=[len(i) for i in ids], round_trip=[codec.decode(i.tolist()) == t for i, t in zip(ids, texts)])
+            for part in slices(batch, text):
+                texts = [t or "" for t in part[text]]
+                ids = list(codec.arrays(texts))
+                yield part.assign(ids=ids, n_tokens=[len(i) for i in ids], round_trip=[codec.decode(i.tolist()) == t for i, t in zip(ids, texts)])
     schema = StructType(list(own.schema.fields))
     for name, kind in (("ids", ArrayType(IntegerType())), ("n_tokens", LongType()), ("round_trip", BooleanType())):
         schema = schema.add(name, kind)
