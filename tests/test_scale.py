@@ -106,3 +106,15 @@ def test_a_bid_bound_of_zero_equals_its_sql(spark, tmp_path):
     key = lambda r: tuple(map(str, r))
     assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
     assert any("(0.0-0.0)" in r["review_label"] for r in got.collect())
+
+
+def test_ledger_without_order_numbers_sorts_no_rows(spark, tmp_path):
+    """Readers that do not ask for order numbers do not pay for them: no window in their plans."""
+    import datetime
+    from tracewell.plans.catalog import QUERIES
+    rows = [(i, datetime.datetime(2024, 1, 2), 1 + i % 2, "purchase", 2.5, '{"k": 4}') for i in range(4)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(
+        str(tmp_path / "events.parquet"))
+    for name in ("ledger_rows", "ledger_export"):
+        assert "Window" not in QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["rows"] for r in QUERIES["ledger_export"](spark, str(tmp_path)).collect()] == [2]
