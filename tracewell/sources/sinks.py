@@ -12,6 +12,8 @@ UNIQUE = {
     "claim_evidence": ["deal_slug", "run_id", "claim_id", "evidence_id"],
     "claim_coverage_links": ["deal_slug", "run_id", "claim_id", "obligation_id"],
 }
+#: Rows that were numbered or grouped by a key before: no two of them are equal.
+DISTINCT = ("spans", "coverage_results", "actors", "review_rows")
 GRAPH_KEY = {"spans": "evidence"}
 
 
@@ -35,7 +37,7 @@ def storable(df: DataFrame, table: str) -> DataFrame:
             grouped = rows.select(*keys, F.struct("ordinal").alias("_o"), F.struct(*cells).alias("_r")).groupBy(*keys).agg(F.min(F.struct("_o", "_r"))["_r"].alias("_r"))
             return grouped.select("_r.*")
         return rows.select(*cells).dropDuplicates(keys)
-    return rows.select(*cells).distinct()
+    return rows.select(*cells) if table in DISTINCT else rows.select(*cells).distinct()
 
 
 def write_graph(graph: dict[str, DataFrame], folder: str, mode: str = "overwrite") -> None:
