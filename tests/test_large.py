@@ -68,3 +68,42 @@ def test_plainly_valid_payloads_are_not_taken_apart(spark):
     plain = {r[0] for r in rows.filter(plainly_valid(F.col("payload"))).collect()}
     assert plain == {"good", "mixed"}
     assert {r.deal_slug for r in payload_violations(rows).collect()} == set(texts) - {"good", "mixed", "whole"}
+
+
+def _events(spark, tmp_path):
+    import datetime
+    day = datetime.datetime(2024, 1, 2)
+    kinds = ("view", "click", "purchase", "signup", "error")
+    rows = [(i, day, 1 + i % 3, kinds[i % 5], float(i % 7), json.dumps({"k": i % 100})) for i in range(400)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(
+        str(tmp_path / "events.parquet"))
+    return str(tmp_path)
+
+
+def test_codes_of_the_ledger_need_no_review(spark, tmp_path):
+    """The list of codes was read off whole ledger rows: quotes, flags and the search behind them were made for it."""
+    from tracewell.plans import catalog
+    folder = _events(spark, tmp_path)
+    codes = [r.event_code for r in catalog.QUERIES["distinct_codes"](spark, folder).collect()]
+    assert {name for _, f, name in catalog._STAGED if f == folder} == {"claims", "units", "bound"}
+    ledger = catalog.QUERIES["ledger_rows"](spark, folder)
+    assert codes == sorted({r.event_code for r in ledger.select("event_code").collect()}) and len(codes) > 10
+
+
+def test_key_sets_lose_no_key(spark):
+    from tracewell.functions.keyset import KeySet
+    rows = spark.range(0, 50000).selectExpr("if(id % 1000 = 7, NULL, id) as a", "concat('x', id % 13) as b")
+    keys = rows.filter("a % 100 = 3 OR a IS NULL")
+    kept = KeySet(keys, ["a", "b"]).kept(rows)
+    assert kept.columns == ["a", "b"] and keys.exceptAll(kept).isEmpty() and kept.count() < keys.count() + 500
+    assert KeySet(keys.limit(0), ["a", "b"]).kept(rows).isEmpty()
+
+
+def test_only_claims_that_may_be_rejected_are_joined(spark):
+    from tracewell.operators.graph import judge_claims
+    claims = spark.range(0, 20000).selectExpr("concat('d', id % 5) as deal_slug", "'r' as run_id", "concat('c', id) as claim_id", "id as claim_sequence")
+    rejected = claims.filter("claim_sequence % 500 = 1").selectExpr("deal_slug", "run_id", "claim_id", "'why' as first_error")
+    judged = judge_claims(claims, rejected)
+    assert judged.filter("disposition = 'rejected_unsupported' AND reason = 'why' AND claim_sequence % 500 = 1").count() == 40
+    assert judged.count() == 20000 and judged.filter("disposition = 'supported'").count() == 19960
+    assert judged._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") >= 2
