@@ -107,3 +107,36 @@ def test_only_claims_that_may_be_rejected_are_joined(spark):
     assert judged.filter("disposition = 'rejected_unsupported' AND reason = 'why' AND claim_sequence % 500 = 1").count() == 40
     assert judged.count() == 20000 and judged.filter("disposition = 'supported'").count() == 19960
     assert judged._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") >= 2
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_that_hold_no_key_of_a_quote_stay_where_they_are(spark):
+    """Every place of every text was moved to meet the keys of quotes of three and four tokens, every token those of shorter ones."""
+    from tracewell.operators.contains import candidate_texts, hashed_quotes, verified
+    texts = [f"the a{i} of b{i} and c{i} so" for i in range(200)] + ["x  of y", " of "]
+    quotes = ["a7 of b7", "7 of b7 and", " of b3 ", "x  of y", "c9 so", "17"]
+    q = spark.createDataFrame([("d", x) for x in quotes], "deal_slug string, quote_text string")
+    t = spark.createDataFrame([("d", x) for x in texts], "deal_slug string, text string").withColumn("text_hash", F.sha2("text", 256))
+    hashed = hashed_quotes(q, ["deal_slug"])
+    met = candidate_texts(hashed, t, ["deal_slug"])
+    assert _plan(met).count("_bits") > 0
+    got = sorted((r.quote_text, r.text_hash) for r in verified(met, hashed, t, ["deal_slug"]).collect())
+    sha = {r.text: r.text_hash for r in t.collect()}
+    assert got == sorted((x, sha[y]) for x in quotes for y in texts if x in y)
+
+
+def test_only_texts_near_a_reference_are_looked_at(spark):
+    """All units of a deal were moved with their texts, several times, to be placed."""
+    from tracewell.operators.binding import stitched_units
+    units = spark.createDataFrame(
+        [(d, f"page_{i}_paragraph_1", f"Entry {i} of {d}: " + "word " * 200 + f"end {i}", i) for d in ("a", "b", "c") for i in range(60)],
+        "deal_slug string, unit_id string, text string, sequence int")
+    refs = spark.createDataFrame([("a", "page_7_paragraph_1", "end 7\n\nEntry 8 of"), ("b", None, "end 50\nEntry 51"), ("b", None, "not there at all")],
+                                 "deal_slug string, citation_unit_id string, quote_text string")
+    found = stitched_units(refs, units)
+    assert {(r.deal_slug, tuple(r.stitched)) for r in found.collect()} == {
+        ("a", ("page_7_paragraph_1", "page_8_paragraph_1")), ("b", ("page_50_paragraph_1", "page_51_paragraph_1"))}
+    assert _plan(found).count("_bits") > 0 and "Window" not in _plan(found)
